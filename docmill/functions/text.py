@@ -17,6 +17,9 @@ PY_WS = (r"\t\n\x0b\f\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 PY_WS_NO_NL = (r"\t\x0b\f\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}"
                r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+# JavaScript's \s set (the browser client's whitespace), as a class body.
+JS_WS = (r"\t\n\x0b\f\r \xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
+         r"\x{205f}\x{3000}\x{feff}")
 # Class prefixes that name a code block's language.
 CODE_LANGUAGE_PREFIXES = ["language-", "lang-", "highlight-"]
 # Separator of the single-file export.
@@ -138,7 +141,7 @@ def code_language(classes, extra_classes=None) -> Column:
 
 
 __all__ = [
-    "PY_WS", "PY_WS_NO_NL", "EXPORT_SEPARATOR", "py_strip", "py_rstrip", "collapse_ws",
+    "PY_WS", "PY_WS_NO_NL", "JS_WS", "EXPORT_SEPARATOR", "py_strip", "py_rstrip", "collapse_ws",
     "slugify", "clean_markdown", "frontmatter", "strip_frontmatter", "hit_count",
     "first_hit", "code_language",
 ]

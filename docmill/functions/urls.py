@@ -47,6 +47,17 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Binds ``value`` once and evaluates ``body(x)`` on it.
+
+    URL functions refer to their input many times; nesting them (or letting
+    the optimizer push a filter through an alias) would copy the input
+    expression into every reference. A one-element ``transform`` is a
+    ``let``: the input is computed once and the body sees a variable.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _part(url, idx: int) -> Column:
     return F.regexp_extract(_c(url), URL_PARTS_RE, idx)
 
@@ -84,7 +95,10 @@ def normalize_url(url) -> Column:
     and drops an empty '?'. The trailing-slash strip looks at the whole URL
     (so ``/docs?x=/`` loses the slash of its query) and strips all of them.
     """
-    u = _c(url)
+    return let(_c(url), _normalize)
+
+
+def _normalize(u: Column) -> Column:
     has_frag = F.instr(u, "#") > 0
     cut = F.substring_index(u, "#", 1)
     cut = F.when(cut.rlike(r"^[^?]*\?$"), F.regexp_replace(cut, r"\?$", "")).otherwise(cut)
@@ -122,7 +136,8 @@ def in_base_path(url, base, fold_base: bool = False,
 
 def is_doc_link(url, base, **kw) -> Column:
     """URL-5 = not an asset, same authority, under the base path."""
-    return (~is_asset(url)) & same_domain(url, base) & in_base_path(url, base, **kw)
+    return let(F.struct(_c(url).alias("u"), _c(base).alias("b")),
+               lambda s: (~is_asset(s.u)) & same_domain(s.u, s.b) & in_base_path(s.u, s.b, **kw))
 
 
 def page_id(url) -> Column:
@@ -160,7 +175,8 @@ def download_name_zip(name) -> Column:
 
 def download_name_client(name) -> Column:
     """URL-11, client side: whitespace runs -> '_', empty -> 'export'."""
-    n = F.regexp_replace(_c(name), r"\s+", "_")
+    from .text import JS_WS
+    n = F.regexp_replace(_c(name), "[" + JS_WS + "]+", "_")
     return F.concat(F.when(F.length(n) > 0, n).otherwise(F.lit("export")),
                     F.lit("_docs.md"))
 
@@ -185,7 +201,10 @@ def resolve_url(base, ref) -> Column:
     empty references. Path merging drops empty middle segments of a
     relative merge, as Python does.
     """
-    b, r = _c(base), _c(ref)
+    return let(F.struct(_c(base).alias("b"), _c(ref).alias("r")), lambda s: _resolve(s.b, s.r))
+
+
+def _resolve(b: Column, r: Column) -> Column:
     bs, rs_raw = url_scheme(b), _part(r, 1)
     rs = F.when(F.length(rs_raw) > 0, F.lower(rs_raw)).otherwise(bs)
     r_has_auth = _has(r, 2)

@@ -1 +1 @@
-"""docmill.plans."""
+"""Registered queries and their oracle SQL."""
