@@ -1 +1,183 @@
 """Crawl, render and stream queries (registered into the same registry)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import urls as U
+from ..operators import crawl as CR
+from ..sources import tables as S
+from . import oracle_sql as O
+from .queries import register
+
+# ------------------------------------------------------------ TPC-H graph
+_EDGES_SQL = """
+  SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS src, 'c' || CAST(c_custkey AS VARCHAR) AS dst,
+         CAST(c_custkey AS BIGINT) AS pos FROM customer
+  UNION ALL SELECT 'c' || CAST(o_custkey AS VARCHAR), 'o' || CAST(o_orderkey AS VARCHAR),
+         CAST(o_orderkey AS BIGINT) FROM orders
+  UNION ALL SELECT DISTINCT 'o' || CAST(l_orderkey AS VARCHAR), 's' || CAST(l_suppkey AS VARCHAR),
+         CAST(l_suppkey AS BIGINT) FROM lineitem
+  UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), 'n' || CAST(s_nationkey AS VARCHAR),
+         CAST(s_nationkey AS BIGINT) FROM supplier"""
+
+BFS_DEPTH = 3
+
+
+def _graph_bfs(spark, sf, seeds_df, max_depth=BFS_DEPTH):
+    return CR.bfs(seeds_df, S.graph_edges(spark, sf), max_depth=max_depth)
+
+
+def _c1_seed(spark):
+    return spark.createDataFrame([("c1", "c1", 0)], "project_id string, url string, seq long")
+
+
+@register("crw_bfs_depth", f"""
+WITH RECURSIVE e AS ({_EDGES_SQL}),
+b(node, depth) AS (
+  SELECT 'c1', 0
+  UNION
+  SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < {BFS_DEPTH})
+SELECT 'c1' AS project_id, node AS url, min(depth) AS depth FROM b GROUP BY node""")
+def q_crw_bfs_depth(spark, sf):
+    return _graph_bfs(spark, sf, _c1_seed(spark)).select("project_id", "url", "depth")
+
+
+@register("crw_bfs_order", f"""
+WITH RECURSIVE e AS ({_EDGES_SQL}),
+b(node, depth, k) AS (
+  SELECT 'c1', 0, CAST([] AS BIGINT[])
+  UNION
+  SELECT e.dst, b.depth + 1, list_append(b.k, e.pos) FROM b JOIN e ON e.src = b.node
+  WHERE b.depth < {BFS_DEPTH}),
+m AS (SELECT node, min(depth) AS depth FROM b GROUP BY node),
+f AS (SELECT b.node, b.depth, min(b.k) AS k FROM b JOIN m USING (node, depth) GROUP BY b.node, b.depth)
+SELECT 'c1' AS project_id, node AS url, depth,
+       row_number() OVER (PARTITION BY depth ORDER BY k) AS seq,
+       row_number() OVER (ORDER BY depth, k) AS crawl_pos
+FROM f""")
+def q_crw_bfs_order(spark, sf):
+    v = _graph_bfs(spark, sf, _c1_seed(spark))
+    return CR.crawl_order(v).select("project_id", "url", "depth", "seq", "crawl_pos")
+
+
+@register("crw_bfs_bulk", f"""
+WITH RECURSIVE e AS ({_EDGES_SQL}),
+b(node, depth) AS (
+  SELECT DISTINCT 'n' || CAST(n_nationkey AS VARCHAR), 0 FROM nation
+  UNION
+  SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < {BFS_DEPTH})
+SELECT 'all-nations' AS project_id, depth, count(*) AS nodes FROM
+  (SELECT node, min(depth) AS depth FROM b GROUP BY node) GROUP BY depth""")
+def q_crw_bfs_bulk(spark, sf):
+    seeds = S.read(spark, sf, "nation").select(
+        F.lit("all-nations").alias("project_id"),
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("url"),
+        F.col("n_nationkey").cast("long").alias("seq"))
+    v = _graph_bfs(spark, sf, seeds)
+    return v.groupBy("project_id", "depth").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+# ------------------------------------------------------------ page archive
+SITE_SQL = f"lower({O.url_part('url', 1)}) || '://' || {O.url_part('url', 3)}"
+PAGE_CAP = 3
+
+
+def _site(url):
+    return F.concat(U.url_scheme(url), F.lit("://"), U.url_authority(url))
+
+
+@register("crw_page_cap", f"""
+SELECT project_id, page_id, r AS rank FROM (
+  SELECT {SITE_SQL} AS project_id, page_id, row_number() OVER (PARTITION BY {SITE_SQL} ORDER BY page_id) AS r
+  FROM pages) WHERE r <= {PAGE_CAP}""")
+def q_crw_page_cap(spark, sf):
+    p = S.page_archive(spark, sf).select(_site(F.col("url")).alias("project_id"), "page_id")
+    return CR.page_cap(p.withColumn("seq", F.col("page_id")), n=PAGE_CAP, order=("seq",),
+                       rank_col="rank").select("project_id", "page_id", "rank")
+
+
+@register("crw_first_seen", f"""
+SELECT {SITE_SQL} AS project_id, url, min(page_id) AS seq FROM pages
+WHERE NOT {O.is_asset('url')} GROUP BY ALL""")
+def q_crw_first_seen(spark, sf):
+    p = S.page_archive(spark, sf).select(_site(F.col("url")).alias("project_id"), "url",
+                                         F.col("page_id").alias("seq"))
+    fs = CR.first_seen(p)
+    return fs.filter(U.is_doc_link(F.col("url"), F.col("project_id"))).select("project_id", "url", "seq")
+
+
+@register("crw_seeds", f"""
+SELECT project_id, url, row_number() OVER (PARTITION BY project_id ORDER BY s) AS seq FROM (
+  SELECT project_id, url, min(s) AS s FROM (
+    SELECT DISTINCT {SITE_SQL} AS project_id, {SITE_SQL} AS url, 0 AS s FROM pages
+    UNION ALL
+    SELECT {SITE_SQL}, {O.normalize('url')}, page_id + 1 FROM pages
+     WHERE {O.normalize('url')} <> {SITE_SQL})
+  GROUP BY ALL)""")
+def q_crw_seeds(spark, sf):
+    p = S.page_archive(spark, sf).select(_site(F.col("url")).alias("project_id"), "url", "page_id")
+    req = p.select("project_id", F.col("project_id").alias("url")).distinct()
+    disc = p.select("project_id", "url", F.col("page_id").alias("seq"))
+    sd = CR.seeds(req, disc)
+    first = sd.groupBy("project_id", "url").agg(F.min("seq").alias("_s"))
+    from ..operators.scan import running_count
+    return running_count(first, ["project_id"], ["_s", "url"], out="seq").drop("_s")
+
+
+def _site_crawl(spark, sf, scope, max_depth):
+    arch = S.page_archive(spark, sf)
+    p = arch.select(_site(F.col("url")).alias("project_id"), "url", "page_id")
+    req = p.select("project_id", F.col("project_id").alias("url")).distinct() \
+           .withColumn("name", F.lit(None).cast("string")) \
+           .withColumn("max_pages", F.lit(1000)).withColumn("max_depth", F.lit(max_depth))
+    disc = p.select("project_id", "url", F.col("page_id").alias("seq"))
+    return CR.crawl_job(spark, req, arch, sitemap_urls=disc, scope=scope)
+
+
+_NORM_PAGES = f"(SELECT {SITE_SQL} AS project_id, {O.normalize('url')} AS url FROM pages)"
+# one archive row per normalized URL (lowest page_id), as a crawl fetches it once
+_UNIQUE_PAGES = (f"(SELECT * FROM pages WHERE page_id IN (SELECT min(page_id) FROM pages "
+                 f"GROUP BY {O.normalize('url')}))")
+_LINKS = (f"(SELECT {SITE_SQL} AS project_id, {O.normalize('url')} AS src, pos, "
+          f"{O.normalize(SITE_SQL + ' || ' + O.entities('href'))} AS dst FROM ({O.anchors_cte(_UNIQUE_PAGES)}))")
+
+
+@register("crw_outcomes", f"""
+WITH seeds AS (
+  SELECT DISTINCT {SITE_SQL} AS project_id, {SITE_SQL} AS url FROM pages
+  UNION SELECT project_id, url FROM {_NORM_PAGES}),
+lvl1 AS (
+  SELECT DISTINCT l.project_id, l.dst AS url FROM {_LINKS} l
+  JOIN seeds s ON s.project_id = l.project_id AND s.url = l.src
+  WHERE NOT {O.is_asset('l.dst')} AND {O.url_part('l.dst', 3)} = {O.url_part('l.project_id', 3)}
+  EXCEPT SELECT project_id, url FROM seeds),
+v AS (SELECT project_id, url, 0 AS depth FROM seeds UNION ALL SELECT project_id, url, 1 FROM lvl1)
+SELECT v.project_id, v.url, v.depth,
+       CASE WHEN v.url IN (SELECT url FROM {_NORM_PAGES}) THEN 'scraped' ELSE 'error' END AS outcome
+FROM v""")
+def q_crw_outcomes(spark, sf):
+    job = _site_crawl(spark, sf, "all", 1)
+    o = CR.outcomes(job["visits"], job["index"], job["analyzed"])
+    return o.select("project_id", "url", "depth", "outcome")
+
+
+@register("crw_edge_stats", f"""
+SELECT src, count(*) AS out_degree, count(DISTINCT dst) AS distinct_targets,
+       count(DISTINCT dst) FILTER (WHERE dst NOT IN (SELECT url FROM {_NORM_PAGES})) AS dangling
+FROM {_LINKS} GROUP BY src""")
+def q_crw_edge_stats(spark, sf):
+    arch = S.page_archive(spark, sf)
+    an = CR.analyzed_archive(arch, scope="all")
+    return CR.edge_stats(CR.page_links(an), CR.archive_index(arch))
+
+
+@register("crw_job_summary")
+def q_crw_job_summary(spark, sf):
+    return _site_crawl(spark, sf, "stripped", 3)["summary"]
+
+
+@register("crw_job_pages")
+def q_crw_job_pages(spark, sf):
+    return _site_crawl(spark, sf, "stripped", 3)["pages"].select(
+        "project_id", "position", "page_id", "url", "depth", "title")
