@@ -181,3 +181,44 @@ def q_crw_job_summary(spark, sf):
 def q_crw_job_pages(spark, sf):
     return _site_crawl(spark, sf, "stripped", 3)["pages"].select(
         "project_id", "position", "page_id", "url", "depth", "title")
+
+
+# ------------------------------------------------------------ render / convert
+SCRAPED_ON = S.DEFAULT_SCRAPED_AT.strftime("%Y-%m-%d")
+
+
+def _analyzed_pages(spark, sf):
+    from ..operators.content import analyze_pages
+    from ..operators.html_nodes import with_nodes
+    p = with_nodes(S.page_archive(spark, sf).select("page_id", "url", "html"))
+    return analyze_pages(p).withColumn("url", U.normalize_url(F.col("url")))
+
+
+@register("htm_markdown")
+def q_htm_markdown(spark, sf):
+    from ..operators.markdown import render_table
+    a = _analyzed_pages(spark, sf).filter(F.col("root").isNotNull())
+    return render_table(a, ["page_id"], url_col=None, out="markdown")
+
+
+@register("htm_convert")
+def q_htm_convert(spark, sf):
+    from ..operators.markdown import convert_pages
+    a = _analyzed_pages(spark, sf).filter(F.col("root").isNotNull())
+    return convert_pages(a, SCRAPED_ON, keep=["page_id", "url", "title"]) \
+        .select("page_id", "url", "title", "markdown")
+
+
+@register("crw_job_library")
+def q_crw_job_library(spark, sf):
+    """Whole crawl job: discover -> BFS -> cap -> last write per page id ->
+    convert -> library rows (pages overwritten by a later one are never
+    rendered)."""
+    from ..operators.markdown import convert_pages
+    job = _site_crawl(spark, sf, "stripped", 3)
+    last = (job["pages"].groupBy("project_id", "page_id")
+            .agg(F.max_by(F.struct("position", "title", "url", "content"), F.col("position")).alias("w"))
+            .select("project_id", "page_id", "w.*"))
+    lib = convert_pages(last, SCRAPED_ON, keep=["project_id", "page_id", "position", "title", "url"])
+    return lib.select("project_id", "page_id", "position", "title",
+                      F.length("markdown").alias("chars"))
