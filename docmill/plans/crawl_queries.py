@@ -222,3 +222,48 @@ def q_crw_job_library(spark, sf):
     lib = convert_pages(last, SCRAPED_ON, keep=["project_id", "page_id", "position", "title", "url"])
     return lib.select("project_id", "page_id", "position", "title",
                       F.length("markdown").alias("chars"))
+
+
+# ------------------------------------------------------------ streams
+_PH_SQL = ("CASE event_type WHEN 'signup' THEN 'scraping' WHEN 'click' THEN 'converting' "
+           "WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'error' END")
+
+
+@register("str_progress", f"""
+SELECT user_id AS job_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'view') AS scraped,
+       CASE WHEN coalesce(arg_max({_PH_SQL}, (ts, event_id)) FILTER (WHERE {_PH_SQL} IS NOT NULL), 'scraping')
+                 IN ('complete', 'error')
+            THEN arg_max({_PH_SQL}, (ts, event_id)) FILTER (WHERE {_PH_SQL} IS NOT NULL) ELSE 'error' END AS phase
+FROM events GROUP BY user_id""")
+def q_str_progress(spark, sf):
+    from ..streaming.progress import run_live_progress
+    return run_live_progress(spark, sf)
+
+
+@register("str_phase")
+def q_str_phase(spark, sf):
+    from ..streaming.progress import run_phase_machine
+    return run_phase_machine(spark, sf)
+
+
+@register("str_convert")
+def q_str_convert(spark, sf):
+    from ..streaming.progress import run_incremental_convert
+    return run_incremental_convert(spark, sf, SCRAPED_ON).select(
+        "project_id", "page_id", "url", "title", F.length("markdown").alias("chars"))
+
+
+@register("str_dedupe", f"""
+SELECT DISTINCT {SITE_SQL} AS project_id, {O.normalize('url')} AS url FROM pages""")
+def q_str_dedupe(spark, sf):
+    from ..streaming.progress import run_visited_dedupe
+    return run_visited_dedupe(spark, sf).select("project_id", "url")
+
+
+@register("str_event_log", """
+SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'started'
+       WHEN 'view' THEN 'page_scraped' WHEN 'click' THEN 'converting' WHEN 'purchase' THEN 'complete'
+       WHEN 'error' THEN 'error' END AS event, props AS payload FROM events""")
+def q_str_event_log(spark, sf):
+    from ..streaming.progress import run_event_drain
+    return run_event_drain(spark, sf).select("job_id", "event_id", "ts", "event", "payload")
