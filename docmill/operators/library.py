@@ -101,8 +101,8 @@ def export_single_pieces(lib: DataFrame) -> DataFrame:
 def export_single_text(lib: DataFrame, project_id: str) -> DataFrame:
     """One project's export as one string (the reference's response body)."""
     p = export_single_pieces(lib.filter(F.col("project_id") == project_id))
-    return p.groupBy("project_id").agg(
-        F.listagg("piece", "").withinGroup(F.col("position")).alias("export"))
+    from ..sources.sitemaps import ordered_listagg
+    return p.groupBy("project_id").agg(ordered_listagg("piece", "", "position").alias("export"))
 
 
 def write_export(pieces: DataFrame, path: str) -> None:

@@ -267,3 +267,19 @@ SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'star
 def q_str_event_log(spark, sf):
     from ..streaming.progress import run_event_drain
     return run_event_drain(spark, sf).select("job_id", "event_id", "ts", "event", "payload")
+
+
+# ------------------------------------------------------------ sitemaps
+@register("crw_sitemap_urls", f"""
+SELECT project_id, url, row_number() OVER (PARTITION BY project_id ORDER BY k) AS seq FROM (
+  SELECT {SITE_SQL} AS project_id, url, min(page_id) AS k FROM pages GROUP BY ALL)
+WHERE NOT {O.is_asset('url')} AND {O.url_part('url', 3)} = {O.url_part('project_id', 3)}""")
+def q_crw_sitemap_urls(spark, sf):
+    """Sites publish sitemaps for their archived pages (built by Spark from
+    the archive); discovery walks index -> files -> URLs per site."""
+    from ..sources.sitemaps import discover, sitemaps_from_archive
+    arch = S.page_archive(spark, sf)
+    docs = sitemaps_from_archive(arch)
+    req = arch.select(_site(F.col("url")).alias("project_id")).distinct() \
+              .withColumn("url", F.col("project_id"))
+    return discover(req, docs).select("project_id", "url", "seq")
