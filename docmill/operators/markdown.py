@@ -58,12 +58,21 @@ def detect_language(classes, inner_classes=None, look_at_code: bool = False):
 
 
 class _Tree:
+    """Children lists from parent indices. A fragment with several
+    top-level nodes gets a virtual root (tag ``#fragment``)."""
+
     def __init__(self, nodes):
         self.nodes = nodes
         self.kids: dict[int, list[dict]] = {}
         pres = {n["pre"] for n in nodes}
-        self.root = nodes[0]
-        for n in nodes[1:]:
+        tops = [n for n in nodes if n["parent"] not in pres]
+        if len(tops) > 1:
+            self.root = {"pre": -2, "post": None, "parent": -3, "tag": "#fragment"}
+            rest = nodes
+        else:
+            self.root = nodes[0]
+            rest = nodes[1:]
+        for n in rest:
             p = n["parent"] if n["parent"] in pres else self.root["pre"]
             self.kids.setdefault(p, []).append(n)
 
@@ -288,6 +297,8 @@ def render_nodes(nodes, look_at_code: bool = False, page_url: str | None = None)
     root = tree.root
     if root["tag"] == TEXT:
         return _WS.sub(" ", root.get("text") or "")
+    if root["tag"] == "#fragment":
+        return r.kids_text(root, {})
     return r.el(root, {})
 
 
