@@ -35,13 +35,17 @@ from ..sources.archive import html_gate
 def archive_index(archive: DataFrame) -> DataFrame:
     """Archive keyed by normalized URL (a fetch never sends the fragment).
 
-    Rows that normalize alike keep the lowest ``page_id`` (a partial
-    aggregate). Adds ``kept``/``reason`` of the HTML gate.
+    Rows that normalize alike keep the lowest ``page_id``. The HTML is not
+    shuffled for that: a partial aggregate over (url_key, page_id) finds the
+    keys that occur more than once -- normally few, so AQE broadcasts them --
+    and only the losing rows are dropped. Adds ``kept``/``reason``.
     """
     g = html_gate(archive).withColumn("url_key", normalize_url(F.col("url")))
-    best = F.min_by(F.struct("page_id", "url", "status", "content_type", "html", "kept", "reason"),
-                    F.col("page_id"))
-    return g.groupBy("url_key").agg(best.alias("r")).select("url_key", "r.*")
+    dups = (g.groupBy("url_key").agg(F.count(F.lit(1)).alias("_n"), F.min("page_id").alias("_win"))
+             .filter(F.col("_n") > 1).select("url_key", "_win"))
+    return (g.join(dups, "url_key", "left")
+             .filter(F.col("_win").isNull() | (F.col("page_id") == F.col("_win")))
+             .drop("_win"))
 
 
 def analyzed_archive(archive: DataFrame, scope: str = "stripped") -> DataFrame:
@@ -67,8 +71,27 @@ def page_links(analyzed: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- BFS
 def _ckpt(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint to the shared folder, computing the plan once.
+
+    ``checkpoint`` alone runs the plan for its count and again to write the
+    files; persisting first lets the write read the persisted blocks. The
+    blocks are dropped afterwards: the files are the copy that survives
+    lost executors."""
+    from pyspark import StorageLevel
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = p.checkpoint(eager=True)
+    p.unpersist()
+    return out
+
+
+def _materialize(df: DataFrame) -> DataFrame:
+    """Write a level to the shared folder and read it back: one job, a
+    lineage cut that survives lost executors, column pruning on re-read."""
+    from ..session import shared_path
+    path = shared_path(df.sparkSession, "bfs")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
@@ -84,13 +107,23 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
     expandable: optional (url) -- only these nodes are expanded (fetched
                 HTML); others are visited but not expanded
     content:    optional (url) of content-bearing pages, for the page cap
-    Returns (project_id, url, depth, seq, parent_url).
+    Returns (project_id, url, depth, key, parent_url, seq).
+
+    Order: a node's ``key`` is its parent's key plus the link position
+    (``array<bigint>``); arrays compare element by element, so (depth, key)
+    is the FIFO queue order and no level needs a ranking step. ``seq`` (the
+    rank inside a depth) is computed once at the end.
     """
     lim = requests.select("project_id", "max_depth", "max_pages") if requests is not None else None
-    first0 = seeds.groupBy("project_id", "url").agg(F.min("seq").alias("_s"))
-    level = _ckpt(running_count(first0, ["project_id"], ["_s", "url"], out="seq")
-                  .select("project_id", "url", F.lit(0).alias("depth"), "seq",
-                          F.lit(None).cast("string").alias("parent_url")))
+    # the link table is read once per level: materialize it once, hash-
+    # partitioned on the join key, so each level shuffles only its frontier
+    edges = _ckpt(edges.select("src", F.col("position").cast("long").alias("position"), "dst")
+                  .repartition("src"))
+    level = _materialize(
+        seeds.groupBy("project_id", "url").agg(F.min("seq").cast("long").alias("_s"))
+             .select("project_id", "url", F.lit(0).alias("depth"),
+                     F.array(F.col("_s")).alias("key"),
+                     F.lit(None).cast("string").alias("parent_url")))
     levels = [level]
     visited = level.select("project_id", "url")
     d = 0
@@ -105,19 +138,17 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
             front = front.join(done, "project_id", "left_anti")
         if expandable is not None:
             front = front.join(expandable.select("url"), "url", "left_semi")
-        cand = front.select("project_id", F.col("url").alias("src"), F.col("seq").alias("parent_seq")) \
+        cand = front.select("project_id", F.col("url").alias("src"), F.col("key").alias("pkey")) \
                     .join(edges, "src")
         if requests is not None and link_ok is not None:
             cand = cand.join(requests, "project_id").filter(link_ok)
         first = (cand.groupBy("project_id", "dst")
-                     .agg(F.min(F.struct("parent_seq", "position", "src")).alias("_f"))
+                     .agg(F.min(F.struct(F.array_append("pkey", F.col("position")).alias("key"),
+                                         F.col("src"))).alias("_f"))
                      .select("project_id", F.col("dst").alias("url"), "_f"))
-        new = first.join(visited, ["project_id", "url"], "left_anti")
-        new = running_count(new.select("project_id", "url", F.col("_f.parent_seq").alias("_ps"),
-                                       F.col("_f.position").alias("_pos"),
-                                       F.col("_f.src").alias("parent_url")),
-                            ["project_id"], ["_ps", "_pos", "url"], out="seq")
-        level = _ckpt(new.select("project_id", "url", F.lit(d + 1).alias("depth"), "seq", "parent_url"))
+        level = _materialize(first.join(visited, ["project_id", "url"], "left_anti")
+                             .select("project_id", "url", F.lit(d + 1).alias("depth"),
+                                     F.col("_f.key").alias("key"), F.col("_f.src").alias("parent_url")))
         if level.isEmpty():
             break
         levels.append(level)
@@ -126,7 +157,7 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
-    return out
+    return running_count(out, ["project_id", "depth"], ["key", "url"], out="seq")
 
 
 def _capped(levels, content: DataFrame, lim: DataFrame) -> DataFrame:
@@ -140,12 +171,12 @@ def _capped(levels, content: DataFrame, lim: DataFrame) -> DataFrame:
 
 
 def crawl_order(visits: DataFrame) -> DataFrame:
-    """CRW-7: 1-based crawl position per project: (depth, seq)."""
-    return running_count(visits, ["project_id"], ["depth", "seq"], out="crawl_pos")
+    """CRW-7: 1-based crawl position per project: (depth, key)."""
+    return running_count(visits, ["project_id"], ["depth", "key", "url"], out="crawl_pos")
 
 
 def page_cap(pages: DataFrame, n: int | None = None, n_col: str = "max_pages",
-             order=("depth", "seq"), rank_col: str | None = None) -> DataFrame:
+             order=("depth", "key"), rank_col: str | None = None) -> DataFrame:
     """CRW-6: keep the first ``n`` (or per-project ``n_col``) content-bearing
     pages per project, earlier in crawl order first.
 
@@ -243,7 +274,7 @@ def crawl_job(spark: SparkSession, requests: DataFrame, archive: DataFrame,
                     F.col("url_key").alias("url"), "title", "content", "root"), "url")
                .join(req.select("project_id", "max_pages"), "project_id"))
     crawled = page_cap(crawled).drop("max_pages")
-    crawled = running_count(crawled, ["project_id"], ["depth", "seq"], out="position") \
+    crawled = running_count(crawled, ["project_id"], ["depth", "key"], out="position") \
         .withColumn("page_id", page_id(F.col("url")))
     counts = crawled.groupBy("project_id").agg(F.count(F.lit(1)).alias("page_count"))
     summary = (req.join(counts, "project_id", "left")

@@ -38,16 +38,18 @@ def _sort_key(row):
 
 
 def range_bounds(df: DataFrame, cols, partitions: int, per_part: int = 32,
-                 seed: int = 7) -> list[tuple]:
+                 seed: int = 7, count: int | None = None) -> list[tuple]:
     """Up to ``partitions - 1`` sorted bounds over ``cols`` from a sample of
     about ``per_part * partitions`` rows (bounded, independent of size)."""
     if partitions <= 1:
         return []
-    n = df.count()
+    n = df.count() if count is None else count
     if n <= per_part * partitions:
         return []  # small input: one chunk per key is already bounded
     frac = min(1.0, per_part * partitions / n)
-    sample = sorted((tuple(r) for r in df.select(*cols).sample(False, frac, seed).collect()),
+    rows = df.select(*cols).sample(False, frac, seed).collect()
+    # arrays (e.g. BFS order keys) become tuples: hashable, same ordering
+    sample = sorted((tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in rows),
                     key=_sort_key)
     if not sample:
         return []
@@ -68,7 +70,8 @@ def chunk_of(df: DataFrame, cols, bounds: list[tuple]) -> Column:
     row = F.struct(*[F.col(c) for c in cols])
 
     def lit(b):
-        return F.struct(*[F.lit(v).cast(types[c]).alias(c) for v, c in zip(b, cols)])
+        return F.struct(*[F.lit(list(v) if isinstance(v, tuple) else v).cast(types[c]).alias(c)
+                          for v, c in zip(b, cols)])
 
     def search(lo, hi):  # answer in [lo, hi]
         if lo == hi:
@@ -80,15 +83,17 @@ def chunk_of(df: DataFrame, cols, bounds: list[tuple]) -> Column:
 
 
 def running_count(df: DataFrame, keys, order, out: str = "n",
-                  partitions: int | None = None, per_part: int = 32) -> DataFrame:
+                  partitions: int | None = None, per_part: int = 32,
+                  count: int | None = None) -> DataFrame:
     """Adds ``out`` = 1-based rank of each row within its key, by ``order``.
 
     ``order`` must be a total order within a key (end it with a unique id).
+    ``count`` (the row count, if the caller knows it) saves one pass.
     """
     keys, order = list(keys), list(order)
     cols = keys + order
     p = _parts(df, partitions)
-    bounds = range_bounds(df, cols, p, per_part)
+    bounds = range_bounds(df, cols, p, per_part, count=count)
     tagged = df.withColumn("_chunk", chunk_of(df, cols, bounds))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     local = tagged.withColumn("_local", F.row_number().over(w))

@@ -149,7 +149,7 @@ def q_url_doc_links(spark, sf):
 
 @register("url_slugify", f"SELECT doc_id, {O.slugify('text')} AS slug FROM documents")
 def q_url_slugify(spark, sf):
-    return S.read(spark, sf, "documents").select("doc_id", T.slugify("text").alias("slug"))
+    return S.spread(S.read(spark, sf, "documents")).select("doc_id", T.slugify("text").alias("slug"))
 
 
 _RAW_SEED = "regexp_replace(url, '^https://', '')"
@@ -314,7 +314,7 @@ _PAD = "'  ' || chr(10) || ' ' || text || ' ' || chr(10) || chr(10) || chr(10) |
 @register("md_clean", f"SELECT doc_id, {O.clean_markdown(_PAD)} AS cleaned FROM documents")
 def q_md_clean(spark, sf):
     pad = F.concat(F.lit("  \n "), F.col("text"), F.lit(" \n\n\n\n  "))
-    return S.read(spark, sf, "documents").select("doc_id", T.clean_markdown(pad).alias("cleaned"))
+    return S.spread(S.read(spark, sf, "documents")).select("doc_id", T.clean_markdown(pad).alias("cleaned"))
 
 
 @register("md_frontmatter", f"""
@@ -333,7 +333,7 @@ _WITH_FM = "'---' || chr(10) || 'title: \"' || substring(text, 1, 30) || '\"' ||
 SELECT doc_id, {O.strip_frontmatter(_WITH_FM)} AS with_block, {O.strip_frontmatter('text')} AS without_block
 FROM documents""")
 def q_md_strip_frontmatter(spark, sf):
-    d = S.read(spark, sf, "documents")
+    d = S.spread(S.read(spark, sf, "documents"))
     fm = F.concat(F.lit('---\ntitle: "'), F.substring("text", 1, 30), F.lit('"\n---\n\n'), F.col("text"))
     return d.select("doc_id", T.strip_frontmatter(fm).alias("with_block"),
                     T.strip_frontmatter(F.col("text")).alias("without_block"))

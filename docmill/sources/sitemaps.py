@@ -127,7 +127,7 @@ def discover(requests: DataFrame, sitemap_docs: DataFrame,
         F.col("url").alias("src"), F.col("pos").alias("position"), F.col("loc").alias("dst"))
     seeds = req.select("project_id", root.alias("url"), F.lit(0).cast("long").alias("seq"))
     files = bfs(seeds, children, expandable=ok_files)
-    files = running_count(files, ["project_id"], ["depth", "seq"], out="file_no") \
+    files = running_count(files, ["project_id"], ["depth", "key"], out="file_no") \
         .filter(F.col("file_no") <= max_files)
     pages = (files.select("project_id", F.col("url").alias("file"), "file_no")
                   .join(parsed.filter(F.col("kind") == "url")

@@ -39,10 +39,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, target: int | None = None) -> DataFrame:
+    """Give CPU-heavy row work (HTML parse, whole-text regexes) at least one
+    task per core: when the scan yields fewer input splits than the
+    cluster's default parallelism (e.g. a file with one row group), a
+    round-robin repartition spreads the rows. On large inputs the scan
+    already has many splits and this is a no-op (no shuffle)."""
+    t = target or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < t:
+        return df.repartition(t)
+    return df
+
+
 def page_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's ``pages`` as an archive; missing columns default to a
     successful HTML response (200, ``text/html``)."""
-    p = read(spark, sf_dir, "pages")
+    p = spread(read(spark, sf_dir, "pages"))
     cols = set(p.columns)
     status = F.col("status") if "status" in cols else F.lit(200)
     ctype = F.col("content_type") if "content_type" in cols else F.lit("text/html; charset=utf-8")
@@ -54,7 +66,7 @@ def library_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a library: project = source, position = doc_id,
     page id = md5 of the page URL (doc URL built from source and doc_id),
     title = first 60 characters, content = text."""
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     url = F.concat(F.lit("https://docs.example.org/"), F.col("source"), F.lit("/"),
                    F.col("doc_id").cast("string"))
     return d.select(
@@ -125,10 +137,11 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     cus = read(spark, sf_dir, "orders").select(
         key("c", "o_custkey").alias("src"), key("o", "o_orderkey").alias("dst"),
         F.col("o_orderkey").cast("long").alias("k"))
-    ordr = (read(spark, sf_dir, "lineitem")
-            .select(key("o", "l_orderkey").alias("src"), key("s", "l_suppkey").alias("dst"),
-                    F.col("l_suppkey").cast("long").alias("k"))
-            .dropDuplicates(["src", "dst"]))
+    # repeated (order, supplier) pairs are repeated links: kept, as a page
+    # may link a target twice; BFS takes the first position anyway
+    ordr = read(spark, sf_dir, "lineitem").select(
+        key("o", "l_orderkey").alias("src"), key("s", "l_suppkey").alias("dst"),
+        F.col("l_suppkey").cast("long").alias("k"))
     sup = read(spark, sf_dir, "supplier").select(
         key("s", "s_suppkey").alias("src"), key("n", "s_nationkey").alias("dst"),
         F.col("s_nationkey").cast("long").alias("k"))
