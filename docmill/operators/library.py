@@ -106,11 +106,21 @@ def export_single_text(lib: DataFrame, project_id: str) -> DataFrame:
 
 
 def write_export(pieces: DataFrame, path: str) -> None:
-    """Ordered, sharded text export: files per project, in part order."""
-    (pieces.repartitionByRange("project_id", "position")
-           .sortWithinPartitions("project_id", "position")
-           .select("project_id", "piece").write.mode("overwrite")
-           .option("lineSep", "").partitionBy("project_id").text(path))
+    """Ordered, sharded text export: one folder per project whose part
+    files, concatenated in name order, are the export text.
+
+    Rows are the lines of each piece without its final newline (the writer
+    ends every row with one), so pieces that end in a newline -- every
+    converted page does -- are reproduced byte for byte; a piece without a
+    final newline gets one. Range partitioning keeps the order and splits a
+    large project over many tasks."""
+    body = F.regexp_replace(F.col("piece"), "\n\\z", "")
+    lines = pieces.select("project_id", "position",
+                          F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
+    (lines.repartitionByRange("project_id", "position", "line_no")
+          .sortWithinPartitions("project_id", "position", "line_no")
+          .select("project_id", "line").write.mode("overwrite")
+          .partitionBy("project_id").text(path))
 
 
 def stored_in_manifest(lib: DataFrame) -> DataFrame:
@@ -152,6 +162,19 @@ def export_payload_items(lib: DataFrame) -> DataFrame:
                       .alias("item"))
 
 
+def write_payload(items: DataFrame, path: str) -> None:
+    """The agent payload as a JSON array per project, written as ordered
+    pieces ('[' + item, ', ' + item, ..., ']') sharded by range, so no
+    project is gathered into one task."""
+    from ..operators.scan import running_count
+    r = running_count(items, ["project_id"], ["position"], out="_k")
+    last = items.groupBy("project_id").agg(F.max("position").alias("_last"))
+    piece = F.concat(F.when(F.col("_k") == 1, F.lit("[")).otherwise(F.lit(", ")), F.col("item"),
+                     F.when(F.col("position") == F.col("_last"), F.lit("]")).otherwise(F.lit("")))
+    out = r.join(last, "project_id").select("project_id", "position", piece.alias("piece"))
+    write_export(out, path)
+
+
 def payload_file_name(projects: DataFrame) -> DataFrame:
     """``<authority with ':'->'_'>_<project_id>.json`` ('docs' if no authority)."""
     dom = url_authority(F.col("url"))

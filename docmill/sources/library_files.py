@@ -32,7 +32,7 @@ def read_manifests(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
 
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """-> (project_id, page_id, content): one whole file per row."""
-    t = spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/*/*.md")
+    t = spark.read.text(f"{root.rstrip('/')}/*/*.md", wholetext=True)
     path = F.col("_metadata.file_path")
     return t.select(F.regexp_extract(path, r"/([^/]+)/[^/]+\.md$", 1).alias("project_id"),
                     F.regexp_extract(path, r"/([^/]+)\.md$", 1).alias("page_id"),
