@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from .scan import running_count
+from .scan import running_count, running_max
 
 # --- fixed values: client phases and the events that set them -------------
 PHASE_OF_EVENT = {
@@ -135,7 +135,8 @@ def parse_event_log(lines: DataFrame) -> DataFrame:
     A ``data:`` line takes the latest ``event:`` line after the previous
     ``data:`` line of the job; data without an event name, and bad JSON, are
     dropped. The lookup is two running "last value" scans keyed by job and
-    ordered by line number.
+    ordered by line number, chunked so a huge job spans many tasks
+    (:func:`scan.running_max`).
     """
     is_ev = F.col("line").startswith("event: ")
     is_data = F.col("line").startswith("data: ")
@@ -145,9 +146,10 @@ def parse_event_log(lines: DataFrame) -> DataFrame:
                                py_strip(F.substring(F.col("line"), 8, 1 << 30)).alias("name")))
          .alias("_ev"),
         F.when(is_data, F.substring(F.col("line"), 7, 1 << 30)).alias("_data"))
-    w = Window.partitionBy("job_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    lab = lab.withColumn("_last_ev", F.max("_ev").over(w)) \
-             .withColumn("_last_data", F.max(F.when(F.col("_data").isNotNull(), F.col("line_no"))).over(w))
+    lab = running_max(lab, ["job_id"], ["line_no"], {
+        "_last_ev": F.col("_ev"),
+        "_last_data": F.when(F.col("_data").isNotNull(), F.col("line_no")),
+    }, exclusive=True)
     ok = (F.col("_data").isNotNull() & F.col("_last_ev").isNotNull()
           & (F.col("_last_ev.at") > F.coalesce(F.col("_last_data"), F.lit(-1)))
           & (F.length(F.col("_last_ev.name")) > 0))

@@ -113,3 +113,34 @@ def global_rank(df: DataFrame, order, out: str = "n",
     window."""
     tmp = df.withColumn("_all", F.lit(0))
     return running_count(tmp, ["_all"], order, out=out, partitions=partitions).drop("_all")
+
+
+def running_max(df: DataFrame, keys, order, values: dict, exclusive: bool = True,
+                partitions: int | None = None, per_part: int = 32) -> DataFrame:
+    """Adds, per output name, the running ``max`` of a value Column per key
+    in ``order`` (rows strictly before the row when ``exclusive``), with
+    the same chunking as :func:`running_count`: a window per (key, chunk)
+    plus the carry-in from earlier chunks of the key (a small table)."""
+    keys, order = list(keys), list(order)
+    cols = keys + order
+    p = _parts(df, partitions)
+    bounds = range_bounds(df, cols, p, per_part)
+    tagged = df.withColumn("_chunk", chunk_of(df, cols, bounds))
+    for name, expr in values.items():
+        tagged = tagged.withColumn("_v_" + name, expr)
+    hi = -1 if exclusive else 0
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
+    local = tagged
+    for name in values:
+        local = local.withColumn("_l_" + name, F.max("_v_" + name).over(w))
+    if not bounds:
+        for name in values:
+            local = local.withColumnRenamed("_l_" + name, name)
+        return local.drop("_chunk", *["_v_" + n for n in values])
+    stats = tagged.groupBy(*keys, "_chunk").agg(*[F.max("_v_" + n).alias("_m_" + n) for n in values])
+    ws = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = stats.select(*keys, "_chunk", *[F.max("_m_" + n).over(ws).alias("_c_" + n) for n in values])
+    out = local.join(carry, keys + ["_chunk"], "left")
+    for name in values:
+        out = out.withColumn(name, F.greatest(F.col("_l_" + name), F.col("_c_" + name)))
+    return out.drop("_chunk", *[p + n for n in values for p in ("_v_", "_l_", "_c_")])

@@ -23,3 +23,15 @@ def test_global_rank(spark):
     r = global_rank(df, ["v"], partitions=4)
     assert sorted(x.n for x in r.collect()) == list(range(1, 501))
     assert r.filter("n != v + 1").count() == 0
+
+
+def test_running_max_hot_key(spark):
+    from docmill.operators.scan import running_max
+    rnd = random.Random(5)
+    rows = [("hot" if rnd.random() < 0.7 else "k%d" % rnd.randrange(5), i, rnd.randrange(100)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, t long, v long")
+    a = running_max(df, ["k"], ["t"], {"m": F.col("v")}, exclusive=True, partitions=8, per_part=4)
+    w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    b = df.withColumn("m2", F.max("v").over(w))
+    j = a.join(b, ["k", "t"])
+    assert j.filter("NOT (m <=> m2)").count() == 0 and a.count() == 2000
