@@ -27,7 +27,7 @@ from ..functions.urls import is_doc_link, normalize_url, page_id, project_name,
 from ..session import checkpoint_root
 from .content import analyze_pages, anchors
 from .html_nodes import with_nodes
-from .scan import running_count
+from .scan import bounded_broadcast, running_count
 from ..sources.archive import html_gate
 
 
@@ -41,8 +41,9 @@ def archive_index(archive: DataFrame) -> DataFrame:
     and only the losing rows are dropped. Adds ``kept``/``reason``.
     """
     g = html_gate(archive).withColumn("url_key", normalize_url(F.col("url")))
-    dups = (g.groupBy("url_key").agg(F.count(F.lit(1)).alias("_n"), F.min("page_id").alias("_win"))
-             .filter(F.col("_n") > 1).select("url_key", "_win"))
+    dups = bounded_broadcast(
+        g.groupBy("url_key").agg(F.count(F.lit(1)).alias("_n"), F.min("page_id").alias("_win"))
+         .filter(F.col("_n") > 1).select("url_key", "_win"))
     return (g.join(dups, "url_key", "left")
              .filter(F.col("_win").isNull() | (F.col("page_id") == F.col("_win")))
              .drop("_win"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import EXPORT_SEPARATOR, first_hit, hit_count, slugify
 from ..functions.urls import url_authority
-from .scan import running_count
+from .scan import bounded_broadcast, running_count
 
 # --- fixed values: texts of the library listing and the resource catalogue.
 # The library's own name is a parameter (LIBRARY_NAME); the rest of the
@@ -34,17 +34,23 @@ def _nonempty(c: Column) -> Column:
 
 
 # SNK-1 ---------------------------------------------------------------------
-def save_last_wins(lib: DataFrame) -> DataFrame:
-    """One stored text per (project, page_id): the last position wins.
+def _last_writes(lib: DataFrame) -> DataFrame:
+    """Keys written more than once and their winning (last) position.
 
-    ``max_by`` is a partial aggregate, so a repeated id never gathers its
-    rows in one task.
-    """
-    return (lib.groupBy("project_id", "page_id")
-               .agg(F.max_by(F.struct("position", "content"), F.col("position")).alias("w"))
-               .select("project_id", "page_id",
-                       F.col("w.position").alias("position"),
-                       F.col("w.content").alias("content")))
+    A partial aggregate over narrow columns; normally tiny, so the joins
+    that use it are broadcast by AQE and page texts never shuffle."""
+    return bounded_broadcast(
+        lib.groupBy("project_id", "page_id")
+           .agg(F.count(F.lit(1)).alias("_n"), F.max("position").alias("_win"))
+           .filter(F.col("_n") > 1).select("project_id", "page_id", "_win"))
+
+
+def save_last_wins(lib: DataFrame) -> DataFrame:
+    """One stored text per (project, page_id): the last position wins."""
+    d = _last_writes(lib)
+    return (lib.join(d, ["project_id", "page_id"], "left")
+               .filter(F.col("_win").isNull() | (F.col("position") == F.col("_win")))
+               .select("project_id", "page_id", "position", "content"))
 
 
 def stored_content(lib: DataFrame) -> DataFrame:
@@ -124,10 +130,18 @@ def write_export(pieces: DataFrame, path: str) -> None:
 
 
 def stored_in_manifest(lib: DataFrame) -> DataFrame:
-    """LIB-9: manifest entries joined to stored text (last write per id)."""
-    stored = save_last_wins(lib).select("project_id", "page_id", F.col("content"))
-    return lib.select("project_id", "position", "page_id", "title", "url") \
-              .join(stored, ["project_id", "page_id"], "left")
+    """LIB-9: manifest entries with the stored text of their page id (the
+    last write when an id repeats; every entry keeps its own row)."""
+    d = _last_writes(lib)
+    j = lib.join(d, ["project_id", "page_id"], "left")
+    plain = j.filter(F.col("_win").isNull()).drop("_win")
+    rep = j.filter(F.col("_win").isNotNull())
+    winners = rep.filter(F.col("position") == F.col("_win")) \
+                 .select("project_id", "page_id", F.col("content").alias("_c"))
+    fixed = rep.drop("content").join(winners, ["project_id", "page_id"], "left") \
+               .withColumnRenamed("_c", "content").drop("_win")
+    cols = ["project_id", "position", "page_id", "title", "url", "content"]
+    return plain.select(*cols).unionByName(fixed.select(*cols))
 
 
 # SNK-4 ---------------------------------------------------------------------

@@ -144,3 +144,14 @@ def running_max(df: DataFrame, keys, order, values: dict, exclusive: bool = True
     for name in values:
         out = out.withColumn(name, F.greatest(F.col("_l_" + name), F.col("_c_" + name)))
     return out.drop("_chunk", *[p + n for n in values for p in ("_v_", "_l_", "_c_")])
+
+
+# Largest table broadcast without a second look (rows); about 100 bytes a row.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when its measured row count is within ``max_rows``,
+    else ``df`` unchanged (a shuffle join, with AQE skew splitting). The
+    count is one pass over an already-narrow table."""
+    return F.broadcast(df) if df.count() <= max_rows else df
