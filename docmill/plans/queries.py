@@ -229,7 +229,8 @@ _H1 = O.strip(O.entities("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)"))
 
 @register("htm_title", f"SELECT page_id, {_H1} AS title FROM pages")
 def q_htm_title(spark, sf):
-    return _analyzed(spark, sf).select("page_id", "title")
+    p = with_nodes(_pages(spark, sf).select("page_id", "html"))
+    return p.select("page_id", C.page_title(F.col("nodes")).alias("title"))
 
 
 _TT = O.strip(O.entities("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))
@@ -321,7 +322,8 @@ def q_md_clean(spark, sf):
 SELECT page_id, '---' || chr(10) || 'title: "' || {_H1} || '"' || chr(10) || 'source: "' || {O.normalize('url')}
        || '"' || chr(10) || 'scraped_at: "{SCRAPED_ON}"' || chr(10) || '---' AS frontmatter FROM pages""")
 def q_md_frontmatter(spark, sf):
-    a = _analyzed(spark, sf)
+    a = with_nodes(_pages(spark, sf).select("page_id", "url", "html")) \
+        .withColumn("title", C.page_title(F.col("nodes")))
     return a.select("page_id", T.frontmatter(F.col("title"), U.normalize_url("url"),
                                              F.lit(SCRAPED_ON)).alias("frontmatter"))
 
