@@ -58,6 +58,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def materialize_cols(df, cols: dict):
+    """Adds computed columns through a one-row ``inline`` generator, so a
+    later filter on them cannot be pushed below and re-evaluate them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def _part(url, idx: int) -> Column:
     return F.regexp_extract(_c(url), URL_PARTS_RE, idx)
 

@@ -65,9 +65,9 @@ def page_links(analyzed: DataFrame) -> DataFrame:
     normalized; the per-crawl doc-link filter is applied during the crawl."""
     e = analyzed.select(F.col("url_key").alias("src"),
                         F.posexplode("hrefs").alias("position", "href"))
-    e = e.withColumn("_abs", resolve_url(F.col("src"), F.col("href")))
-    return e.select("src", (F.col("position") + 1).alias("position"),
-                    normalize_url(F.col("_abs")).alias("dst"))
+    from ..functions.urls import materialize_cols
+    e = materialize_cols(e, {"dst": normalize_url(resolve_url(F.col("src"), F.col("href")))})
+    return e.select("src", (F.col("position") + 1).alias("position"), "dst")
 
 
 # --------------------------------------------------------------------- BFS

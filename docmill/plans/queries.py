@@ -143,8 +143,8 @@ def q_url_doc_links(spark, sf):
     base = F.concat(_site_root(F.col("url")), F.lit("/"),
                     F.split_part(F.regexp_replace(U.url_path("url"), "^/+", ""), F.lit("/"), F.lit(1)))
     link = U.normalize_url(U.resolve_url(U.normalize_url(F.col("url")), F.col("href")))
-    return a.select("page_id", "pos", link.alias("link"), base.alias("_b")) \
-            .filter(U.is_doc_link(F.col("link"), F.col("_b"))).drop("_b")
+    return U.materialize_cols(a.select("page_id", "pos", "url", "href"), {"link": link, "_b": base}) \
+            .filter(U.is_doc_link(F.col("link"), F.col("_b"))).select("page_id", "pos", "link")
 
 
 @register("url_slugify", f"SELECT doc_id, {O.slugify('text')} AS slug FROM documents")
@@ -264,8 +264,8 @@ def _links(spark, sf, scope):
     rows = _anchor_rows(a, nodes)
     cur = U.normalize_url(F.col("url"))
     link = U.normalize_url(U.resolve_url(cur, F.col("href")))
-    return (rows.select("page_id", "pos", link.alias("dst_url"), _site_root(cur).alias("_base"))
-                .filter(U.is_doc_link(F.col("dst_url"), F.col("_base"))).drop("_base"))
+    m = U.materialize_cols(rows, {"dst_url": link, "_base": _site_root(cur)})
+    return m.filter(U.is_doc_link(F.col("dst_url"), F.col("_base"))).select("page_id", "pos", "dst_url")
 
 
 _LINK_SQL = O.normalize(_ABS_SQL)
