@@ -257,9 +257,10 @@ def crawl_job(spark: SparkSession, requests: DataFrame, archive: DataFrame,
         "project_id", "url", "name", "max_pages", "max_depth",
         normalize_url(F.col("url")).alias("base_url"))
     req = req.withColumn("name", F.coalesce(F.col("name"), project_name(F.col("url"))))
-    idx = archive_index(archive)
+    # narrow key table (no HTML) read by every level: written once
+    idx = _materialize(archive_index(archive).select("url_key", "page_id", "kept", "reason"))
     # parse once: the page table every later step reads is materialized
-    an = _ckpt(analyzed_archive(archive, scope).select(
+    an = _materialize(analyzed_archive(archive, scope).select(
         "url_key", "page_id", "title", "root", "content", "hrefs", "has_content"))
     links = page_links(an)
     disc = None
@@ -270,7 +271,7 @@ def crawl_job(spark: SparkSession, requests: DataFrame, archive: DataFrame,
     visits = bfs(sd, links, requests=req.select("project_id", "base_url", "max_depth", "max_pages"),
                  link_ok=is_doc_link(F.col("dst"), F.col("base_url")),
                  expandable=idx.filter("kept").select(F.col("url_key").alias("url")),
-                 content=an.filter("has_content").select(F.col("url_key").alias("url")))
+                 content=_materialize(an.filter("has_content").select(F.col("url_key").alias("url"))))
     crawled = (visits.join(an.filter("has_content").select(
                     F.col("url_key").alias("url"), "title", "content", "root"), "url")
                .join(req.select("project_id", "max_pages"), "project_id"))

@@ -283,3 +283,30 @@ def q_crw_sitemap_urls(spark, sf):
     req = arch.select(_site(F.col("url")).alias("project_id")).distinct() \
               .withColumn("url", F.col("project_id"))
     return discover(req, docs).select("project_id", "url", "seq")
+
+
+@register("job_skip_histogram", f"""
+WITH seeds AS (
+  SELECT DISTINCT {SITE_SQL} AS project_id, {SITE_SQL} AS url FROM pages
+  UNION SELECT project_id, url FROM {_NORM_PAGES}),
+lvl1 AS (
+  SELECT DISTINCT l.project_id, l.dst AS url FROM {_LINKS} l
+  JOIN seeds s ON s.project_id = l.project_id AND s.url = l.src
+  WHERE NOT {O.is_asset('l.dst')} AND {O.url_part('l.dst', 3)} = {O.url_part('l.project_id', 3)}
+  EXCEPT SELECT project_id, url FROM seeds),
+v AS (SELECT project_id, url FROM seeds UNION ALL SELECT project_id, url FROM lvl1),
+o AS (SELECT project_id, CASE WHEN url IN (SELECT url FROM {_NORM_PAGES}) THEN 'scraped' ELSE 'error' END AS reason
+      FROM v)
+SELECT project_id,
+       count(*) FILTER (WHERE reason = 'not_html') AS not_html,
+       count(*) FILTER (WHERE reason = 'error') AS error,
+       count(*) FILTER (WHERE reason = 'playwright_not_installed') AS playwright_not_installed
+FROM o GROUP BY project_id""")
+def q_job_skip_histogram(spark, sf):
+    """JOB-7 on the crawl's own skip events: per crawl, skips by reason
+    (the server drops these events; the crawl outcomes keep them)."""
+    from ..operators.jobs import SKIP_REASONS, event_histogram
+    job = _site_crawl(spark, sf, "all", 1)
+    o = CR.outcomes(job["visits"], job["index"], job["analyzed"])
+    skips = o.select(F.col("project_id").alias("job_id"), F.col("outcome").alias("reason"))
+    return event_histogram(skips, SKIP_REASONS, col="reason").withColumnRenamed("job_id", "project_id")

@@ -45,10 +45,12 @@ def spread(df: DataFrame, target: int | None = None) -> DataFrame:
     cluster's default parallelism (e.g. a file with one row group), a
     round-robin repartition spreads the rows. On large inputs the scan
     already has many splits and this is a no-op (no shuffle)."""
-    t = target or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < t:
-        return df.repartition(t)
-    return df
+    try:
+        t = target or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session): leave the scan as is
+        return df
+    return df.repartition(t) if n < t else df
 
 
 def page_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
