@@ -274,9 +274,10 @@ def crawl_job(spark: SparkSession, requests: DataFrame, archive: DataFrame,
                  content=_materialize(an.filter("has_content").select(F.col("url_key").alias("url"))))
     crawled = (visits.join(an.filter("has_content").select(
                     F.col("url_key").alias("url"), "title", "content", "root"), "url")
-               .join(req.select("project_id", "max_pages"), "project_id"))
-    crawled = page_cap(crawled).drop("max_pages")
+               .join(bounded_broadcast(req.select("project_id", "max_pages")), "project_id"))
+    # CRW-6/7: skew-safe crawl position, then the per-request cap
     crawled = running_count(crawled, ["project_id"], ["depth", "key"], out="position") \
+        .filter(F.col("position") <= F.col("max_pages")).drop("max_pages") \
         .withColumn("page_id", page_id(F.col("url")))
     counts = crawled.groupBy("project_id").agg(F.count(F.lit(1)).alias("page_count"))
     summary = (req.join(counts, "project_id", "left")

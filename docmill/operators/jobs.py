@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from .scan import running_count, running_max
+from .scan import bounded_broadcast, running_count, running_max
 
 # --- fixed values: client phases and the events that set them -------------
 PHASE_OF_EVENT = {
@@ -97,10 +97,10 @@ def cancel_cut(ev: DataFrame, cancels: DataFrame) -> DataFrame:
     """JOB-5: events strictly before the job's first cancel; jobs without a
     cancel keep everything. Per job: kept events, kept pages, outcome.
 
-    The per-job cancel table has one row per job; the join is planned by
-    AQE (broadcast when its measured size is small, else a shuffle join
-    with skew splitting)."""
-    c = cancel_times(cancels)
+    The per-job cancel table has one row per job; it is broadcast when its
+    measured row count is within bounds, else joined by shuffle (AQE splits
+    a hot job's partition)."""
+    c = bounded_broadcast(cancel_times(cancels))
     kept = F.col("_c").isNull() | (F.struct("ts", "event_id") < F.col("_c"))
     agg = ev.join(c, "job_id", "left").groupBy("job_id").agg(
         F.count_if(kept).alias("kept_events"),

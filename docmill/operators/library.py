@@ -96,7 +96,7 @@ def export_single_pieces(lib: DataFrame) -> DataFrame:
     order, every piece after the first prefixed by the separator. Writing
     the pieces in (project, position) order gives the export text."""
     ne = stored_in_manifest(lib).filter(_nonempty(F.col("content")))
-    first = ne.groupBy("project_id").agg(F.min("position").alias("_first"))
+    first = bounded_broadcast(ne.groupBy("project_id").agg(F.min("position").alias("_first")))
     return (ne.join(first, "project_id")
               .select("project_id", "position",
                       F.when(F.col("position") == F.col("_first"), F.col("content"))
@@ -158,7 +158,7 @@ def export_multi_names(lib: DataFrame, projects: DataFrame) -> DataFrame:
     nn = F.when(F.length(nn) < 2, F.lpad(nn, 2, "0")).otherwise(nn)
     leaf = F.when(F.col("k") > 1, F.concat("slug", F.lit("-"), F.col("k").cast("string"))) \
             .otherwise(F.col("slug"))
-    return (ne.join(projects.select("project_id", "name"), "project_id")
+    return (ne.join(bounded_broadcast(projects.select("project_id", "name")), "project_id")
               .select("project_id", "position", "page_id",
                       F.concat(slugify(F.col("name")), F.lit("/"), nn, F.lit("-"), leaf,
                                F.lit(".md")).alias("entry"),
@@ -182,7 +182,7 @@ def write_payload(items: DataFrame, path: str) -> None:
     project is gathered into one task."""
     from ..operators.scan import running_count
     r = running_count(items, ["project_id"], ["position"], out="_k")
-    last = items.groupBy("project_id").agg(F.max("position").alias("_last"))
+    last = bounded_broadcast(items.groupBy("project_id").agg(F.max("position").alias("_last")))
     piece = F.concat(F.when(F.col("_k") == 1, F.lit("[")).otherwise(F.lit(", ")), F.col("item"),
                      F.when(F.col("position") == F.col("_last"), F.lit("]")).otherwise(F.lit("")))
     out = r.join(last, "project_id").select("project_id", "position", piece.alias("piece"))
