@@ -310,3 +310,12 @@ def q_job_skip_histogram(spark, sf):
     o = CR.outcomes(job["visits"], job["index"], job["analyzed"])
     skips = o.select(F.col("project_id").alias("job_id"), F.col("outcome").alias("reason"))
     return event_histogram(skips, SKIP_REASONS, col="reason").withColumnRenamed("job_id", "project_id")
+
+
+from .queries import _CANCEL_SQL  # noqa: E402
+
+
+@register("str_cancel_cut", _CANCEL_SQL)
+def q_str_cancel_cut(spark, sf):
+    from ..streaming.progress import run_cancel_cut
+    return run_cancel_cut(spark, sf)

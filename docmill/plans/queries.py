@@ -597,7 +597,7 @@ def q_job_progress(spark, sf):
     return J.progress(_ev(spark, sf), MAX_PAGES)
 
 
-@register("job_cancel_cut", f"""
+_CANCEL_SQL = f"""
 SELECT e.job_id,
        count(*) FILTER (WHERE c.cts IS NULL OR (e.ts, e.event_id) < c.cts) AS kept_events,
        count(*) FILTER (WHERE (c.cts IS NULL OR (e.ts, e.event_id) < c.cts) AND e.event = 'page_scraped') AS kept_pages,
@@ -606,7 +606,10 @@ SELECT e.job_id,
                                    AND e.event = 'page_scraped') > 0 THEN 'complete' ELSE 'error' END AS outcome
 FROM {_EV} e LEFT JOIN (SELECT job_id, min((ts, event_id)) AS cts FROM {_EV} WHERE event = 'error' GROUP BY job_id) c
   USING (job_id)
-GROUP BY e.job_id""")
+GROUP BY e.job_id"""
+
+
+@register("job_cancel_cut", _CANCEL_SQL)
 def q_job_cancel(spark, sf):
     ev = _ev(spark, sf)
     return J.cancel_cut(ev, ev.filter(F.col("event") == "error"))

@@ -197,3 +197,60 @@ def run_event_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     _drain(event_stream(spark, sf_dir).writeStream.option("checkpointLocation", ck)
            .foreachBatch(append), "str_event_log")
     return spark.read.parquet(out)
+
+
+# JOB-5 live ------------------------------------------------------------------
+CUT_STATE = T.StructType([
+    T.StructField("cancel_us", T.LongType()), T.StructField("cancel_id", T.LongType()),
+])
+CUT_OUT = T.StructType([
+    T.StructField("job_id", T.LongType()), T.StructField("kept_events", T.LongType()),
+    T.StructField("kept_pages", T.LongType()), T.StructField("cancelled", T.BooleanType()),
+])
+
+
+def _cancel_cut(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per job: remember the first cancel (by (ts, event_id)); count the
+    events strictly before it. Emits one delta row per job and batch."""
+    job_id = key[0]
+    c_us, c_id = state.get if state.exists else (None, None)
+    frames = [p for p in pdfs]
+    pdf = pd.concat(frames) if frames else pd.DataFrame(columns=["event", "ts", "event_id"])
+    us = pdf["ts"].astype("datetime64[us]").astype("int64") if len(pdf) else pd.Series([], dtype="int64")
+    pdf = pdf.assign(_us=us)
+    errs = pdf[pdf["event"] == "error"]
+    if len(errs):
+        first = errs.sort_values(["_us", "event_id"]).iloc[0]
+        cand = (int(first["_us"]), int(first["event_id"]))
+        if c_us is None or cand < (c_us, c_id):
+            c_us, c_id = cand
+    if c_us is not None:
+        state.update((c_us, c_id))
+        before = (pdf["_us"] < c_us) | ((pdf["_us"] == c_us) & (pdf["event_id"] < c_id))
+        kept = pdf[before]
+    else:
+        kept = pdf
+    yield pd.DataFrame({"job_id": [job_id], "kept_events": [len(kept)],
+                        "kept_pages": [int((kept["event"] == "page_scraped").sum())],
+                        "cancelled": [c_us is not None]})
+
+
+def run_cancel_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOB-5 live: cancels are the job's error events; state per job holds
+    the first cancel. Result = per-job sums of the emitted deltas. (Events
+    that arrive in a batch before their job's cancel is known are counted
+    then; with a single drain they are cut exactly as in batch.)"""
+    ev = event_stream(spark, sf_dir)
+    out = shared_path(spark, "str_cancel", "table")
+    ck = shared_path(spark, "str_cancel", "ckpt")
+    q = (ev.groupBy("job_id")
+           .applyInPandasWithState(_cancel_cut, CUT_OUT, CUT_STATE, "append", GroupStateTimeout.NoTimeout))
+    _drain(q.writeStream.outputMode("append").format("parquet").option("path", out)
+            .option("checkpointLocation", ck), "str_cancel")
+    t = spark.read.schema(CUT_OUT).parquet(out)
+    agg = t.groupBy("job_id").agg(F.sum("kept_events").alias("kept_events"),
+                                  F.sum("kept_pages").alias("kept_pages"),
+                                  F.max("cancelled").alias("cancelled"))
+    return agg.select("job_id", "kept_events", "kept_pages", "cancelled",
+                      F.when(F.col("kept_pages") > 0, F.lit("complete")).otherwise(F.lit("error"))
+                       .alias("outcome"))
