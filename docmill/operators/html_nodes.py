@@ -152,3 +152,9 @@ def nodes_table(df, key_cols=("page_id",), nodes_col: str = "nodes"):
 def start_tag_counts(nodes: Column) -> Column:
     """Elements only (text nodes left out); used by the node-count query."""
     return F.filter(nodes, lambda n: n.tag != TEXT)
+
+
+def register_sql_functions(spark) -> None:
+    """Makes the parser callable from SQL:
+    ``SELECT page_id, n.* FROM pages LATERAL VIEW explode(parse_html_nodes(html)) t AS n``."""
+    spark.udf.register("parse_html_nodes", parse_html_nodes)

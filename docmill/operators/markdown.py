@@ -92,9 +92,10 @@ def _chomp(text):
 
 
 class _Renderer:
-    def __init__(self, tree: _Tree, look_at_code: bool = False):
+    def __init__(self, tree: _Tree, look_at_code: bool = False, language_fn=None):
         self.t = tree
         self.look_at_code = look_at_code
+        self.language_fn = language_fn
 
     def kids_text(self, n, ctx):
         out = []
@@ -166,8 +167,11 @@ class _Renderer:
             if not code:
                 return ""
             inner = [c for c in self.t.children(n) if c["tag"] == "code"]
-            lang = detect_language(n.get("classes"), inner[0].get("classes") if inner else None,
-                                   self.look_at_code) or ""
+            inner_cls = inner[0].get("classes") if inner else None
+            if self.language_fn is not None:
+                lang = self.language_fn(n.get("classes") or [], inner_cls or []) or ""
+            else:
+                lang = detect_language(n.get("classes"), inner_cls, self.look_at_code) or ""
             return f"\n\n```{lang}\n{code}\n```\n\n"
         if tag == "a":
             lead, trail, txt = _chomp(self.kids_text(n, ctx))
@@ -282,10 +286,13 @@ def absolutize_nodes(nodes, page_url):
     return out
 
 
-def render_nodes(nodes, look_at_code: bool = False, page_url: str | None = None) -> str | None:
+def render_nodes(nodes, look_at_code: bool = False, page_url: str | None = None,
+                 language_fn=None) -> str | None:
     """Markdown of a node list whose first node is the content root.
 
-    With ``page_url``, link and image URLs are made absolute first."""
+    With ``page_url``, link and image URLs are made absolute first.
+    ``language_fn(pre_classes, code_classes) -> str | None`` replaces the
+    built-in code-language rule (the reference's language callback)."""
     if nodes is None:
         return None
     if not nodes:
@@ -293,7 +300,7 @@ def render_nodes(nodes, look_at_code: bool = False, page_url: str | None = None)
     if page_url:
         nodes = absolutize_nodes(nodes, page_url)
     tree = _Tree(nodes)
-    r = _Renderer(tree, look_at_code)
+    r = _Renderer(tree, look_at_code, language_fn)
     root = tree.root
     if root["tag"] == TEXT:
         return _WS.sub(" ", root.get("text") or "")
@@ -303,7 +310,8 @@ def render_nodes(nodes, look_at_code: bool = False, page_url: str | None = None)
 
 
 def render_table(df: DataFrame, keep, content_col: str = "content", url_col: str | None = "url",
-                 out: str = "markdown_raw", look_at_code: bool = False) -> DataFrame:
+                 out: str = "markdown_raw", look_at_code: bool = False,
+                 language_fn=None) -> DataFrame:
     """HTM-8 as a partition-wise Arrow job: ``keep`` columns pass through,
     ``out`` is the raw Markdown of ``content_col`` (links made absolute
     against ``url_col`` when given). Only the needed columns are shipped to
@@ -319,7 +327,7 @@ def render_table(df: DataFrame, keep, content_col: str = "content", url_col: str
             d = b.to_pydict()
             nodes = d[content_col]
             urls = d[url_col] if url_col else [None] * len(nodes)
-            md = [render_nodes(x, look_at_code, u) for x, u in zip(nodes, urls)]
+            md = [render_nodes(x, look_at_code, u, language_fn) for x, u in zip(nodes, urls)]
             arrays = [b.column(b.schema.get_field_index(k)) for k in names]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(md, type=pa.string())],
                                              names=names + [out])
@@ -327,7 +335,7 @@ def render_table(df: DataFrame, keep, content_col: str = "content", url_col: str
 
 
 def convert_pages(pages: DataFrame, scraped_on: str, url_col: str = "url",
-                  keep=None, look_at_code: bool = False) -> DataFrame:
+                  keep=None, look_at_code: bool = False, language_fn=None) -> DataFrame:
     """HTM-11 on a table with ``content`` (nodes), ``title`` and the page URL:
     ``markdown`` = frontmatter + newline + clean(render(absolutize(content))).
 
@@ -336,7 +344,8 @@ def convert_pages(pages: DataFrame, scraped_on: str, url_col: str = "url",
     keep = list(keep or [c for c in pages.columns if c not in ("content",)])
     if url_col not in keep:
         keep.append(url_col)
-    r = render_table(pages, keep, url_col=url_col, look_at_code=look_at_code)
+    r = render_table(pages, keep, url_col=url_col, look_at_code=look_at_code,
+                     language_fn=language_fn)
     md = clean_markdown(F.col("markdown_raw"))
     return r.withColumn("markdown", F.concat(
         frontmatter(F.col("title"), F.col(url_col), F.lit(scraped_on)), F.lit("\n"), md)) \

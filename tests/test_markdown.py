@@ -70,3 +70,19 @@ def test_convert_pages_frontmatter_and_absolute_links(spark):
     out = convert_pages(a, "2024-01-15", keep=["page_id", "url", "title"]).first().markdown
     assert out.startswith('---\ntitle: "Hello"\nsource: "https://h/docs/a"\nscraped_at: "2024-01-15"\n---\n')
     assert "[x](https://h/docs/x)" in out and out.endswith("\n") and "# Hello" in out
+
+
+def test_language_callback():
+    out = md('<pre class="x-py"><code>1</code></pre>',
+             language_fn=lambda pre, code: "py" if "x-py" in pre else None)
+    assert "```py\n1\n```" in out
+
+
+def test_parser_from_sql(spark):
+    from docmill.operators.html_nodes import register_sql_functions
+    register_sql_functions(spark)
+    spark.createDataFrame([(1, "<main><h1>T</h1><p>x</p></main>")], "page_id long, html string") \
+         .createOrReplaceTempView("pg")
+    rows = spark.sql("SELECT n.tag FROM pg LATERAL VIEW explode(parse_html_nodes(html)) t AS n "
+                     "WHERE n.tag <> '#text'").collect()
+    assert [r.tag for r in rows] == ["main", "h1", "p"]
