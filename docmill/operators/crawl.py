@@ -245,14 +245,18 @@ def in_degree(links: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- crawl job
 def crawl_job(spark: SparkSession, requests: DataFrame, archive: DataFrame,
-              sitemap_urls: DataFrame | None = None, scope: str = "stripped") -> dict:
+              sitemap_urls: DataFrame | None = None, scope: str = "stripped",
+              fold_base: bool = False, strict_segments: bool = False) -> dict:
     """CRW-10: requests -> seeds -> BFS over the archive -> capped pages.
 
     requests: (project_id, url, name, max_pages, max_depth). ``sitemap_urls``
     (project_id, url, seq) are discovered page URLs (CRW-2/3 output).
     Returns dict of DataFrames: visits, pages (capped, with title and
     content nodes), summary (one row per request; zero pages = failed).
+    ``fold_base`` / ``strict_segments`` repair the two path-prefix quirks
+    of the doc-link rule (kept by default).
     """
+    rules = {"fold_base": fold_base, "strict_segments": strict_segments}
     req = requests.select(
         "project_id", "url", "name", "max_pages", "max_depth",
         normalize_url(F.col("url")).alias("base_url"))
@@ -266,10 +270,10 @@ def crawl_job(spark: SparkSession, requests: DataFrame, archive: DataFrame,
     disc = None
     if sitemap_urls is not None:
         disc = first_seen(sitemap_urls).join(req.select("project_id", "base_url"), "project_id") \
-            .filter(is_doc_link(F.col("url"), F.col("base_url"))).select("project_id", "url", "seq")
+            .filter(is_doc_link(F.col("url"), F.col("base_url"), **rules)).select("project_id", "url", "seq")
     sd = seeds(req.select("project_id", "url"), disc)
     visits = bfs(sd, links, requests=req.select("project_id", "base_url", "max_depth", "max_pages"),
-                 link_ok=is_doc_link(F.col("dst"), F.col("base_url")),
+                 link_ok=is_doc_link(F.col("dst"), F.col("base_url"), **rules),
                  expandable=idx.filter("kept").select(F.col("url_key").alias("url")),
                  content=_materialize(an.filter("has_content").select(F.col("url_key").alias("url"))))
     crawled = (visits.join(an.filter("has_content").select(
