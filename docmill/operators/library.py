@@ -66,6 +66,30 @@ def write_library(lib: DataFrame, path: str, mode: str = "overwrite") -> None:
         .partitionBy("project_id").parquet(path))
 
 
+def read_library_table(spark, path: str, project_id: str | None = None) -> DataFrame:
+    """The stored library; a project filter prunes to that partition folder
+    (LIB-2/3 read one directory, as the reference does)."""
+    df = spark.read.parquet(path)
+    return df.filter(F.col("project_id") == project_id) if project_id is not None else df
+
+
+def delete_library_projects(spark, path: str, project_ids) -> dict:
+    """LIB-8 on the stored library: drop each project's partition folder
+    (Hadoop FileSystem API, so HDFS/object stores alike); answers whether
+    it existed. Only folder metadata is touched, no rows move."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = {}
+    for pid in project_ids:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/project_id={pid}")
+        fs = folder.getFileSystem(conf)
+        existed = bool(fs.exists(folder))
+        if existed:
+            fs.delete(folder, True)
+        out[pid] = existed
+    return out
+
+
 # SNK-2 ---------------------------------------------------------------------
 def manifest_entries(lib: DataFrame) -> DataFrame:
     """Manifest rows in order: ``entry_no`` is the 1-based manifest position."""

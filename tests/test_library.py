@@ -123,3 +123,22 @@ def test_payload_catalogue_cards(spark):
     assert L.resource_project_id(F.lit(c.uri)) is not None
     card = L.cards(proj).first()
     assert (card.scraped_on, card.library_total) == ("Mar 5, 2024", "1 project")
+
+
+def test_stored_library_pruning_and_delete(spark, tmpdir_path):
+    import os
+    lib, _ = _base(spark)
+    more = _lib(spark, [("p2", 1, "ccc", "X", "u", "other project")])
+    path = os.path.join(tmpdir_path, "lib")
+    L.write_library(lib.unionByName(more), path)
+    one = L.read_library_table(spark, path, "p2")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(project_id" in plan and "p2" in plan
+    assert [r.page_id for r in one.collect()] == ["ccc"]
+    assert L.delete_library_projects(spark, path, ["p2", "nope"]) == {"p2": True, "nope": False}
+    left = L.read_library_table(spark, path)
+    assert sorted(r.page_id for r in left.collect()) == ["aaa", "bbb"]
+    # dynamic overwrite replaces only the projects present in the new data
+    L.write_library(_lib(spark, [("p1", 1, "aaa", "Intro", "u", "new text")]), path)
+    got = {r.page_id: r.content for r in L.read_library_table(spark, path, "p1").collect()}
+    assert got == {"aaa": "new text"}
