@@ -124,7 +124,7 @@ def hit_count(content, term) -> Column:
 def first_hit(content, term) -> Column:
     """LIB-7: 1-based offset of the first hit, 0 if none or blank term."""
     q = F.lower(py_strip(_c(term)))
-    return F.when(F.length(q) == 0, F.lit(0)).otherwise(F.instr(F.lower(_c(content)), q))
+    return F.when(F.length(q) == 0, F.lit(0)).otherwise(F.instr(F.lower(_c(content)), q)).cast("long")
 
 
 def code_language(classes, extra_classes=None) -> Column:

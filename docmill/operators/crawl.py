@@ -186,7 +186,7 @@ def page_cap(pages: DataFrame, n: int | None = None, n_col: str = "max_pages",
     is cut map-side first."""
     w = Window.partitionBy("project_id").orderBy(*order)
     lim = F.lit(n) if n is not None else F.col(n_col)
-    out = pages.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= lim)
+    out = pages.withColumn("_r", F.row_number().over(w).cast("long")).filter(F.col("_r") <= lim)
     return out.withColumnRenamed("_r", rank_col) if rank_col else out.drop("_r")
 
 

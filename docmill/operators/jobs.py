@@ -68,7 +68,7 @@ def latest_pages(ev: DataFrame, n: int = 4) -> DataFrame:
     """JOB-3: the latest ``n`` page events per job."""
     w = Window.partitionBy("job_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     return (ev.filter(F.col("event") == "page_scraped")
-              .withColumn("rank", F.row_number().over(w))
+              .withColumn("rank", F.row_number().over(w).cast("long"))
               .filter(F.col("rank") <= n)
               .select("job_id", "event_id", "ts", "rank"))
 

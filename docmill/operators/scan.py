@@ -98,12 +98,12 @@ def running_count(df: DataFrame, keys, order, out: str = "n",
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     local = tagged.withColumn("_local", F.row_number().over(w))
     if not bounds:
-        return local.withColumnRenamed("_local", out).drop("_chunk")
+        return local.withColumn(out, F.col("_local").cast("long")).drop("_chunk", "_local")
     stats = tagged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
     ws = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offs = stats.select(*keys, "_chunk", F.coalesce(F.sum("_cnt").over(ws), F.lit(0)).alias("_off"))
     return (local.join(offs, keys + ["_chunk"])
-                 .withColumn(out, F.col("_local") + F.col("_off"))
+                 .withColumn(out, (F.col("_local") + F.col("_off")).cast("long"))
                  .drop("_chunk", "_local", "_off"))
 
 

@@ -58,7 +58,7 @@ def _site_root(url):
 
 def _anchor_rows(df, nodes_col):
     return df.select("page_id", "url", F.posexplode(C.anchors(F.col(nodes_col))).alias("pos", "href")) \
-             .withColumn("pos", F.col("pos") + 1)
+             .withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
 SQL_ROOT = f"lower({O.url_part('url', 1)}) || '://' || {O.url_part('url', 3)}"
@@ -305,7 +305,8 @@ def q_htm_abs_links(spark, sf):
                       F.col("n.attrs")[attr].alias("value"), "pos").filter(F.col("value").isNotNull())
     from pyspark.sql import Window
     w = Window.partitionBy("page_id", "tag").orderBy("pos")
-    return out.withColumn("pos", F.row_number().over(w)).select("page_id", "pos", "tag", "attr", "value")
+    return out.withColumn("pos", F.row_number().over(w).cast("long")) \
+              .select("page_id", "pos", "tag", "attr", "value")
 
 
 # =============================================================== HTM-9/10/12
