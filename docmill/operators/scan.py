@@ -99,7 +99,9 @@ def running_count(df: DataFrame, keys, order, out: str = "n",
     local = tagged.withColumn("_local", F.row_number().over(w))
     if not bounds:
         return local.withColumn(out, F.col("_local").cast("long")).drop("_chunk", "_local")
-    stats = tagged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
+    # summary from the windowed side: same shuffle (reused), no second pass
+    # over the input; the window output is already clustered on (key, chunk)
+    stats = local.groupBy(*keys, "_chunk").agg(F.max("_local").cast("long").alias("_cnt"))
     ws = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offs = stats.select(*keys, "_chunk", F.coalesce(F.sum("_cnt").over(ws), F.lit(0)).alias("_off"))
     return (local.join(offs, keys + ["_chunk"])
@@ -137,7 +139,7 @@ def running_max(df: DataFrame, keys, order, values: dict, exclusive: bool = True
         for name in values:
             local = local.withColumnRenamed("_l_" + name, name)
         return local.drop("_chunk", *["_v_" + n for n in values])
-    stats = tagged.groupBy(*keys, "_chunk").agg(*[F.max("_v_" + n).alias("_m_" + n) for n in values])
+    stats = local.groupBy(*keys, "_chunk").agg(*[F.max("_v_" + n).alias("_m_" + n) for n in values])
     ws = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = stats.select(*keys, "_chunk", *[F.max("_m_" + n).over(ws).alias("_c_" + n) for n in values])
     out = local.join(carry, keys + ["_chunk"], "left")
