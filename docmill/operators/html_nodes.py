@@ -150,8 +150,14 @@ def nodes_table(df, key_cols=("page_id",), nodes_col: str = "nodes"):
 
 
 def start_tag_counts(nodes: Column) -> Column:
-    """Elements only (text nodes left out); used by the node-count query."""
-    return F.filter(nodes, lambda n: n.tag != TEXT)
+    """Per page, ``array<struct<tag, n>>``: how many elements of each tag.
+
+    Counted inside the page's row (distinct tags, then a count per tag), so
+    a node-count table needs no shuffle: ``inline`` it next to the page key.
+    """
+    tags = F.transform(F.filter(nodes, lambda n: n.tag != TEXT), lambda n: n.tag)
+    return F.transform(F.array_distinct(tags), lambda t: F.struct(
+        t.alias("tag"), F.size(F.filter(tags, lambda x: x == t)).cast("long").alias("n")))
 
 
 def register_sql_functions(spark) -> None:

@@ -190,9 +190,9 @@ SELECT page_id, tag, count(*) AS n FROM (
   SELECT page_id, lower(unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1))) AS tag
   FROM pages) GROUP BY page_id, tag""")
 def q_htm_node_counts(spark, sf):
+    from ..operators.html_nodes import start_tag_counts
     p = with_nodes(_pages(spark, sf).select("page_id", "html"))
-    return (p.select("page_id", F.explode(F.filter("nodes", lambda n: n.tag != TEXT)).alias("n"))
-             .groupBy("page_id", F.col("n.tag").alias("tag")).agg(F.count(F.lit(1)).alias("n")))
+    return p.select("page_id", F.inline(start_tag_counts(F.col("nodes"))))
 
 
 def _strip_hit_sql():

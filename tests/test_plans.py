@@ -15,7 +15,7 @@ def _formatted(spark, df):
 
 def test_page_pipeline_has_no_hash_shuffle(spark):
     import __spark_entry__ as E
-    for name in ("htm_content_text", "htm_title", "htm_strip_counts"):
+    for name in ("htm_content_text", "htm_title", "htm_strip_counts", "htm_node_counts"):
         plan = _plan(E.queries()[name](spark, SF_SMALL))
         assert "hashpartitioning" not in plan, name          # nodes never shuffle
         assert "ArrowEvalPython" in plan, name               # one Arrow parse per page
