@@ -291,3 +291,29 @@ def crawl_job(spark: SparkSession, requests: DataFrame, archive: DataFrame,
                            .otherwise(F.lit("failed")).alias("status")))
     return {"visits": visits, "pages": crawled, "summary": summary, "index": idx,
             "analyzed": an, "links": links}
+
+
+def save_crawl(job: dict, path: str, scraped_at, scraped_on: str | None = None) -> dict:
+    """End of CRW-10: convert the capped pages, keep the last write per page
+    id, and write ``<path>/library`` (partitioned by project) and
+    ``<path>/projects``. Requests with zero pages are failed and write
+    nothing. Returns the two paths."""
+    from .library import write_library
+    from .markdown import convert_pages
+    day = scraped_on or scraped_at.strftime("%Y-%m-%d")
+    pages = job["pages"]
+    last = (pages.groupBy("project_id", "page_id")
+                 .agg(F.max_by(F.struct("position", "title", "url", "content"), F.col("position"))
+                      .alias("w"))
+                 .select("project_id", "page_id", "w.*"))
+    conv = convert_pages(last, day, keep=["project_id", "page_id", "position", "title", "url"])
+    lib = conv.select("project_id", "position", "page_id", "title", "url",
+                      F.col("markdown").alias("content"))
+    lib_path = f"{path.rstrip('/')}/library"
+    write_library(lib, lib_path)
+    ok = job["summary"].filter(F.col("status") == "ok")
+    proj_path = f"{path.rstrip('/')}/projects"
+    (ok.select("project_id", "name", "url", F.col("page_count").cast("int").alias("page_count"),
+               F.lit(scraped_at).cast("timestamp").alias("scraped_at"))
+       .write.mode("overwrite").parquet(proj_path))
+    return {"library": lib_path, "projects": proj_path}
