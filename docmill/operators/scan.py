@@ -62,12 +62,23 @@ def range_bounds(df: DataFrame, cols, partitions: int, per_part: int = 32,
     return sorted(out, key=_sort_key)
 
 
+CASE_TREE_MAX = 64  # up to this many bounds: a CASE tree; above: array search
+
+
 def chunk_of(df: DataFrame, cols, bounds: list[tuple]) -> Column:
-    """Number of bounds <= struct(cols): a binary-search CASE expression."""
+    """Number of bounds <= struct(cols).
+
+    Few bounds: a balanced binary-search CASE tree (codegen friendly). Many
+    bounds (thousands of partitions on a cluster): the bounds are one array
+    literal (parsed once from JSON and constant-folded) and a binary search
+    of ceil(log2(n)) steps runs as an ``aggregate``, so the expression stays
+    small whatever the partition count."""
     if not bounds:
         return F.lit(0)
     types = {f.name: f.dataType for f in df.schema.fields}
-    row = F.struct(*[F.col(c) for c in cols])
+    row = F.struct(*[F.col(c).alias(c) for c in cols])
+    if len(bounds) > CASE_TREE_MAX:
+        return _array_search(row, cols, types, bounds)
 
     def lit(b):
         return F.struct(*[F.lit(list(v) if isinstance(v, tuple) else v).cast(types[c]).alias(c)
@@ -82,6 +93,35 @@ def chunk_of(df: DataFrame, cols, bounds: list[tuple]) -> Column:
     return search(0, len(bounds))
 
 
+def _array_search(row: Column, cols, types, bounds) -> Column:
+    import datetime as _dt
+    import json
+    from pyspark.sql import types as T
+
+    def enc(v):
+        if isinstance(v, tuple):
+            return [enc(x) for x in v]
+        if isinstance(v, (_dt.datetime, _dt.date)):
+            return v.isoformat()
+        return v
+
+    schema = T.ArrayType(T.StructType([T.StructField(c, types[c]) for c in cols]))
+    payload = json.dumps([{c: enc(v) for c, v in zip(cols, b)} for b in bounds])
+    arr = F.from_json(F.lit(payload), schema)
+    n = len(bounds)
+    steps = max(1, (n).bit_length())
+    init = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+
+    def step(acc, _i):
+        mid = ((acc.lo + acc.hi + 1) / 2).cast("int")
+        go_up = F.element_at(arr, F.greatest(mid, F.lit(1))) <= row
+        return F.when(acc.lo >= acc.hi, acc).otherwise(
+            F.when(go_up, F.struct(mid.alias("lo"), acc.hi.alias("hi")))
+             .otherwise(F.struct(acc.lo.alias("lo"), (mid - 1).alias("hi"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc.lo)
+
+
 def running_count(df: DataFrame, keys, order, out: str = "n",
                   partitions: int | None = None, per_part: int = 32,
                   count: int | None = None) -> DataFrame:

@@ -35,3 +35,29 @@ def test_running_max_hot_key(spark):
     b = df.withColumn("m2", F.max("v").over(w))
     j = a.join(b, ["k", "t"])
     assert j.filter("NOT (m <=> m2)").count() == 0 and a.count() == 2000
+
+
+def test_running_count_many_bounds_array_search(spark):
+    # more bounds than the CASE-tree limit: the array-literal binary search path
+    rnd = random.Random(9)
+    rows = [("hot" if rnd.random() < 0.5 else f"k{rnd.randrange(30)}", rnd.randrange(10**6), i)
+            for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, t long, id long")
+    a = running_count(df, ["k"], ["t", "id"], out="n", partitions=200, per_part=3)
+    b = df.withColumn("m", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")))
+    assert a.join(b, ["id"]).filter("n != m").count() == 0
+
+
+def test_chunk_array_search_matches_case_tree(spark):
+    from docmill.operators import scan as SC
+    df = spark.range(3000).select((F.col("id") % 7).cast("string").alias("k"), (F.col("id") * 37 % 3001).alias("t"))
+    bounds = SC.range_bounds(df, ["k", "t"], 150, per_part=4)
+    assert len(bounds) > SC.CASE_TREE_MAX
+    big = df.select(SC.chunk_of(df, ["k", "t"], bounds).alias("c"), "k", "t")
+    old_max = SC.CASE_TREE_MAX
+    try:
+        SC.CASE_TREE_MAX = 10**6
+        tree = df.select(SC.chunk_of(df, ["k", "t"], bounds).alias("c2"), "k", "t")
+    finally:
+        SC.CASE_TREE_MAX = old_max
+    assert big.join(tree, ["k", "t"]).filter("c != c2").count() == 0
