@@ -97,7 +97,8 @@ def _materialize(df: DataFrame) -> DataFrame:
 
 def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
         requests: DataFrame | None = None, link_ok=None, expandable: DataFrame | None = None,
-        content: DataFrame | None = None, max_level: int = 1000) -> DataFrame:
+        content: DataFrame | None = None, max_level: int = 1000,
+        with_seq: bool = False) -> DataFrame:
     """Level-synchronous BFS.
 
     seeds:      (project_id, url, seq) -- depth 0 in ``seq`` order
@@ -108,12 +109,13 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
     expandable: optional (url) -- only these nodes are expanded (fetched
                 HTML); others are visited but not expanded
     content:    optional (url) of content-bearing pages, for the page cap
-    Returns (project_id, url, depth, key, parent_url, seq).
+    Returns (project_id, url, depth, key, parent_url), plus ``seq`` with
+    ``with_seq``.
 
     Order: a node's ``key`` is its parent's key plus the link position
     (``array<bigint>``); arrays compare element by element, so (depth, key)
     is the FIFO queue order and no level needs a ranking step. ``seq`` (the
-    rank inside a depth) is computed once at the end.
+    rank inside a depth) is computed once at the end, only when asked for.
     """
     lim = requests.select("project_id", "max_depth", "max_pages") if requests is not None else None
     # the link table is read once per level: materialize it once, hash-
@@ -158,6 +160,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
+    if not with_seq:
+        return out
     return running_count(out, ["project_id", "depth"], ["key", "url"], out="seq")
 
 

@@ -24,8 +24,8 @@ _EDGES_SQL = """
 BFS_DEPTH = 3
 
 
-def _graph_bfs(spark, sf, seeds_df, max_depth=BFS_DEPTH):
-    return CR.bfs(seeds_df, S.graph_edges(spark, sf), max_depth=max_depth)
+def _graph_bfs(spark, sf, seeds_df, max_depth=BFS_DEPTH, with_seq=False):
+    return CR.bfs(seeds_df, S.graph_edges(spark, sf), max_depth=max_depth, with_seq=with_seq)
 
 
 def _c1_seed(spark):
@@ -57,7 +57,7 @@ SELECT 'c1' AS project_id, node AS url, depth,
        row_number() OVER (ORDER BY depth, k) AS crawl_pos
 FROM f""")
 def q_crw_bfs_order(spark, sf):
-    v = _graph_bfs(spark, sf, _c1_seed(spark))
+    v = _graph_bfs(spark, sf, _c1_seed(spark), with_seq=True)
     return CR.crawl_order(v).select("project_id", "url", "depth", "seq", "crawl_pos")
 
 
