@@ -19,3 +19,11 @@ ORACLE: dict[str, str] = {
     "op6_warc_transactions": warc.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
 }
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(REGISTRY)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
