@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_dedup, quality_model, token_store, toxicity, warc
+from . import byte_bpe, line_dedup, quality_model, quality_rules, token_store, toxicity, warc
 from .common import read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": lambda s, d: token_store.digests(s, read(s, d, "documents")),
+    "op2_quality_rules": lambda s, d: quality_rules.digests(read(s, d, "documents"), read(s, d, "labels")),
     "op5_toxicity": lambda s, d: toxicity.digests(read(s, d, "documents"), read(s, d, "labels")),
     "op6_warc_transactions": lambda s, d: warc.digests(s, read(s, d, "pages")),
     "op7_line_dedup": lambda s, d: line_dedup.digests(read(s, d, "documents")),
