@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, line_dedup, quality_model, quality_rules, token_store, toxicity, warc
+from . import byte_bpe, decontamination, line_dedup, ngram_join, quality_model, quality_rules, token_store, toxicity, warc
 from .common import read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,12 +17,14 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_transactions": lambda s, d: warc.digests(s, read(s, d, "pages")),
     "op7_line_dedup": lambda s, d: line_dedup.digests(read(s, d, "documents")),
     "op8_quality_model": lambda s, d: quality_model.digests(read(s, d, "documents"), read(s, d, "labels")),
+    "op9_ngram_join": lambda s, d: ngram_join.link_documents(read(s, d, "documents")),
     "op10_byte_bpe": lambda s, d: byte_bpe.digests(read(s, d, "documents")),
 }
 ORACLE: dict[str, str] = {
     "op4_decontamination": decontamination.ORACLE,
     "op6_warc_transactions": warc.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
 }
 
 
