@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, line_dedup, ngram_join, quality_model, quality_rules, token_store, toxicity, warc
+from . import byte_bpe, decontamination, line_dedup, ngram_join, quality_model, quality_rules, suffix_dedup, token_store, toxicity, warc
 from .common import read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": lambda s, d: token_store.digests(s, read(s, d, "documents")),
     "op2_quality_rules": lambda s, d: quality_rules.digests(read(s, d, "documents"), read(s, d, "labels")),
+    "op3_suffix_dedup": lambda s, d: suffix_dedup.digests(read(s, d, "documents")),
     "op4_decontamination": lambda s, d: decontamination.digests(read(s, d, "documents"), read(s, d, "benchmark")),
     "op5_toxicity": lambda s, d: toxicity.digests(read(s, d, "documents"), read(s, d, "labels")),
     "op6_warc_transactions": lambda s, d: warc.digests(s, read(s, d, "pages")),
