@@ -46,6 +46,8 @@ from .common import batches, materialize
 
 N = 3
 PERCENT = 90
+#: What near-duplicate stages take.
+NEAR_N, NEAR_PERCENT = 5, 80
 #: At most so many frequent shingles are ordered by their counts.
 MAX_FREQUENT = 1 << 18
 #: Tables of ids are broadcast up to so many rows (16 MB).
