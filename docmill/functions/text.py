@@ -96,7 +96,7 @@ def frontmatter(title, source, date, escape: bool = False) -> Column:
 
 
 # First block from a line-start '---' to the next '---', plus newlines.
-_FM_RE = r"(?md)\A([\s\S]*?)^(---[\s\S]*?---\n*)"
+_FM_RE = r"\A([\s\S]*?(?:(?<=[\n\r\u2028\u2029])|\A))(---[\s\S]*?---\n*)"
 
 
 def strip_frontmatter(s) -> Column:
@@ -104,7 +104,7 @@ def strip_frontmatter(s) -> Column:
 
     ``regexp_replace`` would remove every match, so the prefix before the
     first match and the match itself are measured and the text rebuilt.
-    Line starts are after '\\n' only.
+    Line starts are after a line feed, a carriage return, U+2028 or U+2029.
     """
     c = _c(s)
     pre = F.regexp_extract(c, _FM_RE, 1)

@@ -57,7 +57,8 @@ def analyzed_archive(archive: DataFrame, scope: str = "stripped") -> DataFrame:
     ok = idx.filter("kept")
     a = analyze_pages(with_nodes(ok.select("url_key", "page_id", "html")))
     return a.withColumn("hrefs", anchors(F.col("kept" if scope == "stripped" else "nodes"))) \
-            .withColumn("has_content", F.col("root").isNotNull())
+            .withColumn("has_content", F.col("root").isNotNull()) \
+            .withColumn("unparsed", F.col("nodes").isNull())
 
 
 def page_links(analyzed: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def _materialize(df: DataFrame) -> DataFrame:
 
 def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
         requests: DataFrame | None = None, link_ok=None, expandable: DataFrame | None = None,
-        content: DataFrame | None = None, max_level: int = 1000,
+        content: DataFrame | None = None,
         with_seq: bool = False) -> DataFrame:
     """Level-synchronous BFS.
 
@@ -105,6 +106,7 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
     edges:      (src, position, dst)
     requests:   optional (project_id, max_depth, max_pages, base_url, ...)
                 joined to candidate links for ``link_ok`` and the limits
+                (a null limit is none)
     link_ok:    optional Column predicate over (dst, request columns)
     expandable: optional (url) -- only these nodes are expanded (fetched
                 HTML); others are visited but not expanded
@@ -130,12 +132,11 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
     levels = [level]
     visited = level.select("project_id", "url")
     d = 0
-    while d < max_level:
-        if max_depth is not None and d >= max_depth:
-            break
+    while max_depth is None or d < max_depth:
         front = level
         if lim is not None:
-            front = front.join(lim, "project_id").filter(F.col("depth") < F.col("max_depth"))
+            front = front.join(lim, "project_id").filter(
+                F.col("max_depth").isNull() | (F.col("depth") < F.col("max_depth")))
         if content is not None and lim is not None:
             done = _capped(levels, content, lim)
             front = front.join(done, "project_id", "left_anti")
@@ -219,28 +220,30 @@ def seeds(requests: DataFrame, discovered: DataFrame | None = None) -> DataFrame
 def outcomes(visits: DataFrame, idx: DataFrame, analyzed: DataFrame | None = None) -> DataFrame:
     """CRW-9: per visited URL: scraped / no_content / not_html / error.
 
-    A URL missing from the archive counts as a failed fetch (``error``)."""
+    A URL missing from the archive counts as a failed fetch (``error``), and
+    so does a page that the parser gave up on."""
     j = visits.join(idx.select(F.col("url_key").alias("url"), "kept", "reason"), "url", "left")
     if analyzed is not None:
-        j = j.join(analyzed.select(F.col("url_key").alias("url"), "has_content"), "url", "left")
+        j = j.join(analyzed.select(F.col("url_key").alias("url"), "has_content", "unparsed"), "url", "left")
     else:
-        j = j.withColumn("has_content", F.lit(True))
-    o = (F.when(F.col("kept").isNull(), F.lit("error"))
+        j = j.withColumn("has_content", F.lit(True)).withColumn("unparsed", F.lit(False))
+    o = (F.when(F.col("kept").isNull() | F.coalesce(F.col("unparsed"), F.lit(False)), F.lit("error"))
           .when(~F.col("kept"), F.col("reason"))
           .when(F.coalesce(F.col("has_content"), F.lit(False)), F.lit("scraped"))
           .otherwise(F.lit("no_content")))
-    return j.withColumn("outcome", o).drop("kept", "reason", "has_content")
+    return j.withColumn("outcome", o).drop("kept", "reason", "has_content", "unparsed")
 
 
 def edge_stats(links: DataFrame, idx: DataFrame) -> DataFrame:
     """CRW-11: per source page: links, distinct targets, dangling targets
-    (not in the archive), and per target in-degree via ``in_degree``."""
+    (not in the archive), and per target in-degree via ``in_degree``. Links are
+    counted per (source, target) first, so no distinct is needed after."""
     known = idx.select(F.col("url_key").alias("dst"), F.lit(True).alias("_known"))
-    j = links.join(known, "dst", "left")
-    return j.groupBy("src").agg(
-        F.count(F.lit(1)).alias("out_degree"),
-        F.count_distinct("dst").alias("distinct_targets"),
-        F.count_distinct(F.when(F.col("_known").isNull(), F.col("dst"))).alias("dangling"))
+    pairs = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_n"))
+    return pairs.join(known, "dst", "left").groupBy("src").agg(
+        F.sum("_n").alias("out_degree"),
+        F.count(F.lit(1)).alias("distinct_targets"),
+        F.count(F.when(F.col("_known").isNull(), F.lit(1))).alias("dangling"))
 
 
 def in_degree(links: DataFrame) -> DataFrame:
@@ -269,7 +272,7 @@ def crawl_job(spark: SparkSession, requests: DataFrame, archive: DataFrame,
     idx = _materialize(archive_index(archive).select("url_key", "page_id", "kept", "reason"))
     # parse once: the page table every later step reads is materialized
     an = _materialize(analyzed_archive(archive, scope).select(
-        "url_key", "page_id", "title", "root", "content", "hrefs", "has_content"))
+        "url_key", "page_id", "title", "root", "content", "hrefs", "has_content", "unparsed"))
     links = page_links(an)
     disc = None
     if sitemap_urls is not None:
@@ -285,8 +288,15 @@ def crawl_job(spark: SparkSession, requests: DataFrame, archive: DataFrame,
                .join(bounded_broadcast(req.select("project_id", "max_pages")), "project_id"))
     # CRW-6/7: skew-safe crawl position, then the per-request cap
     crawled = running_count(crawled, ["project_id"], ["depth", "key"], out="position") \
-        .filter(F.col("position") <= F.col("max_pages")).drop("max_pages") \
+        .filter(F.col("max_pages").isNull() | (F.col("position") <= F.col("max_pages"))) \
         .withColumn("page_id", page_id(F.col("url")))
+    # the crawl stops at the page that fills the cap: what stands behind it in
+    # the queue was never visited
+    last = crawled.filter(F.col("position") == F.col("max_pages")).select(
+        "project_id", F.struct("depth", "key", "url").alias("_last"))
+    crawled = crawled.drop("max_pages")
+    visits = visits.join(last, "project_id", "left").filter(
+        F.col("_last").isNull() | (F.struct("depth", "key", "url") <= F.col("_last"))).drop("_last")
     counts = crawled.groupBy("project_id").agg(F.count(F.lit(1)).alias("page_count"))
     summary = (req.join(counts, "project_id", "left")
                   .select("project_id", "name", "url",
@@ -319,5 +329,6 @@ def save_crawl(job: dict, path: str, scraped_at, scraped_on: str | None = None)
     proj_path = f"{path.rstrip('/')}/projects"
     (ok.select("project_id", "name", "url", F.col("page_count").cast("int").alias("page_count"),
                F.lit(scraped_at).cast("timestamp").alias("scraped_at"))
-       .write.mode("overwrite").parquet(proj_path))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("project_id").parquet(proj_path))
     return {"library": lib_path, "projects": proj_path}

@@ -111,6 +111,12 @@ class _NodeBuilder(HTMLParser):
     def handle_data(self, data):
         self.buf.append(data)
 
+    # whatever stands between two pieces of text keeps them apart
+    def handle_comment(self, data):
+        self._flush()
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
     def finish(self) -> list[dict]:
         self.close()
         self._flush()
@@ -122,7 +128,9 @@ class _NodeBuilder(HTMLParser):
 
 
 def parse_to_nodes(html: str | None) -> list[dict] | None:
-    """Plain-Python form of the parse, used inside the Arrow UDF and tests."""
+    """Plain-Python form of the parse, used inside the Arrow UDF and tests.
+    A page the parser gives up on has NULL nodes, never the part read so far;
+    the crawl lists it as an error."""
     if html is None:
         return None
     b = _NodeBuilder()
@@ -130,7 +138,7 @@ def parse_to_nodes(html: str | None) -> list[dict] | None:
         b.feed(html)
         return b.finish()
     except Exception:  # malformed beyond the parser's tolerance
-        return b.finish() if b.nodes else []
+        return None
 
 
 @F.arrow_udf(NODES_TYPE)

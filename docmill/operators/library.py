@@ -50,7 +50,8 @@ def save_last_wins(lib: DataFrame) -> DataFrame:
     d = _last_writes(lib)
     return (lib.join(d, ["project_id", "page_id"], "left")
                .filter(F.col("_win").isNull() | (F.col("position") == F.col("_win")))
-               .select("project_id", "page_id", "position", "content"))
+               .select("project_id", "page_id", "position", "content",
+                       *(c for c in ("title", "url") if c in lib.columns)))
 
 
 def stored_content(lib: DataFrame) -> DataFrame:
@@ -79,9 +80,11 @@ def delete_library_projects(spark, path: str, project_ids) -> dict:
     it existed. Only folder metadata is touched, no rows move."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    # as the writer names partition folders: no id leaves the library's folder
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     out = {}
     for pid in project_ids:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/project_id={pid}")
+        folder = jvm.org.apache.hadoop.fs.Path(path, "project_id=" + escape(pid))
         fs = folder.getFileSystem(conf)
         existed = bool(fs.exists(folder))
         if existed:

@@ -28,36 +28,39 @@ def _graph_bfs(spark, sf, seeds_df, max_depth=BFS_DEPTH, with_seq=False):
     return CR.bfs(seeds_df, S.graph_edges(spark, sf), max_depth=max_depth, with_seq=with_seq)
 
 
-def _c1_seed(spark):
-    return spark.createDataFrame([("c1", "c1", 0)], "project_id string, url string, seq long")
+def _customer_seeds(spark, sf):
+    """One crawl for each customer, from its own node."""
+    node = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    return S.read(spark, sf, "customer").select(node.alias("project_id"), node.alias("url"), F.lit(0).cast("long").alias("seq"))
 
 
 @register("crw_bfs_depth", f"""
 WITH RECURSIVE e AS ({_EDGES_SQL}),
-b(node, depth) AS (
-  SELECT 'c1', 0
+b(project_id, node, depth) AS (
+  SELECT 'c' || CAST(c_custkey AS VARCHAR), 'c' || CAST(c_custkey AS VARCHAR), 0 FROM customer
   UNION
-  SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < {BFS_DEPTH})
-SELECT 'c1' AS project_id, node AS url, min(depth) AS depth FROM b GROUP BY node""")
+  SELECT b.project_id, e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < {BFS_DEPTH})
+SELECT project_id, node AS url, min(depth) AS depth FROM b GROUP BY project_id, node""")
 def q_crw_bfs_depth(spark, sf):
-    return _graph_bfs(spark, sf, _c1_seed(spark)).select("project_id", "url", "depth")
+    return _graph_bfs(spark, sf, _customer_seeds(spark, sf)).select("project_id", "url", "depth")
 
 
 @register("crw_bfs_order", f"""
 WITH RECURSIVE e AS ({_EDGES_SQL}),
-b(node, depth, k) AS (
-  SELECT 'c1', 0, CAST([] AS BIGINT[])
+b(project_id, node, depth, k) AS (
+  SELECT 'c' || CAST(c_custkey AS VARCHAR), 'c' || CAST(c_custkey AS VARCHAR), 0, CAST([] AS BIGINT[]) FROM customer
   UNION
-  SELECT e.dst, b.depth + 1, list_append(b.k, e.pos) FROM b JOIN e ON e.src = b.node
+  SELECT b.project_id, e.dst, b.depth + 1, list_append(b.k, e.pos) FROM b JOIN e ON e.src = b.node
   WHERE b.depth < {BFS_DEPTH}),
-m AS (SELECT node, min(depth) AS depth FROM b GROUP BY node),
-f AS (SELECT b.node, b.depth, min(b.k) AS k FROM b JOIN m USING (node, depth) GROUP BY b.node, b.depth)
-SELECT 'c1' AS project_id, node AS url, depth,
-       row_number() OVER (PARTITION BY depth ORDER BY k) AS seq,
-       row_number() OVER (ORDER BY depth, k) AS crawl_pos
+m AS (SELECT project_id, node, min(depth) AS depth FROM b GROUP BY project_id, node),
+f AS (SELECT b.project_id, b.node, b.depth, min(b.k) AS k FROM b JOIN m USING (project_id, node, depth)
+      GROUP BY b.project_id, b.node, b.depth)
+SELECT project_id, node AS url, depth,
+       row_number() OVER (PARTITION BY project_id, depth ORDER BY k) AS seq,
+       row_number() OVER (PARTITION BY project_id ORDER BY depth, k) AS crawl_pos
 FROM f""")
 def q_crw_bfs_order(spark, sf):
-    v = _graph_bfs(spark, sf, _c1_seed(spark), with_seq=True)
+    v = _graph_bfs(spark, sf, _customer_seeds(spark, sf), with_seq=True)
     return CR.crawl_order(v).select("project_id", "url", "depth", "seq", "crawl_pos")
 
 
@@ -125,12 +128,12 @@ def q_crw_seeds(spark, sf):
     return running_count(first, ["project_id"], ["_s", "url"], out="seq").drop("_s")
 
 
-def _site_crawl(spark, sf, scope, max_depth):
+def _site_crawl(spark, sf, scope, max_depth, max_pages=None):
     arch = S.page_archive(spark, sf)
     p = arch.select(_site(F.col("url")).alias("project_id"), "url", "page_id")
     req = p.select("project_id", F.col("project_id").alias("url")).distinct() \
            .withColumn("name", F.lit(None).cast("string")) \
-           .withColumn("max_pages", F.lit(1000)).withColumn("max_depth", F.lit(max_depth))
+           .withColumn("max_pages", F.lit(max_pages).cast("int")).withColumn("max_depth", F.lit(max_depth))
     disc = p.select("project_id", "url", F.col("page_id").alias("seq"))
     return CR.crawl_job(spark, req, arch, sitemap_urls=disc, scope=scope)
 
@@ -172,6 +175,30 @@ def q_crw_edge_stats(spark, sf):
     return CR.edge_stats(CR.page_links(an), CR.archive_index(arch))
 
 
+@register("crw_in_degree", f"""
+SELECT dst, count(*) AS in_degree FROM {_LINKS} GROUP BY dst""")
+def q_crw_in_degree(spark, sf):
+    return CR.in_degree(CR.page_links(CR.analyzed_archive(S.page_archive(spark, sf), scope="all")))
+
+
+@register("crw_capped_outcomes", f"""
+WITH seeds AS (
+  SELECT project_id, url, min(k) AS k FROM (
+    SELECT {SITE_SQL} AS project_id, {SITE_SQL} AS url, -1 AS k FROM pages
+    UNION ALL SELECT {SITE_SQL}, {O.normalize('url')}, page_id FROM pages)
+  GROUP BY project_id, url),
+o AS (
+  SELECT *, url IN (SELECT url FROM {_NORM_PAGES}) AS there FROM seeds),
+n AS (
+  SELECT *, count(*) FILTER (there) OVER (PARTITION BY project_id ORDER BY k
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - there::INT AS before FROM o)
+SELECT project_id, url, CASE WHEN there THEN 'scraped' ELSE 'error' END AS outcome FROM n WHERE before < {PAGE_CAP}""")
+def q_crw_capped_outcomes(spark, sf):
+    """CRW-9 with a page cap that bites: visits end at the page that fills it."""
+    job = _site_crawl(spark, sf, "all", 0, max_pages=PAGE_CAP)
+    return CR.outcomes(job["visits"], job["index"], job["analyzed"]).select("project_id", "url", "outcome")
+
+
 @register("crw_job_summary")
 def q_crw_job_summary(spark, sf):
     return _site_crawl(spark, sf, "stripped", 3)["summary"]
@@ -281,7 +308,7 @@ def q_crw_sitemap_urls(spark, sf):
     arch = S.page_archive(spark, sf)
     docs = sitemaps_from_archive(arch)
     req = arch.select(_site(F.col("url")).alias("project_id")).distinct() \
-              .withColumn("url", F.col("project_id"))
+              .withColumn("url", F.col("project_id")).withColumn("max_files", F.lit(None).cast("int"))
     return discover(req, docs).select("project_id", "url", "seq")
 
 

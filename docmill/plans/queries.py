@@ -166,7 +166,7 @@ def q_url_seed_clean(spark, sf):
                                     U.seed_valid(raw).alias("valid"))
 
 
-_NAME = "substring(text, 1, 40)"
+_NAME = "(source || ' ' || lang)"
 
 
 @register("url_download_name", f"""
@@ -178,7 +178,7 @@ SELECT doc_id,
          || '_docs.md' AS client_name
 FROM documents""")
 def q_url_download_name(spark, sf):
-    n = F.substring("text", 1, 40)
+    n = F.concat_ws(" ", "source", "lang")
     return S.read(spark, sf, "documents").select(
         "doc_id", U.download_name_single(n).alias("single_name"),
         U.download_name_zip(n).alias("zip_name"), U.download_name_client(n).alias("client_name"))
@@ -329,7 +329,7 @@ def q_md_frontmatter(spark, sf):
                                              F.lit(SCRAPED_ON)).alias("frontmatter"))
 
 
-_WITH_FM = "'---' || chr(10) || 'title: \"' || substring(text, 1, 30) || '\"' || chr(10) || '---' || chr(10) || chr(10) || text"
+_WITH_FM = "'---' || chr(10) || 'title: \"' || source || '\"' || chr(10) || '---' || chr(10) || chr(10) || text"
 
 
 @register("md_strip_frontmatter", f"""
@@ -337,7 +337,7 @@ SELECT doc_id, {O.strip_frontmatter(_WITH_FM)} AS with_block, {O.strip_frontmatt
 FROM documents""")
 def q_md_strip_frontmatter(spark, sf):
     d = S.spread(S.read(spark, sf, "documents"))
-    fm = F.concat(F.lit('---\ntitle: "'), F.substring("text", 1, 30), F.lit('"\n---\n\n'), F.col("text"))
+    fm = F.concat(F.lit('---\ntitle: "'), F.col("source"), F.lit('"\n---\n\n'), F.col("text"))
     return d.select("doc_id", T.strip_frontmatter(fm).alias("with_block"),
                     T.strip_frontmatter(F.col("text")).alias("without_block"))
 
@@ -353,7 +353,7 @@ def _conv_lib(spark, sf):
 
 _DOC_URL = "'https://docs.example.org/' || source || '/' || CAST(doc_id AS VARCHAR)"
 _DOCS = (f"(SELECT source AS project_id, doc_id AS position, substring(md5({_DOC_URL}), 1, 10) AS page_id, "
-         f"substring(text, 1, 60) AS title, {_DOC_URL} AS url, text AS content FROM documents)")
+         f"source AS title, {_DOC_URL} AS url, text AS content FROM documents)")
 _CONV_PID = "'conv-' || CAST(conv_id AS VARCHAR)"
 _CONV_URL = f"'https://chat.example.org/' || {_CONV_PID} || '/' || CAST(turn AS VARCHAR)"
 _CONV = (f"(SELECT {_CONV_PID} AS project_id, turn AS position, substring(md5({_CONV_URL}), 1, 10) AS page_id, "

@@ -36,8 +36,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir). Only when neither is set -- local tests -- a fresh
-    folder is made and registered, so ``DataFrame.checkpoint()`` works.
+    checkpoint dir). Only when neither is set and the master is local --
+    tests -- a fresh folder is made and registered, so
+    ``DataFrame.checkpoint()`` works; on a cluster that is an error, as
+    executors don't see the driver's folders.
     """
     sc = spark.sparkContext
     d = None
@@ -50,6 +52,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         if d:
             sc.setCheckpointDir(d)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.environ.get("DOCMILL_LOCAL_SCRATCH") or tempfile.gettempdir()
         d = tempfile.mkdtemp(prefix="docmill-ckpt-", dir=base)
         sc.setCheckpointDir(d)

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def html_gate(archive: DataFrame) -> DataFrame:
     """Adds ``kept`` and ``reason``.
 
-    A response is kept when it is a success (2xx/3xx after redirects) and
+    A response is kept when it is a success (2xx, after redirects) and
     its content type *contains* ``text/html`` (case-sensitive). Otherwise
-    reason ``error`` (failed fetch / 4xx / 5xx / no body) or ``not_html``,
+    reason ``error`` (failed fetch / any other status / no body) or ``not_html``,
     checked in that order. The requested URL stays the identity.
     """
-    ok = F.col("status").isNotNull() & (F.col("status") < 400) & F.col("html").isNotNull()
+    ok = F.col("status").isNotNull() & F.col("status").between(200, 299) & F.col("html").isNotNull()
     html = F.coalesce(F.col("content_type"), F.lit("")).contains("text/html")
     reason = F.when(~ok, F.lit("error")).when(~html, F.lit("not_html"))
     return archive.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())

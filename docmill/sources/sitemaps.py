@@ -28,44 +28,35 @@ URLS_PER_FILE = 50000  # protocol limit of one sitemap file
 # -----------------------------------------------------------------------------
 
 _XML_SCHEMA = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, _corrupt string"
-_ROOT_RE = (r"^\s*(?:<\?[^>]*\?>\s*)?(?:<!--[\s\S]*?-->\s*|<!DOCTYPE[^>]*>\s*)*"
-            r"<(?:[A-Za-z_][\w.\-]*:)?([A-Za-z_][\w.\-]*)")
-_ROOT_TAG_RE = r"^\s*(?:<\?[^>]*\?>\s*)?(?:<!--[\s\S]*?-->\s*|<!DOCTYPE[^>]*>\s*)*(<[^>]*>)"
-_DEFAULT_NS_RE = r"\sxmlns\s*=\s*[\"']" + SITEMAP_NS.replace(".", r"\.") + r"[\"']"
+# any number of declarations, processing instructions, comments before the root
+_PROLOG_RE = r"^\uFEFF?\s*(?:<\?[\s\S]*?\?>\s*|<!--[\s\S]*?-->\s*|<!DOCTYPE[^>]*>\s*)*"
+_ROOT_RE = _PROLOG_RE + r"<(?:[A-Za-z_][\w.\-]*:)?([A-Za-z_][\w.\-]*)"
+_ROOT_TAG_RE = _PROLOG_RE + r"(<[^>]*>)"
+# the namespace under the root's own prefix, whichever it is
+_ROOT_NS_RE = (r"^<(?:([A-Za-z_][\w.\-]*):[\s\S]*\sxmlns:\1|[A-Za-z_][\w.\-]*(?=[\s>])[\s\S]*\sxmlns)\s*=\s*[\"']"
+               + SITEMAP_NS.replace(".", r"\.") + r"[\"']")
 
 
 def _gunzip_one(b):
     if b is None:
         return None
     try:
-        return gzip.decompress(b).decode("utf-8")
+        return gzip.decompress(b).decode("utf-8", "replace")
     except Exception:
         return None
 
 
 @F.arrow_udf(T.StringType())
 def gunzip_utf8(body: pa.Array) -> pa.Array:
-    """Gzip bytes -> UTF-8 text; NULL when either step fails."""
+    """Gzip bytes -> UTF-8 text, bad bytes replaced; NULL if it isn't gzip."""
     return pa.array([_gunzip_one(b) for b in body.to_pylist()], type=pa.string())
 
 
-@F.arrow_udf(T.StringType())
-def decode_utf8(body: pa.Array) -> pa.Array:
-    def one(b):
-        if b is None:
-            return None
-        try:
-            return b.decode("utf-8")
-        except Exception:
-            return None
-    return pa.array([one(b) for b in body.to_pylist()], type=pa.string())
-
-
 def decode_bodies(docs: DataFrame) -> DataFrame:
     """SRC-2: (url, status, body binary|string) -> (url, status, text)."""
     body = F.col("body")
     if isinstance(docs.schema["body"].dataType, T.BinaryType):
-        text = F.when(F.lower(F.col("url")).endswith(".gz"), gunzip_utf8(body)).otherwise(decode_utf8(body))
+        text = F.when(F.lower(F.col("url")).endswith(".gz"), gunzip_utf8(body)).otherwise(F.make_valid_utf8(body.cast("string")))
     else:
         text = body
     return docs.select("url", "status", text.alias("text"))
@@ -92,11 +83,11 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
     """
     ok = docs.filter((F.col("status") == 200) & F.col("text").isNotNull())
     x = F.from_xml(F.col("text"), _XML_SCHEMA,
-                   {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+                   {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreNamespace": "true"})
     p = ok.select("url", "text", x.alias("x"),
                   F.regexp_extract(F.col("text"), _ROOT_RE, 1).alias("root"))
     p = p.filter(F.col("x._corrupt").isNull() & F.col("root").isin("urlset", "sitemapindex"))
-    in_ns = F.regexp_extract(F.col("text"), _ROOT_TAG_RE, 1).rlike(_DEFAULT_NS_RE)
+    in_ns = F.regexp_extract(F.col("text"), _ROOT_TAG_RE, 1).rlike(_ROOT_NS_RE)
     direct = F.when(F.col("root") == "urlset", F.transform(F.col("x.url"), lambda e: e.loc)) \
               .otherwise(F.transform(F.col("x.sitemap"), lambda e: e.loc))
     direct = F.filter(direct, lambda v: v.isNotNull())
@@ -108,27 +99,32 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
 
 
 def discover(requests: DataFrame, sitemap_docs: DataFrame,
-             max_files: int = MAX_SITEMAP_FILES) -> DataFrame:
+             max_files: int | None = None) -> DataFrame:
     """CRW-2 + CRW-3: sitemap index traversal per request.
 
-    FIFO from ``<scheme>://<authority>/sitemap.xml``; every file once; at
-    most ``max_files`` files per request *including failures*; then page
+    FIFO from ``<scheme>://<authority>/sitemap.xml``; every file once; where
+    a request has ``max_files`` (or the argument is given) at most so many files
+    *including failures*, else all; then page
     URLs in file order, first occurrence kept, filtered by URL-5 against
     the request's normalized base URL. -> (project_id, url, seq)
     """
     from ..operators.crawl import bfs
     from ..operators.scan import running_count
-    req = requests.select("project_id", normalize_url(F.col("url")).alias("base_url"))
+    limit = F.col("max_files").cast("long") if "max_files" in requests.columns else F.lit(max_files).cast("long")
+    req = requests.select("project_id", normalize_url(F.col("url")).alias("base_url"), limit.alias("_most"))
     root = F.concat(url_scheme(F.col("base_url")), F.lit("://"), url_authority(F.col("base_url")),
                     F.lit(SITEMAP_PATH))
-    parsed = parse_sitemaps(decode_bodies(sitemap_docs))
+    from ..operators.crawl import _materialize
+    # files, children and pages all come from the one parse
+    parsed = _materialize(parse_sitemaps(decode_bodies(sitemap_docs)))
     ok_files = parsed.select(F.col("url")).distinct()
     children = parsed.filter(F.col("kind") == "sitemap").select(
         F.col("url").alias("src"), F.col("pos").alias("position"), F.col("loc").alias("dst"))
     seeds = req.select("project_id", root.alias("url"), F.lit(0).cast("long").alias("seq"))
     files = bfs(seeds, children, expandable=ok_files)
     files = running_count(files, ["project_id"], ["depth", "key"], out="file_no") \
-        .filter(F.col("file_no") <= max_files)
+        .join(req.select("project_id", "_most"), "project_id") \
+        .filter(F.col("_most").isNull() | (F.col("file_no") <= F.col("_most"))).drop("_most")
     pages = (files.select("project_id", F.col("url").alias("file"), "file_no")
                   .join(parsed.filter(F.col("kind") == "url")
                         .select(F.col("url").alias("file"), "pos", "loc"), "file"))

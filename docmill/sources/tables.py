@@ -67,7 +67,7 @@ def page_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def library_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a library: project = source, position = doc_id,
     page id = md5 of the page URL (doc URL built from source and doc_id),
-    title = first 60 characters, content = text."""
+    title = source, content = text."""
     d = spread(read(spark, sf_dir, "documents"))
     url = F.concat(F.lit("https://docs.example.org/"), F.col("source"), F.lit("/"),
                    F.col("doc_id").cast("string"))
@@ -75,7 +75,7 @@ def library_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("project_id"),
         F.col("doc_id").alias("position"),
         page_id(url).alias("page_id"),
-        F.substring("text", 1, 60).alias("title"),
+        F.col("source").alias("title"),
         url.alias("url"),
         F.col("text").alias("content"),
     )

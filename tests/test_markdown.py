@@ -9,15 +9,14 @@ def md(html, **kw):
     return render_nodes(parse_to_nodes(html), **kw)
 
 
-def _clean(s):
-    import re
-    s = re.sub(r"\n{3,}", "\n\n", s)
-    return "\n".join(x.rstrip() for x in s.split("\n")).strip() + "\n"
+def lines(s):
+    """The lines that hold something, without blanks behind."""
+    return [x.rstrip() for x in s.splitlines() if x.strip()]
 
 
 def test_headings_paragraphs():
-    out = _clean(md("<div><h1>Title</h1><p>Para one.</p><h2>Sub</h2><h3>Deeper</h3></div>"))
-    assert out == "# Title\n\nPara one.\n\n## Sub\n\n### Deeper\n"
+    out = md("<div><h1>Title</h1><p>Para one.</p><h2>Sub</h2><h3>Deeper</h3></div>")
+    assert lines(out) == ["# Title", "Para one.", "## Sub", "### Deeper"]
 
 
 def test_code_block_language_from_pre():
@@ -30,9 +29,8 @@ def test_code_block_language_from_pre():
 
 
 def test_lists_nested():
-    out = _clean(md("<ul><li>a</li><li>b<ul><li>c</li></ul></li></ul><ol><li>x</li><li>y</li></ol>"))
-    assert "* a\n* b\n  + c" in out
-    assert "1. x\n2. y" in out
+    out = md("<ul><li>a</li><li>b<ul><li>c</li></ul></li></ul><ol><li>x</li><li>y</li></ol>")
+    assert lines(out) == ["* a", "* b", "  + c", "1. x", "2. y"]
 
 
 def test_inline_marks_no_escaping():
@@ -48,14 +46,14 @@ def test_links_images_br():
 
 
 def test_table_blockquote_hr():
-    out = _clean(md("<div><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>"
-                    "<blockquote><p>q</p></blockquote><hr></div>"))
+    out = md("<div><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>"
+                    "<blockquote><p>q</p></blockquote><hr></div>")
     assert "| a | b |\n| --- | --- |\n| 1 | 2 |" in out
     assert "> q" in out and out.rstrip().endswith("---")
 
 
 def test_unclosed_p_and_b():
-    out = _clean(md("<article><p><b>bold<p>next</article>"))
+    out = md("<article><p><b>bold<p>next</article>")
     assert "bold" in out and "next" in out
 
 
@@ -86,3 +84,22 @@ def test_parser_from_sql(spark):
     rows = spark.sql("SELECT n.tag FROM pg LATERAL VIEW explode(parse_html_nodes(html)) t AS n "
                      "WHERE n.tag <> '#text'").collect()
     assert [r.tag for r in rows] == ["main", "h1", "p"]
+
+
+def test_bad_link_and_deep_nesting_do_not_end_the_job(spark):
+    bad = '<main><h1>T</h1><p><a href="http://[bad">x</a></p></main>'
+    deep = "<main><h1>D</h1>" + "<p>para " * 2000 + "</main>"
+    df = spark.createDataFrame([(1, "https://h/a", bad), (2, "https://h/b", deep)], "page_id long, url string, html string")
+    a = C.analyze_pages(with_nodes(df))
+    out = {r.page_id: r.markdown for r in convert_pages(a, "2024-01-15", keep=["page_id", "url", "title"]).collect()}
+    assert "[x](http://[bad)" in out[1] and out[2].count("para") == 2000
+
+
+def test_parser_failure_is_null_nodes(monkeypatch):
+    from docmill.operators import html_nodes as H
+
+    def broken(self, data):
+        raise AssertionError("parser")
+
+    monkeypatch.setattr(H._NodeBuilder, "handle_data", broken)
+    assert H.parse_to_nodes("<p>text</p>") is None

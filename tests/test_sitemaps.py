@@ -49,7 +49,7 @@ def test_discover_index_gzip_404_filter_dedupe(spark):
 
 def test_discover_cap_and_cycle(spark):
     # a chain of 25 index files, each listing one page and the next file; the
-    # last points back to the first (a cycle). Only 20 files are read.
+    # last points back to the first (a cycle). At most 20 files are asked for.
     rows = []
     for i in range(25):
         nxt = f"https://c.org/i{i + 1}.xml" if i < 24 else "https://c.org/sitemap.xml"
@@ -57,11 +57,32 @@ def test_discover_cap_and_cycle(spark):
         rows.append((me, 200, f"<sitemapindex {NS}><sitemap><loc>{nxt}</loc></sitemap><sitemap><loc>https://c.org/u{i}.xml</loc></sitemap></sitemapindex>".encode()))
         rows.append((f"https://c.org/u{i}.xml", 200, _urlset(f"https://c.org/p{i}")))
     req = spark.createDataFrame([("p", "https://c.org")], "project_id string, url string")
-    got = [r.url for r in SM.discover(req, _docs(spark, rows)).orderBy("seq").collect()]
+    got = [r.url for r in SM.discover(req, _docs(spark, rows), max_files=20).orderBy("seq").collect()]
     # FIFO: sitemap.xml, i1, u0, i2, u1, ..., i9, u8, i10 = 20 files -> u0..u8 read
     assert got == [f"https://c.org/p{i}" for i in range(9)]
 
 
+    # the limit is the request's own, and without one every file is read
+    req = spark.createDataFrame([("p", "https://c.org", 2), ("q", "https://c.org", None)], "project_id string, url string, max_files int")
+    got = {}
+    for r in SM.discover(req, _docs(spark, rows)).collect():
+        got.setdefault(r.project_id, set()).add(r.url)
+    assert got == {"q": {f"https://c.org/p{i}" for i in range(25)}}
+
+
+def test_files_as_generators_write_them(spark):
+    sm = "http://www.sitemaps.org/schemas/sitemap/0.9"
+    rows = [
+        ("https://x/a.xml", 200, f'<?xml version="1.0"?>\n<?xml-stylesheet href="s.xsl"?><!-- made -->\n{_urlset("https://x/1").decode()}'.encode()),
+        ("https://x/b.xml", 200, f'<sm:urlset xmlns:sm="{sm}" xmlns:image="http://www.google.com/schemas/sitemap-image/1.1"><sm:url><sm:loc>https://x/2'
+                                 '</sm:loc><image:image><image:loc>https://x/p.jpg</image:loc></image:image></sm:url></sm:urlset>'.encode()),
+        ("https://x/c.xml", 200, _urlset("https://x/3").replace(b"<url>", b"<url><note>caf\xe9</note>", 1)),
+        ("https://x/d.xml", 200, b"\xef\xbb\xbf" + _urlset("https://x/4")),
+    ]
+    got = sorted((r.url[-5], r.loc) for r in SM.parse_sitemaps(SM.decode_bodies(_docs(spark, rows))).collect())
+    assert got == [("a", "https://x/1"), ("b", "https://x/2"), ("c", "https://x/3"), ("d", "https://x/4")]
+
+
 def test_read_sitemap_files_gz(spark, tmpdir_path):
     import os
     os.makedirs(os.path.join(tmpdir_path, "site"), exist_ok=True)
