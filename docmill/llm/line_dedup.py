@@ -201,8 +201,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     documents or more, but for those of the largest id that holds the key;
     and with ``n_lines`` (before) and ``n_dropped``. Null texts become empty."""
     docs = docs.drop("n_lines", "n_dropped")
-    lost = dropped_keys(docs, id_col, text, min_chars, min_docs, bits).select(F.col("id").alias("_line_id"), F.col("keys").alias("_line_keys"))
-    both = docs.join(lost, docs[id_col].eqNullSafe(lost["_line_id"]), "left").drop("_line_id")
+    # names that docs doesn't have
+    own_id, own_keys = (next(n + "_" * i for i in range(len(docs.columns) + 1) if n + "_" * i not in docs.columns) for n in ("_line_id", "_line_keys"))
+    lost = dropped_keys(docs, id_col, text, min_chars, min_docs, bits).select(F.col("id").alias(own_id), F.col("keys").alias(own_keys))
+    both = docs.join(lost, docs[id_col].eqNullSafe(lost[own_id]), "left").drop(own_id)
     schema = T.StructType([*docs.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def rebuild(it):
@@ -213,7 +215,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
 
         def rows():
             for b in it:
-                keys = b.column(b.schema.names.index("_line_keys"))
+                keys = b.column(b.schema.names.index(own_keys))
                 cols, at = [b.column(b.schema.names.index(n)) for n in names], names.index(text)
                 for i in range(b.num_rows):
                     row = [c[i].as_py() for c in cols]
