@@ -38,7 +38,7 @@ def _last_writes(lib: DataFrame) -> DataFrame:
     """Keys written more than once and their winning (last) position.
 
     A partial aggregate over narrow columns; normally tiny, so the joins
-    that use it are broadcast by AQE and page texts never shuffle."""
+    that use it are broadcast and page texts stay where they are."""
     return bounded_broadcast(
         lib.groupBy("project_id", "page_id")
            .agg(F.count(F.lit(1)).alias("_n"), F.max("position").alias("_win"))
