@@ -146,6 +146,25 @@ def test_suffix_dedup_across_pieces(docs, texts, monkeypatch):
         assert sorted(cut) == covered
 
 
+def test_suffix_dedup_compares_a_group():
+    """Windows of 100 bytes around 76 common ones, against a plain list."""
+    rng, g = np.random.default_rng(5), suffix_dedup.GROUP
+    sides = [(bytes(rng.integers(97, 99, g - 1).astype(np.uint8)), bytes(rng.integers(97, 99, g - 1).astype(np.uint8))) for _ in range(6)]
+    members, windows = [], []
+    for i in range(40):
+        (left, right), t0, t1 = sides[rng.integers(6)], int(rng.integers(0, 12)), int(rng.integers(12, 25))
+        cut = int(rng.integers(0, 10))
+        left = bytes(rng.integers(97, 99, cut).astype(np.uint8)) + left[cut:]
+        members.append((i // 2, 500 * (i % 2) + 50, t0, t1, left[g - 1 - t1:], right[:g - 1 - t0]))
+        windows += [((left[g - 1 - t:] if t else b"") + b"|" + right[:g - 1 - t], i // 2, 500 * (i % 2) + 50 - t) for t in range(t0, t1 + 1)]
+    first = {}
+    for w, d, p in sorted(windows, key=lambda x: x[1:]):
+        first.setdefault(w, (d, p))
+    want = {(d, p) for w, d, p in windows if first[w] != (d, p)}
+    got = {(d, p) for d, lo, hi in suffix_dedup._compare(members) for p in range(lo, hi - suffix_dedup.K + 1)}
+    assert got == want and want
+
+
 def test_suffix_dedup_empty_null(spark, no_docs):
     assert suffix_dedup.digests(no_docs).collect() == []
     t = "abcdefghij" * 12
@@ -194,13 +213,13 @@ def shingles(t, n):
 
 def linked(texts, n, percent):
     sets = {i: shingles(t, n) for i, t in texts}
-    label = {i: i for i in sets}
     ids = sorted(sets)
+    near = [(a, b) for a in ids for b in ids if a < b and sets[a] & sets[b]]
+    near = [(a, b) for a, b in near if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    label = {i: i for i in ids}
     for _ in ids:
-        for a in ids:
-            for b in ids:
-                if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                    label[a] = label[b] = min(label[a], label[b])
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
     return {i: (len(sets[i]), label[i]) for i in ids}
 
 
