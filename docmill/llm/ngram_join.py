@@ -19,9 +19,11 @@ lists. A list is scanned in rounds: first every member is compared to one pivot
 of its list and size class, and what links becomes a component; when that
 leaves few enough pairs of members in different components, these pairs are
 compared. Members already connected need no comparison, so a group of
-thousands of near copies costs a comparison or two each. Every pair is checked
-first by position and by a parity bitmap (its Hamming distance is never more
-than the sets' difference), then exactly on the sets.
+thousands of near copies costs a comparison or two each. Shingles that stand in
+no other set bound what two sets can share: the first pivot is the member with
+the fewest of them, and pairs that have too many are no candidates. Every pair
+is checked first by position and by a parity bitmap (its Hamming distance is
+never more than the sets' difference), then exactly on the sets.
 
 The boundary is the size at which subsets and list entries cost the least in
 sum, from the sets' size histogram and the lists' lengths.
@@ -49,14 +51,14 @@ PERCENT = 90
 #: What near-duplicate stages take.
 NEAR_N, NEAR_PERCENT = 5, 80
 #: At most so many frequent shingles are ordered by their counts.
-MAX_FREQUENT = 1 << 18
+MAX_FREQUENT = 1 << 17
 #: Tables of ids are broadcast up to so many rows (16 MB).
 MAX_BROADCAST = 1_000_000
 LARGEST_BOUNDARY = 39
-#: Pairs in different components are listed when there are no more than this
-#: many for each list entry; else one more round with other pivots comes first.
-FEW_PAIRS = 8
-MAX_ROUNDS = 6
+#: Pairs in different components are compared when an entry has no more than
+#: this many on average; else one more round with other pivots comes first.
+FEW_PAIRS = 1000
+MAX_ROUNDS = 4
 _FLUSH = 4_000_000
 
 _TABLE = bytes(32 if 9 <= i <= 13 else i for i in range(256)).lower()
@@ -310,6 +312,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _may_link(s: str, alone_s: str, t: str, alone_t: str, percent: int):
+    """Whether sets of these sizes, with so many shingles that no other set
+    has, can share enough."""
+    s, a, t, b = (F.col(c) for c in (s, alone_s, t, alone_t))
+    return F.least(s - a, t - b, (s + t - a - b) / 2) >= F.ceil(percent * (s + t) / (100 + percent))
+
+
 def heavy_links(docs: DataFrame, profile: DataFrame, lists: DataFrame, boundary: int, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(a, b): links enough to connect all heavy sets that belong together."""
     # what a size class holds is within the range of sizes of one link or of its neighbours
@@ -327,8 +336,10 @@ def heavy_links(docs: DataFrame, profile: DataFrame, lists: DataFrame, boundary:
             left = by.agg(F.sum("n"), F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()
             if not left[0] or left[1] <= FEW_PAIRS * left[0]:
                 break
-        pivot = F.first(F.struct("id", "label")).over(Window.partitionBy("shingle", "class").orderBy(F.xxhash64("id", F.lit(turn)), "id"))
-        pairs = at.withColumn("pivot", pivot).filter(F.col("label") != F.col("pivot.label")).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
+        rank = [F.xxhash64("id", F.lit(turn)), F.col("id")] if turn else [F.col("alone"), F.col("id")]
+        pivot = F.first(F.struct("id", "label", "size", "alone")).over(Window.partitionBy("shingle", "class").orderBy(*rank))
+        pairs = at.withColumn("pivot", pivot).filter(
+            (F.col("label") != F.col("pivot.label")) & _may_link("size", "alone", "pivot.size", "pivot.alone", percent)).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
         found = _verified(pairs, profile, docs, n, percent)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
@@ -336,13 +347,14 @@ def heavy_links(docs: DataFrame, profile: DataFrame, lists: DataFrame, boundary:
     most = Window.partitionBy("shingle").orderBy(F.col("n").desc(), "label")
     main = at.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(most)).filter("r = 1")
     fewer = at.join(main.select("shingle", F.col("label").alias("main")), "shingle").filter("label <> main")
-    x = fewer.select("shingle", "main", *(F.col(c).alias(c + "_x") for c in ("id", "size", "place", "label")))
-    y = at.select("shingle", *(F.col(c).alias(c + "_y") for c in ("id", "size", "place", "label")))
+    x = fewer.select("shingle", "main", *(F.col(c).alias(c + "_x") for c in ("id", "size", "place", "alone", "label")))
+    y = at.select("shingle", *(F.col(c).alias(c + "_y") for c in ("id", "size", "place", "alone", "label")))
     small, large = F.least("size_x", "size_y"), F.greatest("size_x", "size_y")
     need = F.ceil(percent * (small + large) / (100 + percent))
     reach = F.least("place_x", "place_y") + 1 + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) - 1
     pairs = x.join(y, "shingle").filter(
         (F.col("label_x") != F.col("label_y")) & (100 * small >= percent * large) & (large > boundary) & (reach >= need)
+        & _may_link("size_x", "alone_x", "size_y", "alone_y", percent)
         & ((F.col("id_x") < F.col("id_y")) | (F.col("label_y") == F.col("main"))))
     pairs = pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
     found = _verified(pairs, profile, docs, n, percent)
@@ -361,6 +373,10 @@ def link_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     profile = materialize(profiles(docs.join(_few(reps), "doc_id", "left_semi"), frequent, n, percent), "profiles")
     entries = profile.select(F.col("doc_id").alias("id"), "size", F.posexplode("rare").alias("place", "shingle"))
     lists = materialize(entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).filter("n > 1"), "lists")
+    # rare shingles that are in no list are in no other set
+    met = lists.groupBy("id").agg(F.count(F.lit(1)).alias("met"))
+    rare = profile.select(F.col("doc_id").alias("id"), F.size("rare").alias("rare"))
+    alone = met.join(rare, "id").select("id", (F.col("rare") - F.col("met")).alias("alone"))
     # sets by size, and the mean length of the list of an entry
     sizes = {r["size"]: r["n"] for r in profile.filter(F.col("size") <= LARGEST_BOUNDARY).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = profile.agg(F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()[0]
@@ -368,7 +384,7 @@ def link_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     mean_list = (shared[0] + total - shared[1]) / max(1, total)
     boundary = pick_boundary(sizes, mean_list, percent)
     light = materialize(profile.filter(F.col("size") <= boundary).select("doc_id"), "light")
-    heavy = lists.filter(F.col("size") >= shortest(boundary + 1, percent)).drop("n")
+    heavy = lists.filter(F.col("size") >= shortest(boundary + 1, percent)).drop("n").join(alone, "id")
     links = light_links(docs, light, n, percent).unionByName(heavy_links(docs, profile, heavy, boundary, n, percent))
     labels = components(links)
     named = classes.join(labels, classes["least"] == labels["id"], "left").select("key", F.coalesce("label", "least").alias("component"))
