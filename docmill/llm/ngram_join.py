@@ -351,7 +351,9 @@ def heavy_links(docs: DataFrame, profile: DataFrame, lists: DataFrame, boundary:
     y = at.select("shingle", *(F.col(c).alias(c + "_y") for c in ("id", "size", "place", "alone", "label")))
     small, large = F.least("size_x", "size_y"), F.greatest("size_x", "size_y")
     need = F.ceil(percent * (small + large) / (100 + percent))
-    reach = F.least("place_x", "place_y") + 1 + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) - 1
+    # at the first shingle that two sets share, what stands before it in either
+    # order is in neither's intersection
+    reach = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
     pairs = x.join(y, "shingle").filter(
         (F.col("label_x") != F.col("label_y")) & (100 * small >= percent * large) & (large > boundary) & (reach >= need)
         & _may_link("size_x", "alone_x", "size_y", "alone_y", percent)
