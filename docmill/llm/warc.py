@@ -15,14 +15,15 @@ Assembly: the records of a capture are brought together by the id they are
 concurrent to, and each capture gives one nested row.
 
 Edge cases: null html is an empty payload, null url an empty target; a null
-page_id is a page like any other and the smallest; equal rows are one capture
-each only if their ids differ (equal ids and payloads are written once).
+page_id is a page like any other and the smallest; rows equal in id and
+payload have equal record ids and are one capture when read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 
 import pandas as pd
 import pyarrow as pa
@@ -84,7 +85,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int
     size = pages.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("b")).first()
     pages = pages.withColumn("sha1", F.sha1("html"))
     known = settle(pages, min_revisit).withColumnsRenamed({"page_id": "known_id", "sha1": "known_sha1"})
-    both = pages.dropDuplicates(["page_id", "sha1"]).join(
+    both = pages.join(
         known, pages["page_id"].eqNullSafe(known["known_id"]) & (pages["sha1"] == known["known_sha1"]))
     both = both.withColumn("digest", _hex_to_base32("sha1"))
     rid, url = record_id("main", F.col("page_id"), F.col("sha1")), F.col("url")
@@ -105,7 +106,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int
                        url, "application/warc-fields", [main])
     rows = both.select(F.explode(F.array(request, F.when(F.col("is_response"), response).otherwise(revisit), metadata)).alias("value"))
     each = size["b"] / max(1, size["n"]) + 2_000
-    (rows.write.option("lineSep", END).option("maxRecordsPerFile", max(3, int(3 * FILE_BYTES / each))).text(folder))
+    (rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(3, int(3 * FILE_BYTES / each))).text(folder))
     return folder
 
 
@@ -113,41 +114,22 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int
 def parse_stream(f):
     """(headers with lower-case names, body) of each record of an open
     archive, in order; at most one record is held."""
-    rest = b""
-
-    def line():
-        nonlocal rest
-        parts = []
-        while b"\n" not in rest:
-            parts.append(rest)
-            rest = f.read(READ)
-            if not rest:
-                return b"".join(parts) or None
-        a, _, rest = rest.partition(b"\n")
-        return b"".join([*parts, a]).rstrip(b"\r")
-
-    def take(n):
-        nonlocal rest
-        parts, have = [rest[:n]], min(n, len(rest))
-        rest = rest[n:]
-        while have < n:
-            more = f.read(n - have)
-            if not more:
-                raise ValueError("the archive ends within a record")
-            parts.append(more)
-            have += len(more)
-        return b"".join(parts)
-
-    while (x := line()) is not None:
+    f = io.BufferedReader(f, READ)
+    while x := f.readline():
+        x = x.rstrip(b"\r\n")
         if not x:
             continue
         if not x.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {x[:40]!r}")
         headers = {}
-        while x := line():
+        while x := f.readline().rstrip(b"\r\n"):
             name, _, value = x.partition(b":")
             headers[name.decode().lower()] = value.decode().strip()
-        yield headers, take(int(headers["content-length"]))
+        n = int(headers["content-length"])
+        body = f.read(n)
+        if len(body) != n:
+            raise ValueError("the archive ends within a record")
+        yield headers, body
 
 
 RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("file", "type", "record_id", "capture_id", "url", "date", "refers_to", "digest")]
