@@ -24,7 +24,10 @@ gives a store without shards and an empty index.
 from __future__ import annotations
 
 import os
+import string
+import sys
 import uuid
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +44,12 @@ BUCKET_KEYS = 20_000
 GAMMA = 1.5
 MAX_LEVELS = 64
 
+#: Marks that are cut off words: ASCII punctuation but for the apostrophe,
+#: with which contractions begin.
+MARKS = string.punctuation.replace("'", "")
+#: Python splits at these, the tokenizer doesn't: texts with them are encoded whole.
+NOT_BLANK = "\x1c\x1d\x1e\x1f"
+
 _TOK: dict = {}
 
 
@@ -58,7 +67,7 @@ class WordEncoder:
     and kept. ``check_splits`` says whether a tokenizer is of that kind.
     """
 
-    KEEP = 1_500_000
+    KEEP = 2_500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,9 +76,12 @@ class WordEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.ids: dict[str, bytes] = {}
+        self.pieces = {"": b""}
         self.by_word = self.check_splits()
         self.wide = self.lib.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            self.by_word = False
 
     def check_splits(self) -> bool:
         a = self.lib.encode("one  two,\tTHREE\n'll x", add_special_tokens=False).ids
@@ -80,37 +92,47 @@ class WordEncoder:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encode words not met before. A word of letters with a full stop or
-        comma behind has the ids of the letters, then those of the mark."""
-        ask: dict[str, None] = {}
-        parts = {}
+        """Encode words not met before. A word of letters with marks before or
+        behind has the ids of the marks, the letters and the marks."""
+        parts, ask = [], set()
         for w in new:
-            core = w.rstrip(".,")
+            core = w.strip(MARKS)
             if core and core.isalpha() and "İ" not in core and "Σ" not in core:
-                parts[w] = (core.lower(), w[len(core):])
+                at = w.index(core)
+                cut = (w[:at], core.lower(), w[at + len(core):])
             else:
-                parts[w] = (w, "")
-            ask.update((x, None) for x in parts[w] if x and ("", x) not in self.ids)
-        ask_list = list(ask)
-        for i in range(0, len(ask_list), 20_000):
-            for x, got in zip(ask_list[i:i + 20_000], self._encode(ask_list[i:i + 20_000])):
-                self.ids["", x] = np.array(got, self.kind).tobytes()
-        for w, (a, b) in parts.items():
-            self.ids[w] = self.ids["", a] + (self.ids["", b] if b else b"")
+                cut = ("", w, "")
+            parts.append(cut)
+            ask.update(cut)
+        ask.discard("")
+        todo = [x for x in ask if x not in self.pieces]
+        code = "I" if self.wide else "H"
+        for i in range(0, len(todo), 20_000):
+            for x, e in zip(todo[i:i + 20_000], self.lib.encode_batch_fast(todo[i:i + 20_000], add_special_tokens=False)):
+                self.pieces[x] = array(code, e.ids).tobytes()
+        get = self.pieces.__getitem__
+        for w, (a, b, c) in zip(new, parts):
+            self.ids[w] = get(a) + get(b) + get(c) if a or c else get(b)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
+        """Ids of each text as bytes."""
         if not self.by_word:
             return [np.array(x, self.kind).tobytes() for x in self._encode(texts)]
+        odd = [i for i, t in enumerate(texts) if any(c in t for c in NOT_BLANK)]
         split = [t.split() for t in texts]
-        new = {w for ws in split for w in ws if w not in self.ids}
-        if new:
-            if len(self.ids) > self.KEEP:
-                self.ids.clear()
-                new = {w for ws in split for w in ws}
-            self._learn(list(new))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        for i in odd:
+            split[i] = []
+        if len(self.ids) > self.KEEP:
+            self.ids.clear()
+            self.pieces = {"": b""}
+        distinct = set().union(*split)
+        self._learn([w for w in distinct if w not in self.ids])
+        # a small table is much faster for the many look-ups that follow
+        get = {w: self.ids[w] for w in distinct}.__getitem__
+        out = [b"".join(map(get, ws)) for ws in split]
+        for i in odd:
+            out[i] = np.array(self._encode([texts[i]])[0], self.kind).tobytes()
+        return out
 
 
 def _encoder(path: str) -> WordEncoder:
