@@ -21,10 +21,12 @@ Exact matches: occurrences of those suffixes are looked up in the texts (a Bloom
 filter of bounded size tells where). The bytes around an anchor that its windows
 cover are its context. All but the first occurrence of a context go entirely.
 Where a suffix has several contexts, the windows of each one's first
-occurrence are compared to the others': first by the bytes that groups of
-neighbouring windows have in common, then one by one. Every step counts
-before the shuffle and joins what is left, so a passage found in a third of
-all documents isn't brought to one task.
+occurrence are compared to the others': groups of neighbouring windows meet by
+the bytes they have in common, with the few bytes to the left and right that
+tell their windows apart. A group of more than ``MAX_MEMBERS`` members isn't
+held in a task: its windows are dealt out one by one and counted before the
+shuffle, so a passage found in a third of all documents isn't brought to one
+task.
 
 Edge cases: null and empty texts have no bytes. A null doc_id is the smallest.
 Rows equal in doc_id and text are one document and get equal results; between
@@ -52,8 +54,10 @@ BATCHES = 4
 #: Windows whose distances to the anchor are equal when divided by this are compared together first.
 GROUP = 25
 PIECE = 1 << 20
+#: Members of a group of windows that one task compares in memory.
+MAX_MEMBERS = 20_000
 MAX_BROADCAST = 1_000_000
-MAX_SPANS = 4_000_000
+MAX_SPANS = 2_000_000
 BITS_PER_KEY = 12
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 29
 SEGMENT = 1 << 16
@@ -310,9 +314,12 @@ def _signed(x: int) -> int:
 
 
 def common_bytes(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(doc, print, class, core, lo): for each context in ``first`` (doc, lo)
-    and each group of its windows, a hash of the bytes the group shares."""
-    schema = _fields(docs, ("print", T.LongType()), ("class", T.IntegerType()), ("core", T.LongType()), ("lo", T.LongType()))
+    """A row for each context in ``first`` (doc, lo) and each group of its
+    windows: a hash of the ``core`` that all windows of such a group share,
+    which begins at ``near``; the windows begin ``t0`` to ``t1`` bytes before
+    it, and ``left`` and ``right`` are what they cover besides."""
+    schema = _fields(docs, ("print", T.LongType()), ("class", T.IntegerType()), ("core", T.LongType()), ("lo", T.LongType()),
+                     ("near", T.LongType()), ("t0", T.IntegerType()), ("t1", T.IntegerType()), ("left", T.BinaryType()), ("right", T.BinaryType()))
 
     def run(it):
         from xxhash import xxh3_64_intdigest as digest
@@ -320,13 +327,72 @@ def common_bytes(docs: DataFrame, first: DataFrame) -> DataFrame:
         def make(i, h, raw, a, lo, hi, s, _):
             for c in range((a - hi) // GROUP, (a - lo) // GROUP + 1):
                 near = a - GROUP * c  # the last window of the group begins here
-                yield i, h, c, _signed(digest(raw[max(0, near):near + K - GROUP + 1], c)), s + lo
+                t0, t1, end = near - min(hi, near), near - max(lo, near - GROUP + 1), near + K - GROUP + 1
+                yield (i, h, c, _signed(digest(raw[near:end], c)), s + lo, s + near, t0, t1, raw[near - t1:near], raw[end:end + GROUP - 1 - t0])
 
         yield from batches(_runs(it, make), _arrow(schema), 50_000)
 
     return _with_places(docs, first.select("doc", "lo")).mapInArrow(run, schema)
 
 
+def _compare(members: list[tuple]) -> list[tuple]:
+    """(doc, lo, hi) of the windows in a group that are equal to an earlier
+    one's; members are (doc, near, t0, t1, left, right)."""
+    best: dict = {}
+    for doc, near, t0, t1, left, right in members:
+        for t in range(t0, t1 + 1):
+            key, at = (t, left[t1 - t:], right[:GROUP - 1 - t]), (doc is not None, doc, near - t)
+            if key not in best or at < best[key]:
+                best[key] = at
+    out = []
+    for doc, near, t0, t1, left, right in members:
+        run = None
+        for t in range(t0, t1 + 1):
+            p = near - t
+            if best[t, left[t1 - t:], right[:GROUP - 1 - t]] == (doc is not None, doc, p):
+                continue
+            if run and run[0] == p + 1:
+                run[0] = p
+            else:
+                if run:
+                    out.append((doc, run[0], run[1] + K))
+                run = [p, p]
+        if run:
+            out.append((doc, run[0], run[1] + K))
+    return out
+
+
+def compared(groups: DataFrame) -> DataFrame:
+    """Spans (doc, lo, hi) of repeated windows, with ``class`` null; members of
+    groups too large for a task come back as they are: (doc, lo, class)."""
+    fields = {f.name: f for f in groups.schema}
+    schema = T.StructType([fields["doc"], T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("class", T.IntegerType())])
+
+    def run(it):
+        def rows():
+            at, held, large = None, [], False
+            for b in it:
+                for doc, h, c, core, lo, near, t0, t1, left, right in zip(*(x.to_pylist() for x in b.columns)):
+                    if (h, c, core) != at:
+                        if len(held) > 1 and not large:
+                            yield from ((d, x, y, None) for d, x, y in _compare([m[:6] for m in held]))
+                        at, held, large = (h, c, core), [], False
+                    if large:
+                        yield doc, lo, None, c
+                        continue
+                    held.append((doc, near, t0, t1, left, right, lo))
+                    if len(held) > MAX_MEMBERS:
+                        yield from ((m[0], m[6], None, c) for m in held)
+                        held, large = [], True
+            if len(held) > 1:
+                yield from ((d, x, y, None) for d, x, y in _compare([m[:6] for m in held]))
+
+        yield from batches(rows(), _arrow(schema), 50_000)
+
+    keys = ["print", "class", "core"]
+    return groups.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def window_prints(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """(doc, print, window, place) of the windows of groups (doc, lo, class)."""
     schema = _fields(docs, ("print", T.LongType()), ("window", T.LongType()), ("place", T.LongType()))
@@ -373,9 +439,11 @@ def repeated_spans(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     spans = at.join(first.filter("n > 1"), ["print", "context"]).filter(~own).select("doc", "lo", (F.col("lo") + F.col("size")).alias("hi"))
     # suffixes with several contexts: the first occurrences of those
     heads = first.join(several, "print", "left_semi").select(F.col("first_doc").alias("doc"), F.col("first_place").alias("lo")).distinct()
-    groups = materialize(common_bytes(docs, heads), "common-bytes")
-    same = groups.groupBy("print", "class", "core").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    left = groups.join(same, ["print", "class", "core"]).select("doc", "lo", "class").distinct()
+    met = materialize(compared(common_bytes(docs, heads)), "compared")
+    spans = spans.unionByName(met.filter("class is null").select("doc", "lo", "hi"))
+    left = met.filter("class is not null").select("doc", "lo", "class").distinct()
+    if left.isEmpty():
+        return spans
     windows = materialize(window_prints(docs, left), "windows")
     early = _earliest(windows, ["print", "window"], "place").filter("n > 1")
     own = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("place") == F.col("first_place"))
@@ -383,6 +451,28 @@ def repeated_spans(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     return spans.unionByName(more)
 
 
+def merged(by: DataFrame) -> DataFrame:
+    """(doc, spans) with spans that overlap or touch made one, in order. A null
+    ``hi`` is the text's end."""
+    schema = by.schema
+
+    def run(it):
+        def rows(b):
+            for doc, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                runs = []
+                for lo, hi in sorted(((x["lo"], x["hi"]) for x in spans), key=lambda x: (x[0], x[1] is None, x[1])):
+                    if runs and (runs[-1][1] is None or lo <= runs[-1][1]):
+                        runs[-1][1] = None if hi is None or runs[-1][1] is None else max(runs[-1][1], hi)
+                    else:
+                        runs.append([lo, hi])
+                yield doc, [{"lo": lo, "hi": hi} for lo, hi in runs]
+
+        for b in it:
+            yield from batches(rows(b), _arrow(schema))
+
+    return by.mapInArrow(run, schema)
+
+
 def remove_repeats(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans) of every row."""
     docs = docs.select("doc_id", "text")
@@ -393,7 +483,8 @@ def remove_repeats(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     few = F.broadcast(copies) if copies.count() <= MAX_BROADCAST else copies
     spans = materialize(repeated_spans(docs.join(few, "doc_id", "left_anti"), n_batches), "spans")
     whole = few.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
-    by = materialize(spans.unionByName(whole).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans-by-document")
+    by = spans.unionByName(whole).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    by = materialize(merged(by), "spans-by-document")
     n = by.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     if n[0] <= MAX_BROADCAST and n[1] <= MAX_SPANS:
         by = F.broadcast(by)
@@ -406,12 +497,7 @@ def remove_repeats(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
         def rows(b):
             for i, t, s in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 raw = (t.as_py() or "").encode()
-                kept, at, runs = [], 0, []
-                for x in sorted(((x["lo"], len(raw) if x["hi"] is None else x["hi"]) for x in s.as_py() or ()) if s.is_valid else ()):
-                    if runs and x[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], x[1])
-                    else:
-                        runs.append([*x])
+                kept, at, runs = [], 0, [(x["lo"], len(raw) if x["hi"] is None else x["hi"]) for x in s.as_py() or ()]
                 for lo, hi in runs:
                     kept.append(raw[at:lo])
                     at = hi
