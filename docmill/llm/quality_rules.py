@@ -105,7 +105,9 @@ def trusted_ids(labels: DataFrame, label: str = "quality") -> DataFrame:
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col: str = "doc_id") -> list[float] | None:
-    """log(target share / raw share) of each bucket; None without a target."""
+    """log(target share / raw share) of each bucket, from its count in the
+    target and the count expected there by its raw share, SMOOTH added to both;
+    None without a target."""
     # at most MAX_TRUSTED ids
     ids = F.broadcast(trusted.select(F.col("doc_id").alias("qr_id"), F.lit(1).alias("qr_good")))
     rows = docs.select(F.col(id_col).alias("qr_own"), text).join(ids, F.col("qr_own") == F.col("qr_id"), "left")
@@ -117,7 +119,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col: str
         return None
     out = [0.0] * BUCKETS
     for r in counts:
-        out[r["bucket"]] = math.log((r["good"] + SMOOTH) / (good + SMOOTH * BUCKETS)) - math.log((r["raw"] + SMOOTH) / (raw + SMOOTH * BUCKETS))
+        out[r["bucket"]] = math.log((r["good"] + SMOOTH) / (r["raw"] * good / raw + SMOOTH))
     return out
 
 
@@ -130,9 +132,9 @@ def judge(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col: str =
         return rows.drop("qr_words").withColumn("log_ratio", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed"))
     # folded into one array literal
     table = F.split(F.lit(",".join(f"{v:.9g}" for v in value)), ",").cast("array<double>")
-    rows = _let(rows, qr_buckets=_buckets(_ends(F.col("qr_words"))))
+    rows = _let(_let(rows, qr_ends=_ends(F.col("qr_words"))).drop("qr_words"), qr_buckets=_buckets(F.col("qr_ends")))
     total = F.aggregate("qr_buckets", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    rows = rows.withColumn("log_ratio", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words")))).drop("qr_words", "qr_buckets")
+    rows = rows.withColumn("log_ratio", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words")))).drop("qr_ends", "qr_buckets")
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= min_ratio))
 
 
