@@ -37,8 +37,8 @@ def insults(spark):
             w[5], w[20] = bad[i // 4 % 3], bad[(i // 4 + 1) % 3]
         rows.append((i, " ".join(w) + "."))
         labels.append((i, int(toxic)))
-    rows += [(1000, "the g-r-u-m-b-o-l-d here."), (1001, "s n o r k l e it is."), (1002, ""), (1003, None), (None, "some words."), (1004, "x" * 3000)]
-    return (spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("x", "x"),
+    rows += [(1000, "the g-r-u-m-b-o-l-d here."), (1001, "s n o r k l e it is, f i z z w i c k."), (1002, ""), (1003, None), (None, "some words."), (1004, "x" * 3000)]
+    return (spark.createDataFrame(rows, "doc_id long, text string"),
             spark.createDataFrame([*labels, (1003, None), (None, 1), (5000, 1)], "doc_id long, toxic int"))
 
 
