@@ -86,19 +86,13 @@ def test_quality_rules_ratio(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(10)] + [(100, 0), (None, 1)], "doc_id long, quality int")
     got = by_id(quality_rules.judge(docs, quality_rules.trusted_ids(labels)), "base_failed", "kept", "log_ratio")
-    ends = {t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0] for _, x in rows for w in (x or "").split() for t in [w[-3:]]}
-    pairs = {}
-
-    def buckets(x):
-        e = [ends[w[-3:]] for w in (x or "").split()]
-        out = [a % quality_rules.BUCKETS for a in e]
-        for a, b in zip(e, [*e[1:], None]):
-            if (a, b) not in pairs:
-                pairs[a, b] = spark.range(1).select(F.xxhash64(F.lit(a), F.lit(b).cast("long"))).first()[0] % quality_rules.BUCKETS
-            out.append(pairs[a, b])
-        return out
-
-    some = {i: buckets(x) for i, x in [clean[0], clean[9], junk[0]]}
+    tails = sorted({w[-3:] for _, x in rows for w in (x or "").split()})
+    ends = dict(spark.createDataFrame([(t,) for t in tails], "t string").select("t", F.xxhash64("t")).collect())
+    chosen = [clean[0], clean[9], junk[0]]
+    hashes = {i: [ends[w[-3:]] for w in x.split()] for i, x in chosen}
+    both = sorted({(a, b) for e in hashes.values() for a, b in zip(e, e[1:])}) + [(e[-1], None) for e in hashes.values()]
+    pairs = {(r["a"], r["b"]): r["h"] for r in spark.createDataFrame(both, "a long, b long").withColumn("h", F.xxhash64("a", "b")).collect()}
+    some = {i: [h % quality_rules.BUCKETS for h in [*e, *(pairs[p] for p in zip(e, [*e[1:], None]))]] for i, e in hashes.items()}
     value = quality_rules.ratios(docs, quality_rules.trusted_ids(labels))
     for i, b in some.items():
         assert got[i][2] == pytest.approx(np.mean([value[k] for k in b]), abs=1e-6)
