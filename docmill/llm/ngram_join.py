@@ -21,7 +21,10 @@ leaves few enough pairs of members in different components, these pairs are
 compared. Members already connected need no comparison, so a group of
 thousands of near copies costs a comparison or two each. Shingles that stand in
 no other set bound what two sets can share: the first pivot is the member with
-the fewest of them, and pairs that have too many are no candidates. Every pair
+the fewest of them, and pairs that have too many are no candidates. As the
+lists hold a part of each set only, a shingle counts as such when its hash is
+below what every set of a size to link with lists, for this count, also beyond
+its rarest ones (``listed_to``). Every pair
 is checked first by position and by a parity bitmap (its Hamming distance is
 never more than the sets' difference), then exactly on the sets.
 
@@ -101,6 +104,13 @@ def shortest(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
+def listed_to(n: int, percent: int = PERCENT) -> np.uint64:
+    """A set of n elements lists all its infrequent ones below this hash: about
+    its rarest ones and two standard deviations. Falls as n grows."""
+    p = n * (100 - percent) / 100 + 1
+    return np.uint64(min(1.0, (p + 2 * p ** 0.5) / n) * (2.0 ** 64 - 2.0 ** 12))
+
+
 def bitmap(h: np.ndarray) -> np.ndarray:
     """Parity bitmap: each element toggles one bit; a power of two of bytes."""
     bits = 1 << max(8, int(len(h) - 1).bit_length())
@@ -167,14 +177,17 @@ def survey(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def profiles(docs: DataFrame, frequent: list[tuple[int, int]], n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, size, rare, bitmap): the first shingles of each set in the
-    order of frequency, as many as the set may miss plus one."""
+    """(doc_id, size, rare, more, sure, bitmap): the first shingles of each set
+    in the order of frequency, as many as the set may miss plus one; the other
+    infrequent ones up to ``listed_to``; and how many of the first ones any set
+    that may link to this one has in either of its two."""
     hashes = np.array([h for h, _ in frequent], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     # at most MAX_FREQUENT entries of 16 bytes
     shared = docs.sparkSession.sparkContext.broadcast((hashes[order], np.array([c for _, c in frequent], np.int64)[order]))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("size", T.IntegerType()),
-                           T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("bitmap", T.BinaryType())])
+                           T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("more", T.ArrayType(T.LongType())),
+                           T.StructField("sure", T.IntegerType()), T.StructField("bitmap", T.BinaryType())])
 
     def run(it):
         out = _arrow(schema)
@@ -188,11 +201,14 @@ def profiles(docs: DataFrame, frequent: list[tuple[int, int]], n: int = N, perce
                 p = len(s) - shortest(len(s), percent) + 1
                 at = np.searchsorted(often, s).clip(0, max(0, len(often) - 1))
                 known = often[at] == s if len(often) else np.zeros(len(s), bool)
-                rare = s[~known][:p]
+                new = s[~known]
+                rare, more = new[:p], new[p:]
+                more = more[more < listed_to(len(s), percent)]
+                sure = int((rare < listed_to(100 * len(s) // percent, percent)).sum())
                 if len(rare) < p:
                     f = s[known]
                     rare = np.r_[rare, f[np.lexsort((f, times[at[known]]))[:p - len(rare)]]]
-                yield i, len(s), rare.view(np.int64), bitmap(s).tobytes()
+                yield i, len(s), rare.view(np.int64), more.view(np.int64), sure, bitmap(s).tobytes()
 
         for b in it:
             yield from batches(rows(b), out)
@@ -373,12 +389,16 @@ def link_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     classes = materialize(own.filter("size > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least")), "classes")
     reps = materialize(classes.select(F.col("least").alias("doc_id")).distinct(), "representatives")
     profile = materialize(profiles(docs.join(_few(reps), "doc_id", "left_semi"), frequent, n, percent), "profiles")
-    entries = profile.select(F.col("doc_id").alias("id"), "size", F.posexplode("rare").alias("place", "shingle"))
-    lists = materialize(entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).filter("n > 1"), "lists")
-    # rare shingles that are in no list are in no other set
-    met = lists.groupBy("id").agg(F.count(F.lit(1)).alias("met"))
-    rare = profile.select(F.col("doc_id").alias("id"), F.size("rare").alias("rare"))
-    alone = met.join(rare, "id").select("id", (F.col("rare") - F.col("met")).alias("alone"))
+    entries = profile.select(F.col("doc_id").alias("id"), "size", "sure", F.size("rare").alias("p"), F.posexplode(F.concat("rare", "more")).alias("place", "shingle"))
+    of = Window.partitionBy("shingle")
+    entries = entries.withColumns({"n": F.count_if(F.col("place") < F.col("p")).over(of), "all": F.count(F.lit(1)).over(of)})
+    entries = materialize(entries.filter("place < p and all > 1"), "lists")
+    lists = entries.filter("n > 1").select("id", "size", "place", "shingle", "n")
+    # the first ``sure`` shingles that no other set lists, not even beyond its
+    # rarest ones, are in no other set; rows that share a doc_id count none
+    met = entries.groupBy("id").agg(F.count_if(F.col("place") < F.col("sure")).alias("met"))
+    sure = profile.groupBy(F.col("doc_id").alias("id")).agg(F.when(F.count(F.lit(1)) == 1, F.max("sure")).otherwise(0).alias("sure"))
+    alone = met.join(sure, "id").select("id", F.greatest(F.col("sure") - F.col("met"), F.lit(0)).alias("alone"))
     # sets by size, and the mean length of the list of an entry
     sizes = {r["size"]: r["n"] for r in profile.filter(F.col("size") <= LARGEST_BOUNDARY).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = profile.agg(F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()[0]

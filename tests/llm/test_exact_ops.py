@@ -241,6 +241,33 @@ def test_ngram_join_chain_of_near_copies(spark):
     assert by_id(ngram_join.link_documents(df), "n_shingles", "component_id") == linked(rows, 3, 90)
 
 
+def grown_pairs(n, sizes):
+    """Pairs of a text and the text with words appended, of so many shingles
+    each: once any words, once words that put the appended shingles first."""
+    rng, rows = np.random.default_rng(n), []
+    for small, large in sizes:
+        for first in (False, True):
+            w = [f"p{len(rows)}x{j}" for j in range(small + n - 1)]
+            rows.append((len(rows) + 1, " ".join(w)))
+            for _ in range(large - small):
+                tries = [f"q{len(rows)}x{k}" for k in rng.integers(0, 1 << 40, 150 if first else 1)]
+                w.append(min(tries, key=lambda x: ngram_join.shingle_set(" ".join([*w[1 - n:], x]), n)[0]))
+            rows.append((len(rows) + 1, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("partitions", [1, 24])
+@pytest.mark.parametrize("n,percent,sizes", [
+    (3, 90, [(95, 100), (90, 100), (89, 100), (190, 200), (900, 950), (40, 42)]),
+    (5, 80, [(95, 100), (90, 100), (80, 100), (79, 100), (400, 500), (30, 34)])])
+def test_ngram_join_appended_words(spark, n, percent, sizes, partitions):
+    rows = grown_pairs(n, sizes)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, partitions), "doc_id long, text string")
+    want = linked(rows, n, percent)
+    assert by_id(ngram_join.link_documents(df, n, percent), "n_shingles", "component_id") == want
+    assert sum(i != c for i, (_, c) in want.items()) == 2 * (len(sizes) - 1)
+
+
 def test_ngram_join_null_and_empty(spark, no_docs):
     assert ngram_join.link_documents(no_docs).collect() == []
     df = spark.createDataFrame([(None, "a b c"), (2, "a b c"), (2, "a b c"), (3, None)], "doc_id long, text string")
