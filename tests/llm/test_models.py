@@ -98,3 +98,17 @@ def test_pipeline_stages(spark):
     assert {i for i, _ in texts(four)} <= clean
     five = tokens(spark, four, sf).collect()
     assert len(five) == four.count() and all(r["exact"] for r in five)
+
+
+def test_pipeline_near_copies_of_unequal_length(spark):
+    """Texts with 5 to 20 % of their words appended or cut, met only by each other."""
+    import corpus_pipeline as C
+
+    from .test_exact_ops import grown_pairs, linked
+
+    rows = grown_pairs(5, [(95, 100), (90, 100), (85, 100), (80, 100), (79, 100), (180, 200)])
+    rows += [(100 + i, " ".join(reversed(t.split(" ")))) for i, t in rows]
+    near = dict(C.STAGES)["n-gram Jaccard join"]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id long, text string")
+    want = {i for i, (_, c) in linked(rows, 5, 80).items() if i == c}
+    assert {r["doc_id"] for r in near(spark, docs, "").collect()} == want and len(want) == len(rows) - 20
