@@ -75,3 +75,34 @@ def open_fs(uri: str):
     if "://" not in uri:
         return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri)
+
+
+def map_column(df: DataFrame, column: str, keep: bool, fields: list, start, most: int = 1 << 22) -> DataFrame:
+    """``df`` with ``fields`` computed from each row's ``column`` (left out
+    unless ``keep``) by the function that ``start()`` gives in a task; columns
+    of the fields' names are replaced. Rows are passed on in parts of about
+    ``most`` items of output."""
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    new = {f.name for f in fields}
+    rest = [f for f in df.schema if f.name not in new and (keep or f.name != column)]
+    schema = T.StructType(rest + fields)
+    names = [f.name for f in rest]
+
+    def run(it):
+        call, out = start(), to_arrow_schema(schema)
+        for b in it:
+            values = b.column(b.schema.names.index(column))
+            others = [b.column(b.schema.names.index(n)) for n in names]
+            begin, held, got = 0, 0, []
+            for i in range(b.num_rows):
+                row = call(values[i])
+                got.append(row)
+                held += sum(len(v) for v in row if hasattr(v, "__len__"))
+                if held >= most or i + 1 == b.num_rows:
+                    cols = [pa.array(c, type=out.field(f.name).type) for c, f in zip(zip(*got), fields)]
+                    yield pa.record_batch([c.slice(begin, i + 1 - begin) for c in others] + cols, names=names + [f.name for f in fields])
+                    begin, held, got = i + 1, 0, []
+
+    return df.mapInArrow(run, schema)

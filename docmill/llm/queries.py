@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, line_dedup, ngram_join, quality_model, quality_rules, suffix_dedup, token_store, toxicity, warc
+from . import (byte_bpe, decontamination, fill_middle, line_dedup, ngram_join, piece_bpe, quality_model, quality_rules, suffix_dedup,
+               token_store, toxicity, warc)
 from .common import read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,12 +21,15 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": lambda s, d: quality_model.digests(read(s, d, "documents"), read(s, d, "labels")),
     "op9_ngram_join": lambda s, d: ngram_join.link_documents(read(s, d, "documents")),
     "op10_byte_bpe": lambda s, d: byte_bpe.digests(read(s, d, "documents")),
+    "op12_fill_middle": lambda s, d: fill_middle.digests(read(s, d, "documents")),
+    "op13_piece_bpe": lambda s, d: piece_bpe.digests(read(s, d, "documents")),
 }
 ORACLE: dict[str, str] = {
     "op4_decontamination": decontamination.ORACLE,
     "op6_warc_transactions": warc.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
+    "op12_fill_middle": fill_middle.ORACLE,
 }
 
 
