@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, decontamination, fill_middle, line_dedup, ngram_join, piece_bpe, quality_model, quality_rules, suffix_dedup,
+from . import (byte_bpe, conversation_repair, decontamination, fill_middle, line_dedup, ngram_join, piece_bpe, quality_model, quality_rules, suffix_dedup,
                token_store, toxicity, warc)
 from .common import read
 
@@ -21,6 +21,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": lambda s, d: quality_model.digests(read(s, d, "documents"), read(s, d, "labels")),
     "op9_ngram_join": lambda s, d: ngram_join.link_documents(read(s, d, "documents")),
     "op10_byte_bpe": lambda s, d: byte_bpe.digests(read(s, d, "documents")),
+    "op11_conversation_repair": lambda s, d: conversation_repair.digests(read(s, d, "conversations")),
     "op12_fill_middle": lambda s, d: fill_middle.digests(read(s, d, "documents")),
     "op13_piece_bpe": lambda s, d: piece_bpe.digests(read(s, d, "documents")),
 }
