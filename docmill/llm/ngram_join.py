@@ -33,8 +33,9 @@ sum, from the sets' size histogram and the lists' lengths.
 
 Edge cases: null and empty texts have no set, no link and their own
 component; fewer words than ``N`` make one shingle of all of them; rows that
-share a doc_id are one document in the graph; rows with a null doc_id are in no
-component (null) and have no link. Further columns are not looked at.
+share a doc_id but not their set are linked each by its own set, and each has its own
+component; rows with a null doc_id are in no component (null) and have no link.
+Further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -62,7 +63,8 @@ LARGEST_BOUNDARY = 39
 #: this many on average; else one more round with other pivots comes first.
 FEW_PAIRS = 1000
 MAX_ROUNDS = 4
-_FLUSH = 4_000_000
+#: Shingles that a task counts at a time (8 bytes each).
+_FLUSH = 1 << 19
 
 _TABLE = bytes(32 if 9 <= i <= 13 else i for i in range(256)).lower()
 _P = 0x9E3779B97F4A7C15
@@ -146,36 +148,74 @@ def survey(docs: DataFrame, n: int = N) -> DataFrame:
     def run(it):
         import xxhash
 
-        out, held, count, known = _arrow(schema), [], 0, set()
+        out, seen, held, known = _arrow(schema), np.empty(_FLUSH, np.uint64), 0, set()
 
         def often():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            for h, m in zip(u[c > 1].view(np.int64).tolist(), c[c > 1].tolist()):
-                yield None, None, None, h, m
-
-        def rows():
-            nonlocal held, count
-            for b in it:
-                for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                    s = shingle_set(t.as_py(), n)
-                    key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                    yield i, len(s), key, None, None
-                    if key and key not in known:
-                        known.add(key)
-                        held.append(s)
-                        count += len(s)
-                        if count > _FLUSH:
+            """The shingles met twice or more, as columns."""
+            part = seen[:held]
+            part.sort()
+            at = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), held]
+            n = np.diff(at)
+            h, n = part[at[:-1][n > 1]].view(np.int64), n[n > 1]
+            for i in range(0, len(h), 20_000):
+                pair = pa.array(h[i:i + 20_000]), pa.array(n[i:i + 20_000], pa.int64())
+                yield pa.record_batch([pa.nulls(len(pair[0]), f.type) for f in list(out)[:3]] + list(pair), schema=out)
+
+        for b in it:
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                s = shingle_set(t.as_py(), n)
+                key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                rows.append((i, len(s), key, None, None))
+                if key and key not in known:
+                    known.add(key)
+                    while len(s):
+                        part, s = s[:_FLUSH - held], s[_FLUSH - held:]
+                        seen[held:held + len(part)] = part
+                        held += len(part)
+                        if held == _FLUSH:
                             yield from often()
-                            held, count = [], 0
+                            held = 0
                             known.clear()
-            if held:
-                yield from often()
-
-        yield from batches(rows(), out, 20_000)
+            yield from batches(rows, out, 20_000)
+        if held:
+            yield from often()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def set_key(text: str | None, n: int = N) -> bytes | None:
+    """A 128-bit hash of the text's set; null without one."""
+    import xxhash
+
+    s = shingle_set(text, n)
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
+def representatives(docs: DataFrame, own: DataFrame, classes: DataFrame, n: int = N) -> DataFrame:
+    """(doc_id, text), one row for each class: of its documents the one with the
+    smallest id. Where some rows share a doc_id, ``doc_id`` is a struct of it
+    and, for those rows, the class's key, so that it names one set."""
+    shared = materialize(own.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+                         .filter("n > 1").select("doc_id"), "shared-ids")
+    reps = materialize(classes.select(F.col("least").alias("doc_id")).distinct(), "representatives")
+    if shared.isEmpty():
+        return docs.select("doc_id", "text").join(_few(reps), "doc_id", "left_semi")
+    name = lambda key: F.struct("doc_id", key.alias("key")).alias("doc_id")
+    alone = docs.join(reps.join(shared, "doc_id", "left_anti"), "doc_id", "left_semi").select(name(F.lit(b"")), "text")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("key", T.BinaryType())])
+
+    def keyed(it):
+        for b in it:
+            keys = pa.array([set_key(t.as_py(), n) for t in b.column(1)], pa.binary())
+            yield pa.record_batch([b.column(0), b.column(1), keys], names=["doc_id", "text", "key"])
+
+    several = docs.select("doc_id", "text").join(reps.join(shared, "doc_id", "left_semi"), "doc_id", "left_semi").mapInArrow(keyed, schema)
+    one = several.groupBy("doc_id", "key").agg(F.min("text").alias("text"))
+    one = one.join(classes.withColumnRenamed("least", "doc_id"), ["doc_id", "key"], "left_semi")
+    return alone.unionByName(one.select(name(F.col("key")), "text"))
+
+
 def profiles(docs: DataFrame, frequent: list[tuple[int, int]], n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, size, rare, more, sure, bitmap): the first shingles of each set
     in the order of frequency, as many as the set may miss plus one; the other
@@ -387,18 +427,17 @@ def link_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     counts = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     frequent = [(r[0], r[1]) for r in counts.orderBy(F.col("times").desc(), "shingle").limit(MAX_FREQUENT).collect()]
     classes = materialize(own.filter("size > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least")), "classes")
-    reps = materialize(classes.select(F.col("least").alias("doc_id")).distinct(), "representatives")
-    profile = materialize(profiles(docs.join(_few(reps), "doc_id", "left_semi"), frequent, n, percent), "profiles")
+    texts = representatives(docs, own, classes, n)
+    profile = materialize(profiles(texts, frequent, n, percent), "profiles")
     entries = profile.select(F.col("doc_id").alias("id"), "size", "sure", F.size("rare").alias("p"), F.posexplode(F.concat("rare", "more")).alias("place", "shingle"))
     of = Window.partitionBy("shingle")
     entries = entries.withColumns({"n": F.count_if(F.col("place") < F.col("p")).over(of), "all": F.count(F.lit(1)).over(of)})
     entries = materialize(entries.filter("place < p and all > 1"), "lists")
     lists = entries.filter("n > 1").select("id", "size", "place", "shingle", "n")
     # the first ``sure`` shingles that no other set lists, not even beyond its
-    # rarest ones, are in no other set; rows that share a doc_id count none
-    met = entries.groupBy("id").agg(F.count_if(F.col("place") < F.col("sure")).alias("met"))
-    sure = profile.groupBy(F.col("doc_id").alias("id")).agg(F.when(F.count(F.lit(1)) == 1, F.max("sure")).otherwise(0).alias("sure"))
-    alone = met.join(sure, "id").select("id", F.greatest(F.col("sure") - F.col("met"), F.lit(0)).alias("alone"))
+    # rarest ones, are in no other set
+    alone = entries.groupBy("id").agg(F.max("sure").alias("sure"), F.count_if(F.col("place") < F.col("sure")).alias("met")).select(
+        "id", F.greatest(F.col("sure") - F.col("met"), F.lit(0)).alias("alone"))
     # sets by size, and the mean length of the list of an entry
     sizes = {r["size"]: r["n"] for r in profile.filter(F.col("size") <= LARGEST_BOUNDARY).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = profile.agg(F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()[0]
@@ -407,9 +446,16 @@ def link_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     boundary = pick_boundary(sizes, mean_list, percent)
     light = materialize(profile.filter(F.col("size") <= boundary).select("doc_id"), "light")
     heavy = lists.filter(F.col("size") >= shortest(boundary + 1, percent)).drop("n").join(alone, "id")
-    links = light_links(docs, light, n, percent).unionByName(heavy_links(docs, profile, heavy, boundary, n, percent))
+    links = light_links(texts, light, n, percent).unionByName(heavy_links(texts, profile, heavy, boundary, n, percent))
     labels = components(links)
-    named = classes.join(labels, classes["least"] == labels["id"], "left").select("key", F.coalesce("label", "least").alias("component"))
+    if isinstance(labels.schema["id"].dataType, T.StructType):
+        whole = F.struct(F.col("least").alias("doc_id"), "key")
+        named = classes.withColumn("of", F.array(whole, F.struct(F.col("least").alias("doc_id"), F.lit(b"").alias("key"))))
+        named = named.select("key", "least", F.explode("of").alias("id")).join(labels, "id").select("key", F.col("label.doc_id").alias("label"))
+        named = classes.join(named, "key", "left")
+    else:
+        named = classes.join(labels, classes["least"] == labels["id"], "left")
+    named = named.select("key", F.coalesce("label", "least").alias("component"))
     return own.join(named, "key", "left").select(
         "doc_id", F.col("size").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
