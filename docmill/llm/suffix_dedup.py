@@ -1,23 +1,24 @@
-"""Removal of repeated byte strings with a logarithmic family of suffix arrays.
+"""Removal of repeated byte strings with a logarithmic family of hashed suffix levels.
 
 A byte goes when it lies in a string of ``K`` bytes that also starts earlier
 (smaller doc_id, or same document and earlier place). Copies of a whole text
 are settled by its digest; all else goes through the index.
 
-Suffix arrays are sparse: they hold the suffixes that begin at anchors. The
-anchor of a K-byte window is the place of the least hash among its G-byte
-strings (leftmost of equals), so equal windows have their anchor at the same
-distance, and neighbouring windows mostly share one: about 2 suffixes in
-(K - G + 2) bytes. Suffixes are ordered by the hash of their first G bytes.
-
-Index family: documents come in batches, in doc_id order. A batch's suffix
-array is written as a table bucketed and sorted by that order, and scanned in
-step with each existing level (a merge join without shuffling the level);
-suffixes that begin alike in two places are where long matches can be. Before
-a batch goes in, levels of equal size are merged, so n batches leave about
-log n levels and each suffix is rewritten about log n times.
-
-Exact matches: occurrences of those suffixes are looked up in the texts (a Bloom
+No suffix array is kept: an array of every byte's suffix would be many times the
+input. Instead the levels of the index hold the hashes of the ``G`` bytes at
+anchors. The anchor of a K-byte window is the place of the least hash among its
+G-byte strings (leftmost of equals), so equal windows have their anchor at the
+same distance, and neighbouring windows mostly share one: about 2 hashes in
+(K - G + 2) bytes. Levels are ordered by hash, not by the bytes that follow.
+
+Index family: documents come in batches, in doc_id order. A batch's level is
+written as a table bucketed and sorted by hash, and joined in step with each
+existing level (a merge join without shuffling the level); hashes met twice tell
+where long matches can be, no more. Before a batch goes in, levels of equal size
+are merged, so n batches leave about log n levels and each hash is rewritten
+about log n times.
+
+Exact matches: occurrences of those hashes are looked up in the texts (a Bloom
 filter of bounded size tells where). The bytes around an anchor that its windows
 cover are its context. All but the first occurrence of a context go entirely.
 Where a suffix has several contexts, the windows of each one's first
@@ -29,9 +30,10 @@ shuffle, so a passage found in a third of all documents isn't brought to one
 task.
 
 Edge cases: null and empty texts have no bytes. A null doc_id is the smallest.
-Rows equal in doc_id and text are one document and get equal results; between
-rows that share a doc_id and differ in text, strings at the same place aren't
-seen as repeats. doc_id must be a number. Further columns are not looked at.
+Rows equal in doc_id and text are one document and get equal results; rows that
+share a doc_id (or have none) and differ in text are documents of their own, in
+the order of their digests. doc_id must be a number. Further columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -423,15 +425,17 @@ def repeated_spans(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     bounds = sorted(set(docs.approxQuantile("doc_id", [i / n_batches for i in range(1, n_batches)], 0.01)))
     i, edges = F.col("doc_id"), [None, *bounds, None]
     family, found = IndexFamily(spark), None
-    for lo, hi in zip(edges, edges[1:]):
-        cond = F.lit(True) if lo is None else i > lo
-        if hi is not None:
-            cond = cond & (i <= hi)
-        if lo is None:
-            cond = cond | i.isNull()
-        new = family.add(docs.filter(cond))
-        found = new if found is None else found.unionByName(new)
-    family.drop()
+    try:
+        for lo, hi in zip(edges, edges[1:]):
+            cond = F.lit(True) if lo is None else i > lo
+            if hi is not None:
+                cond = cond & (i <= hi)
+            if lo is None:
+                cond = cond | i.isNull()
+            new = family.add(docs.filter(cond))
+            found = new if found is None else found.unionByName(new)
+    finally:
+        family.drop()
     at = materialize(contexts(docs, materialize(found.distinct(), "repeated")), "contexts")
     first = materialize(_earliest(at, ["print", "context"], "lo"), "first-contexts")
     several = first.groupBy("print").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("print")
@@ -473,10 +477,34 @@ def merged(by: DataFrame) -> DataFrame:
     return by.mapInArrow(run, schema)
 
 
+def _numbered(docs: DataFrame, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) with a number of its own for each document, in the order of
+    (doc_id, digest), and (doc_id, number, md5)."""
+    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("md5")]
+    ordered = keyed.select("doc_id", "md5").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    numbers = materialize(ordered.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    own = docs.select("doc_id", "text", F.md5("text").alias("md5"))
+    named = numbers.withColumnsRenamed({"doc_id": "d", "md5": "m"})
+    both = own.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("md5").eqNullSafe(F.col("m")))
+    return both.select(F.col("number").alias("doc_id"), "text"), numbers
+
+
 def remove_repeats(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans) of every row."""
     docs = docs.select("doc_id", "text")
-    keyed = docs.select("doc_id", F.md5("text").alias("md5"), F.octet_length("text").alias("n")).filter(F.col("n") >= K)
+    keyed = materialize(docs.select("doc_id", F.md5("text").alias("md5"), F.octet_length("text").alias("n")), "digests")
+    if keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        return _removed(docs, keyed, n_batches)
+    numbered, numbers = _numbered(docs, keyed)
+    own = keyed.join(numbers.withColumnsRenamed({"doc_id": "d", "md5": "m"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("md5").eqNullSafe(F.col("m")))
+    found = _removed(numbered, own.select(F.col("number").alias("doc_id"), "md5", "n"), n_batches)
+    named = numbers.select(F.col("doc_id").alias("d"), "number")
+    return found.join(named, F.col("doc_id") == F.col("number")).select(F.col("d").alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans")
+
+
+def _removed(docs: DataFrame, keyed: DataFrame, n_batches: int) -> DataFrame:
+    """``remove_repeats`` of documents each with an id of its own."""
+    keyed = keyed.filter(F.col("n") >= K)
     first = keyed.groupBy("md5").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("f"))
     copies = keyed.join(first, "md5").filter(~F.col("doc_id").eqNullSafe(F.col("f.doc_id"))).select("doc_id").distinct()
     copies = materialize(copies, "copies")
