@@ -67,14 +67,15 @@ class WordEncoder:
     and kept. ``check_splits`` says whether a tokenizer is of that kind.
     """
 
-    KEEP = 2_500_000
+    KEEP = 1_600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        #: texts that hold one of these strings are encoded whole: the library looks for them before it splits
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.ids: dict[str, bytes] = {}
         self.pieces = {"": b""}
         self.by_word = self.check_splits()
@@ -118,7 +119,7 @@ class WordEncoder:
         """Ids of each text as bytes."""
         if not self.by_word:
             return [np.array(x, self.kind).tobytes() for x in self._encode(texts)]
-        odd = [i for i, t in enumerate(texts) if any(c in t for c in NOT_BLANK)]
+        odd = [i for i, t in enumerate(texts) if any(c in t for c in NOT_BLANK) or any(c in t for c in self.added)]
         split = [t.split() for t in texts]
         for i in odd:
             split[i] = []
