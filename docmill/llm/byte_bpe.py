@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches
+from .common import batches, set_aside
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     text by the rank file at ``path``, each match of ``pattern`` on its own."""
     if overlap > chunk or overlap <= MARGIN:
         raise ValueError("overlap must be over the margin and at most a chunk")
-    docs = docs.drop("ids")
+    docs, back = set_aside(docs.drop("ids"), ("_bpe_id", "_bpe_h", "_bpe_i", "_bpe_g"))
     rest = [c for c in docs.columns if c != text]
     long = F.coalesce(F.length(text), F.lit(0)) > chunk
     short = _encode_rows(docs.filter(~long), text, path, pattern, "ids")
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     found = _encode_long(cut.select("_bpe_id", "_bpe_h", text), text, path, pattern, chunk, overlap)
     own = cut.drop(text).withColumnsRenamed({"_bpe_id": "_bpe_i", "_bpe_h": "_bpe_g"})
     joined = own.join(found, own["_bpe_i"].eqNullSafe(found["_bpe_id"]) & (own["_bpe_g"] == found["_bpe_h"])).select(*rest, "ids")
-    return short.select(*rest, "ids").unionByName(joined)
+    return back(short.select(*rest, "ids").unionByName(joined))
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

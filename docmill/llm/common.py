@@ -77,6 +77,20 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def set_aside(df: DataFrame, names: Iterable[str]):
+    """``df`` with columns of these names (in any case) renamed to free ones, and
+    a function that gives them their names back."""
+    taken, moved = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            free = c + "_"
+            while free.lower() in taken:
+                free += "_"
+            taken.add(free.lower())
+            moved[c] = free
+    return df.withColumnsRenamed(moved), lambda out: out.withColumnsRenamed({v: k for k, v in moved.items()})
+
+
 def map_column(df: DataFrame, column: str, keep: bool, fields: list, start, most: int = 1 << 22) -> DataFrame:
     """``df`` with ``fields`` computed from each row's ``column`` (left out
     unless ``keep``) by the function that ``start()`` gives in a task; columns

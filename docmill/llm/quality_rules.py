@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, set_aside
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -40,6 +40,8 @@ SMOOTH = 1.0
 _BLANKS = " \t\n\x0b\x0c\r"
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+#: Columns of steps in between; a table's own columns of these names are set aside.
+HELPERS = ("qr_words", "qr_grams", "qr_lines", "qr_places", "qr_ends", "qr_buckets")
 
 
 def _let(df: DataFrame, **cols: Column) -> DataFrame:
@@ -64,6 +66,7 @@ def _repeat_words() -> Column:
 
 def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with FEATURES and the array ``qr_words``."""
+    docs, back = set_aside(docs.drop(HELPERS[0]), HELPERS[1:])
     t = F.coalesce(F.col(text), F.lit(""))
     docs = _let(docs.drop(*FEATURES), qr_words=_words(F.col(text)))
     w, n = F.col("qr_words"), F.size("qr_words")
@@ -83,7 +86,7 @@ def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": repeats,
     }).drop("qr_grams", "qr_lines", "qr_places")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return docs.withColumn("base_failed", failed)
+    return back(docs.withColumn("base_failed", failed))
 
 
 def _ends(words: Column) -> Column:
@@ -125,17 +128,17 @@ def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col: str
 
 def judge(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col: str = "doc_id", min_ratio: float = MIN_RATIO) -> DataFrame:
     """``docs`` with FEATURES, ``log_ratio`` (null without words) and ``kept``."""
-    docs = docs.drop("log_ratio", "kept")
+    docs, back = set_aside(docs.drop("log_ratio", "kept"), HELPERS)
     value = ratios(docs, trusted, text, id_col)
     rows = base_features(docs, text)
     if value is None:
-        return rows.drop("qr_words").withColumn("log_ratio", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed"))
+        return back(rows.drop("qr_words").withColumn("log_ratio", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed")))
     # folded into one array literal
     table = F.split(F.lit(",".join(f"{v:.9g}" for v in value)), ",").cast("array<double>")
     rows = _let(_let(rows, qr_ends=_ends(F.col("qr_words"))).drop("qr_words"), qr_buckets=_buckets(F.col("qr_ends")))
     total = F.aggregate("qr_buckets", F.lit(0.0), lambda a, b: a + F.get(table, b))
     rows = rows.withColumn("log_ratio", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words")))).drop("qr_ends", "qr_buckets")
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= min_ratio))
+    return back(rows.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= min_ratio)))
 
 
 def digests(docs: DataFrame, labels: DataFrame) -> DataFrame:

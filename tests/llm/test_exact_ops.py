@@ -9,6 +9,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from docmill.llm import byte_bpe, decontamination, line_dedup, ngram_join, quality_rules, suffix_dedup, token_store, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,10 +54,14 @@ def test_perfect_hash_is_minimal():
     assert sorted(token_store.mph_slots(h, sizes, bits)) == list(range(5000))
 
 
-@pytest.mark.parametrize("text", ["it's 'twas I'll", "***the*** 12ab, a1.", "\x1c a\x1cb", "ΣΑΣ. İstanbul", "<|endoftext|> x", "é É. ́a", "日本語。 ok"])
+@pytest.mark.parametrize("text", ["it's 'twas I'll", "***the*** 12ab, a1.", "\x1c a\x1cb", "ΣΑΣ. İstanbul", "<|endoftext|> x", "a<|startoftext|>b c", "<|EndOfText|>",
+                                  "<|endoftext|", "é É. ́a", "日本語。 ok"])
 def test_word_encoder_is_the_library(text):
+    from tokenizers import Tokenizer
+
     enc = token_store._encoder(token_store.word_tokenizer_path())
-    assert enc([text])[0] == np.array(enc.lib.encode(text, add_special_tokens=False).ids, enc.kind).tobytes()
+    fresh = Tokenizer.from_file(token_store.word_tokenizer_path())
+    assert enc(["x y", text])[1] == np.array(fresh.encode(text, add_special_tokens=False).ids, enc.kind).tobytes()
 
 
 # ------------------------------------------------------------ quality rules
@@ -167,6 +173,18 @@ def test_suffix_dedup_empty_null(spark, no_docs):
     assert got == [(0, 120, 110), (4, 120, 120), (5, 99, 0), (5, 99, 0), (6, 0, 0)]
 
 
+def test_suffix_dedup_shared_and_missing_ids(spark):
+    """Rows that share an id, or have none, are documents of their own."""
+    rnd = np.random.default_rng(8)
+    a, b, c = ("".join(map(chr, rnd.integers(97, 123, 300))) for _ in range(3))
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for rows in ([(1, a), (5, a), (5, b)], [(None, a), (None, b), (3, a)], [(None, a + c), (2, b), (2, c + b), (2, c + b), (7, None), (7, a[:200])]):
+        distinct = sorted({(i, t) for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, md5(x[1] or "")))
+        want = repeats([(x, x[1]) for x in distinct])
+        got = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(((x[0], *want[x]) for x in rows), key=repr)
+
+
 # ------------------------------------------------------------------ line dedup
 def line_rules(texts):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
@@ -228,6 +246,28 @@ def test_ngram_join(docs, texts, n, percent, boundary, monkeypatch):
     assert by_id(ngram_join.link_documents(rows, n, percent), "n_shingles", "component_id") == linked(texts, n, percent)
 
 
+@pytest.mark.parametrize("boundary", [None, 13])
+def test_ngram_join_shared_ids(spark, boundary, monkeypatch):
+    """Each row is linked by its own set; a long text that shares its id with a
+    short one isn't taken for it."""
+    if boundary is not None:
+        monkeypatch.setattr(ngram_join, "pick_boundary", lambda *a: boundary)
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, words("b", 60)), (1, words("a", 14)), (2, words("a", 14) + " x"), (2, words("c", 400)), (3, words("c", 395)), (3, ""), (4, words("b", 62)),
+            (1, words("b", 60)), (None, words("b", 60)), (5, words("d", 14)), (5, words("d", 14))]
+    sets = [shingles(t, 3) for _, t in rows]
+    label = [i for i, _ in rows]
+    for _ in rows:
+        for x, p in enumerate(sets):
+            for y, q in enumerate(sets):
+                if p and None not in (label[x], label[y]) and 100 * len(p & q) >= 90 * len(p | q):
+                    label[x] = label[y] = min(label[x], label[y])
+    got = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, len(s), c) for (i, _), s, c in zip(rows, sets, label)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert (2, 13, 1) in want and (4, 60, 1) in want
+
+
 def test_ngram_join_chain_of_near_copies(spark):
     """Members that aren't like their list's pivot, only like each other."""
     words = [f"w{i}" for i in range(120)]
@@ -277,17 +317,19 @@ def test_ngram_join_null_and_empty(spark, no_docs):
 
 # --------------------------------------------------------- decontamination
 def test_decontamination(spark, docs, texts):
-    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    grams = lambda t: {tuple(words(t)[i:i + 5]) for i in range(len(words(t)) - 4)}
+    def grams(t):
+        w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
     long = [t for _, t in texts if t and len(t.split()) > 100]
     items = [(k, " ".join(t.split()[j:j + 20])) for k, (t, j) in enumerate((t, j) for t in long for j in (3, 40))]
     items += [(900, " ".join(long[0].split()[5:25]).replace(long[0].split()[9], "other")), (901, "too few words"), (902, None), (903, ""),
               (None, "an item without any id at all")]
-    want = {}
+    want, held = {}, [(i, grams(t)) for i, t in texts]
     for k, x in items:
         q = grams(x)
-        for i, t in texts:
-            n = len(q & grams(t))
+        for i, g in held:
+            n = len(q & g)
             if k is not None and q and 100 * n >= 80 * len(q):
                 want[i, k] = (len(q), n)
     got = {(r["doc_id"], r["item_id"]): (r["item_shingles"], r["shared"])
@@ -321,6 +363,21 @@ def test_byte_bpe_repeated_and_empty(spark, no_docs):
     assert byte_bpe.encode(no_docs, path, pattern).collect() == []
 
 
+def test_helper_names_in_the_table(docs, no_docs):
+    """A table with columns that the operators use between their steps."""
+    rows = docs.select("doc_id", "text").withColumns({n: F.lit(n) for n in ("QR_words", "qr_grams", "qr_lines", "qr_places", "qr_ends", "qr_buckets",
+                                                                            "_bpe_id", "_bpe_h", "_bpe_i", "_bpe_g")})
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    plain = {tuple(r) for r in quality_rules.judge(docs.select("doc_id", "text"), quality_rules.trusted_ids(labels)).select("doc_id", "kept", "log_ratio").collect()}
+    judged = quality_rules.judge(rows, quality_rules.trusted_ids(labels))
+    assert set(rows.columns) <= set(judged.columns) and {tuple(r) for r in judged.select("doc_id", "kept", "log_ratio").collect()} == plain
+    path, pattern = byte_bpe.vocabulary()
+    coded = byte_bpe.encode(rows, path, pattern, chunk=64, overlap=24)
+    enc = byte_bpe._encoding(path, pattern)[0]
+    assert {(r["doc_id"], r["_bpe_h"], r["QR_words"], tuple(r["ids"])) for r in coded.collect()} == {
+        (r["doc_id"], "_bpe_h", "QR_words", tuple(enc.encode_ordinary(r["text"] or ""))) for r in docs.collect()}
+
+
 # -------------------------------------------------------------------- WARC
 PAGES = [(7, "http://a.org/x?y", "<p>same</p>"), (3, "http://a.org", "<p>same</p>"), (9, "https://b.org/", "other\r\n\r\nWARC/1.1\r\n\r\n"),
          (4, None, None), (2, "odd\r\nurl", ""), (11, "http://c.org", "é" * 3000), (12, "http://c.org", "<p>same</p>")]
