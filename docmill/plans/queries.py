@@ -18,6 +18,7 @@ from ..functions import urls as U
 from ..operators import content as C
 from ..operators import jobs as J
 from ..operators import library as L
+from ..operators import library_store as LS
 from ..operators.html_nodes import TEXT, with_nodes
 from ..sources import tables as S
 from . import oracle_sql as O
@@ -367,11 +368,31 @@ _STORED = ("(SELECT m.project_id, m.position, m.page_id, m.title, m.url, s.conte
            "USING (project_id, page_id))")
 
 
+# A library in which page ids repeat and texts are missing: pages of a site in
+# one language share an id, a page that was cut off has no text, one asked for
+# with a query has an empty one.
+_WEB = ("(SELECT replace(" + O.url_part("url", 3) + ", 'www.', '') AS project_id, page_id AS position, "
+        "substring(md5(split_part(url, '/', 4)), 1, 10) AS page_id, url AS title, url, "
+        "CASE WHEN html NOT LIKE '%</html>' THEN NULL WHEN contains(url, '?') THEN '' ELSE html END AS content FROM pages)")
+
+
+def _web_lib(spark, sf):
+    html = F.col("html")
+    return S.read(spark, sf, "pages").select(
+        U.project_name("url").alias("project_id"), F.col("page_id").alias("position"),
+        F.substring(F.md5(F.split_part("url", F.lit("/"), F.lit(4))), 1, 10).alias("page_id"), F.col("url").alias("title"), "url",
+        F.when(~html.endswith("</html>"), None).when(F.col("url").contains("?"), "").otherwise(html).alias("content"))
+
+
+_WEB_STORED = ("(SELECT m.project_id, m.position, m.page_id, s.content FROM {lib} m JOIN (SELECT project_id, page_id, "
+               "arg_max_null(content, position) AS content FROM {lib} GROUP BY ALL) s USING (project_id, page_id))").format(lib=_WEB)
+
+
 @register("lib_save_last_wins", f"""
-SELECT project_id, page_id, max(position) AS position, md5(arg_max(content, position)) AS content_md5
-FROM {_DOCS} GROUP BY project_id, page_id""")
+SELECT project_id, page_id, max(position) AS position, md5(arg_max_null(content, position)) AS content_md5
+FROM {_WEB} GROUP BY project_id, page_id""")
 def q_lib_save(spark, sf):
-    return L.save_last_wins(_docs_lib(spark, sf)).select(
+    return L.save_last_wins(_web_lib(spark, sf)).select(
         "project_id", "page_id", "position", F.md5("content").alias("content_md5"))
 
 
@@ -464,7 +485,7 @@ SELECT s.project_id, s.page_id, s.content FROM
 def q_lib_get_page(spark, sf):
     lib = _docs_lib(spark, sf)
     req = lib.groupBy("project_id").agg(F.min_by("page_id", "position").alias("page_id"))
-    return L.get_pages(lib, req).select("project_id", "page_id", "content")
+    return LS.get_pages(LS.save(lib), req).select("project_id", "page_id", "content")
 
 
 @register("lib_search", f"""
@@ -480,7 +501,9 @@ FROM {_STORED.format(lib=_DOCS)} s JOIN benchmark b ON contains(lower(s.content)
 WHERE s.content IS NOT NULL AND length(s.content) > 0""")
 def q_lib_search_many(spark, sf):
     terms = S.read(spark, sf, "benchmark").select("item_id", F.col("text").alias("term"))
-    return L.search_many(_docs_lib(spark, sf), terms).select("item_id", "project_id", "position")
+    store = LS.save(_docs_lib(spark, sf))
+    LS.index_grams(store)
+    return LS.search_many(store, terms).select("item_id", "project_id", "position")
 
 
 @register("lib_first_match", f"""
@@ -530,9 +553,22 @@ def q_lib_delete_answers(spark, sf):
 
 @register("lib_missing_pages", f"""
 SELECT project_id, position, page_id, CASE WHEN content IS NULL THEN 'missing' ELSE 'empty' END AS problem
-FROM {_STORED.format(lib=_CONV)} WHERE content IS NULL OR length(content) = 0""")
+FROM {_WEB_STORED} WHERE content IS NULL OR length(content) = 0""")
 def q_lib_missing(spark, sf):
-    return L.missing_pages(_conv_lib(spark, sf))
+    return L.missing_pages(_web_lib(spark, sf))
+
+
+@register("lib_store_entries", f"""
+SELECT project_id, position, page_id, md5(content) AS content_md5 FROM {_WEB_STORED}""")
+def q_lib_store_entries(spark, sf):
+    return LS.entries(LS.save(_web_lib(spark, sf))).select("project_id", "position", "page_id", F.md5("content").alias("content_md5"))
+
+
+@register("lib_store_missing", f"""
+SELECT project_id, position, page_id, CASE WHEN content IS NULL THEN 'missing' ELSE 'empty' END AS problem
+FROM {_WEB_STORED} WHERE content IS NULL OR length(content) = 0""")
+def q_lib_store_missing(spark, sf):
+    return LS.missing_pages(LS.save(_web_lib(spark, sf)))
 
 
 @register("lib_cards", f"""
