@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import EXPORT_SEPARATOR, first_hit, hit_count, slugify
 from ..functions.urls import url_authority
 from .scan import bounded_broadcast, running_count
+from .term_scan import scan
 
 # --- fixed values: texts of the library listing and the resource catalogue.
 # The library's own name is a parameter (LIBRARY_NAME); the rest of the
@@ -160,15 +161,14 @@ def stored_in_manifest(lib: DataFrame) -> DataFrame:
     """LIB-9: manifest entries with the stored text of their page id (the
     last write when an id repeats; every entry keeps its own row)."""
     d = _last_writes(lib)
-    j = lib.join(d, ["project_id", "page_id"], "left")
-    plain = j.filter(F.col("_win").isNull()).drop("_win")
-    rep = j.filter(F.col("_win").isNotNull())
-    winners = rep.filter(F.col("position") == F.col("_win")) \
-                 .select("project_id", "page_id", F.col("content").alias("_c"))
-    fixed = rep.drop("content").join(winners, ["project_id", "page_id"], "left") \
-               .withColumnRenamed("_c", "content").drop("_win")
     cols = ["project_id", "position", "page_id", "title", "url", "content"]
-    return plain.select(*cols).unionByName(fixed.select(*cols))
+    if d.isEmpty():  # no id repeats: every entry has its own text
+        return lib.select(*cols)
+    won = (lib.join(d, ["project_id", "page_id"]).filter(F.col("position") == F.col("_win"))
+              .select("project_id", "page_id", F.lit(True).alias("_again"), F.col("content").alias("_c")))
+    return (lib.join(won, ["project_id", "page_id"], "left")
+               .withColumn("content", F.when(F.col("_again"), F.col("_c")).otherwise(F.col("content")))
+               .select(*cols))
 
 
 # SNK-4 ---------------------------------------------------------------------
@@ -291,28 +291,30 @@ def search(lib: DataFrame, q: str, project_id: str | None = None) -> DataFrame:
 
 
 def search_many(lib: DataFrame, terms: DataFrame, term_col: str = "term",
-                max_broadcast_bytes: int = 8 << 20) -> DataFrame:
+                max_term_bytes: int = 8 << 20) -> DataFrame:
     """LIB-5: every (term, page) with a case-insensitive hit.
 
-    The term table is broadcast only when its measured size is under
-    ``max_broadcast_bytes``; above that it is cut into hash chunks of about
-    that size, each broadcast in turn, and the results unioned.
+    The distinct terms go to the tasks while their measured size is within
+    ``max_term_bytes`` (:mod:`term_scan`: one pass over the texts); beyond it
+    the library is saved with a gram index and searched there.
     """
-    t = terms.select(F.col(term_col).alias("term"), *[c for c in terms.columns if c != term_col]) \
-             .withColumn("_q", F.lower(F.col("term")))
+    t = terms.filter(F.col(term_col).isNotNull()) \
+             .select(F.col(term_col).alias("term"), *[c for c in terms.columns if c != term_col])
+    asked = t.select(F.lower("term").alias("_q")).distinct()
+    size = asked.agg(F.coalesce(F.sum(F.length("_q") + 64), F.lit(0))).first()[0]
+    if size > max_term_bytes:
+        from . import library_store as LS
+        store = LS.save(lib)
+        LS.index_grams(store)
+        return LS.search_many(store, t)
+    texts = [r[0] for r in asked.orderBy("_q").collect()]  # within max_term_bytes
     pages = stored_in_manifest(lib).filter(_nonempty(F.col("content"))) \
-        .select("project_id", "position", "page_id", F.lower(F.col("content")).alias("_lc"))
-    stats = t.agg(F.count(F.lit(1)).alias("n"),
-                  F.coalesce(F.sum(F.length("_q") + 64), F.lit(0)).alias("b")).first()
-    chunks = max(1, -(-int(stats["b"]) // max_broadcast_bytes))
-    outs = []
-    for i in range(chunks):
-        part = t if chunks == 1 else t.filter(F.pmod(F.xxhash64("_q"), F.lit(chunks)) == i)
-        outs.append(pages.join(F.broadcast(part), F.contains(F.col("_lc"), F.col("_q"))))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out.drop("_lc", "_q")
+        .select("project_id", "position", "page_id", F.lower("content").alias("_lc"))
+    numbered = lib.sparkSession.createDataFrame(list(enumerate(texts)), "_no int, _q string")
+    found = scan(pages, "_lc", texts, "_no")
+    return (found.join(F.broadcast(numbered), "_no")
+            .join(t.withColumn("_q", F.lower("term")), "_q")
+            .select(*t.columns, "project_id", "position", "page_id"))
 
 
 def first_match(lib: DataFrame, q: str) -> DataFrame:

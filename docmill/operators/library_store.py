@@ -52,7 +52,8 @@ class LibraryStore:
         return self.spark.table(f"{self.name}_{part}")
 
     def grams(self, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{part}")
+        value = "page_no" if part == "grams" else "pages"
+        return self.spark.read.schema(f"gram long, {value} long, shard int").parquet(f"{self.path}/{part}")
 
 
 def page_no(project_id: Column, page_id: Column) -> Column:

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 
 def _parts(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -188,12 +190,18 @@ def running_max(df: DataFrame, keys, order, values: dict, exclusive: bool = True
     return out.drop("_chunk", *[p + n for n in values for p in ("_v_", "_l_", "_c_")])
 
 
-# Largest table broadcast without a second look (rows); about 100 bytes a row.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest table broadcast, in bytes as written (Parquet); memory is a few times that.
+BROADCAST_MAX_BYTES = 16 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its measured row count is within ``max_rows``,
-    else ``df`` unchanged (a shuffle join, with AQE skew splitting). The
-    count is one pass over an already-narrow table."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``df`` written once to the shared folder and read back, with a broadcast
+    hint when its files are within ``max_bytes``; else without one (a shuffle
+    join, with AQE skew splitting)."""
+    spark = df.sparkSession
+    path = shared_path(spark, "bounded")
+    df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    out = spark.read.schema(df.schema).parquet(path)
+    return F.broadcast(out) if size <= max_bytes else out

@@ -495,11 +495,20 @@ def q_lib_search(spark, sf):
     return L.search(_docs_lib(spark, sf), SEARCH_TERM)
 
 
-@register("lib_search_many", f"""
+_SEARCH_MANY = f"""
 SELECT b.item_id, s.project_id, s.position
 FROM {_STORED.format(lib=_DOCS)} s JOIN benchmark b ON contains(lower(s.content), lower(b.text))
-WHERE s.content IS NOT NULL AND length(s.content) > 0""")
+WHERE s.content IS NOT NULL AND length(s.content) > 0"""
+
+
+@register("lib_search_many", _SEARCH_MANY)
 def q_lib_search_many(spark, sf):
+    terms = S.read(spark, sf, "benchmark").select("item_id", F.col("text").alias("term"))
+    return L.search_many(_docs_lib(spark, sf), terms).select("item_id", "project_id", "position")
+
+
+@register("lib_store_search", _SEARCH_MANY)
+def q_lib_store_search(spark, sf):
     terms = S.read(spark, sf, "benchmark").select("item_id", F.col("text").alias("term"))
     store = LS.save(_docs_lib(spark, sf))
     LS.index_grams(store)

@@ -99,7 +99,7 @@ def test_search_many_chunked_broadcast(spark):
     lib, _ = _base(spark)
     terms = spark.createDataFrame([("hello",), ("guide",), ("zzz",)], "term string")
     one = L.search_many(lib, terms).select("term", "page_id").collect()
-    many = L.search_many(lib, terms, max_broadcast_bytes=10).select("term", "page_id").collect()
+    many = L.search_many(lib, terms, max_term_bytes=10).select("term", "page_id").collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, many)) == [("guide", "bbb"), ("hello", "aaa")]
 
 

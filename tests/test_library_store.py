@@ -6,6 +6,7 @@ import pytest
 
 from docmill.operators import library as L
 from docmill.operators import library_store as LS
+from docmill.operators import term_scan
 
 LIB = "project_id string, position long, page_id string, title string, url string, content string"
 
@@ -74,16 +75,33 @@ def test_entries_move_no_text(store, lib):
 def test_gram_search_against_scan(spark, store, lib):
     terms = ["the", "THE ", "straße", "İSTANBUL", "i̇stan", "d", "ab", "z", "zz", "日本", "😀", "a_b%", "hot page 19", "", None, "not there", "the", "e t", "é x"]
     asked = spark.createDataFrame(list(enumerate(terms)), "n int, term string")
-    got = sorted((r["n"], r["project_id"], r["position"]) for r in LS.search_many(store, asked).collect())
-    want = sorted((r["n"], r["project_id"], r["position"]) for r in L.search_many(lib[0], asked).collect())
-    assert got == want and len({n for n, *_ in got}) >= 13
+    last = stored(lib[1])
+    lower = dict(spark.createDataFrame([(x,) for x in {*terms, *last.values()}], "t string").selectExpr("t", "lower(t)").collect())
+    want = sorted((n, p, i) for n, t in enumerate(terms) if t is not None for p, i, page, *_ in lib[1]
+                  if last[p, page] and lower[t] in lower[last[p, page]])
+    for found in (LS.search_many(store, asked), L.search_many(lib[0], asked), L.search_many(lib[0], asked, max_term_bytes=10)):
+        got = sorted((r["n"], r["project_id"], r["position"]) for r in found.collect())
+        assert got == want and len({n for n, *_ in got}) >= 13
     one = sorted(tuple(r) for r in LS.search(store, "The", "beta").collect())
     assert one == sorted(tuple(r) for r in L.search(lib[0], "The", "beta").collect())
 
 
-def test_search_has_no_nested_loop(spark, store):
-    plan = LS.search_many(store, spark.createDataFrame([(1, "theme")], "n int, term string"))._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+def test_search_has_no_nested_loop(spark, store, lib):
+    asked = spark.createDataFrame([(1, "theme")], "n int, term string")
+    for found in (LS.search_many(store, asked), L.search_many(lib[0], asked)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_term_scan_by_pieces(monkeypatch):
+    """Texts looked at one by one or together give the same hits."""
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("abc é") for _ in range(rnd.randint(0, 40))) for _ in range(200)]
+    terms = ["", "a", "é", "ab", "zz", "abc", "a b", "cab ", "".join("abcab")]
+    index = term_scan.TermIndex(terms)
+    want = sorted((i, k) for i, t in enumerate(texts) for k, x in enumerate(terms) if t and x in t)
+    assert sorted(index.hits(texts)) == want
+    assert sorted((i, k) for i, t in enumerate(texts) for _, k in index.hits([t])) == want
 
 
 def test_empty_library(spark):
