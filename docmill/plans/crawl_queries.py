@@ -263,14 +263,18 @@ SELECT user_id AS job_id, count(*) AS events, count(*) FILTER (WHERE event_type
             THEN arg_max({_PH_SQL}, (ts, event_id)) FILTER (WHERE {_PH_SQL} IS NOT NULL) ELSE 'error' END AS phase
 FROM events GROUP BY user_id""")
 def q_str_progress(spark, sf):
-    from ..streaming.progress import run_live_progress
-    return run_live_progress(spark, sf)
+    from ..streaming.progress import event_stream, run_live_progress
+    return run_live_progress(spark, event_stream(spark, sf))
 
 
-@register("str_phase")
+@register("str_phase", f"""
+SELECT job_id, last_phase, CASE WHEN last_phase IN ('complete', 'error') THEN last_phase ELSE 'error' END AS phase, scraped FROM (
+  SELECT user_id AS job_id, arg_max({_PH_SQL}, (ts, event_id)) FILTER (WHERE {_PH_SQL} IS NOT NULL) AS last_phase,
+         count(*) FILTER (WHERE event_type = 'view') AS scraped FROM events GROUP BY user_id)""")
 def q_str_phase(spark, sf):
-    from ..streaming.progress import run_phase_machine
-    return run_phase_machine(spark, sf)
+    """Several micro-batches, events up to an hour late; one final row a job."""
+    from ..streaming.progress import run_phase_machine, table_feed
+    return run_phase_machine(spark, table_feed(spark, sf))
 
 
 @register("str_convert")
@@ -283,8 +287,8 @@ def q_str_convert(spark, sf):
 @register("str_dedupe", f"""
 SELECT DISTINCT {SITE_SQL} AS project_id, {O.normalize('url')} AS url FROM pages""")
 def q_str_dedupe(spark, sf):
-    from ..streaming.progress import run_visited_dedupe
-    return run_visited_dedupe(spark, sf).select("project_id", "url")
+    from ..streaming.progress import run_visited_dedupe, visits_feed
+    return run_visited_dedupe(spark, visits_feed(spark, sf)).select("project_id", "url")
 
 
 @register("str_event_log", """
@@ -292,8 +296,8 @@ SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'star
        WHEN 'view' THEN 'page_scraped' WHEN 'click' THEN 'converting' WHEN 'purchase' THEN 'complete'
        WHEN 'error' THEN 'error' END AS event, props AS payload FROM events""")
 def q_str_event_log(spark, sf):
-    from ..streaming.progress import run_event_drain
-    return run_event_drain(spark, sf).select("job_id", "event_id", "ts", "event", "payload")
+    from ..streaming.progress import run_event_drain, table_feed
+    return run_event_drain(spark, table_feed(spark, sf)).select("job_id", "event_id", "ts", "event", "payload")
 
 
 # ------------------------------------------------------------ sitemaps
@@ -344,5 +348,5 @@ from .queries import _CANCEL_SQL  # noqa: E402
 
 @register("str_cancel_cut", _CANCEL_SQL)
 def q_str_cancel_cut(spark, sf):
-    from ..streaming.progress import run_cancel_cut
-    return run_cancel_cut(spark, sf)
+    from ..streaming.progress import run_cancel_cut, table_feed
+    return run_cancel_cut(spark, table_feed(spark, sf))

@@ -1,27 +1,34 @@
-"""Structured Streaming forms of the job and crawl operators (STR-1..5).
-
-Sources are ``readStream`` over the same parquet tables (a directory of
-event or page files). Sinks write to folders under the shared checkpoint
-folder (``session.shared_path``) with their own checkpoint locations, so a
-restarted query resumes where it stopped; nothing is collected to the
-driver. ``trigger(availableNow=True)`` drains what is there and stops,
-which is how the registered queries and tests run them.
+"""Structured Streaming forms of the job and crawl operators (STR-1..5, JOB-5).
+
+Sources are ``readStream`` over folders of event or page files. A run takes the
+*place* of its result: below it lie the table and the query's checkpoint, so a
+later run with the same place goes on where the last one stopped. Tables are
+written by epoch (``epoch_sink``): each micro-batch owns the folder
+``epoch=<n>`` and replaces it whole, so a batch that is replayed after a failure
+adds nothing, and no batch rewrites what others wrote. A table whose rows
+supersede each other (``latest``) is read by taking each key's row of the
+greatest epoch; ``compact`` folds old epochs into one.
+
+``trigger(availableNow=True)`` drains what is there and stops. A feed can be
+closed by an END row, far ahead in event time: it moves the watermark past
+all that came before, so timers fire and open join rows come out.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.urls import normalize_url, url_authority, url_scheme
 from ..operators import jobs as J
 from ..session import shared_path
-from ..sources.tables import EVENT_MAP
+from ..sources.tables import EVENT_MAP, read
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -32,6 +39,19 @@ PAGES_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
     T.StructField("html", T.StringType()),
 ])
+VISITS_SCHEMA = T.StructType([
+    T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
+    T.StructField("fetched_at", T.TimestampType()),
+])
+#: How far events of a feed may be out of order.
+LATENESS = "2 hours"
+#: A job is over when it has been quiet for so long ...
+IDLE = dt.timedelta(days=3)
+#: ... and forgotten, also by the cancel join, after so long.
+JOB_LIFETIME = dt.timedelta(days=31)
+#: The row that closes a feed.
+END, END_JOB = "end_of_input", -1
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str, schema: T.StructType,
@@ -42,114 +62,211 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str, schema: T.StructTy
     return r.parquet(sf_dir)
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` files as a live ``job_events`` stream."""
-    e = read_stream(spark, sf_dir, "events", EVENTS_SCHEMA)
-    m = F.create_map(*[x for k, v in EVENT_MAP.items() for x in (F.lit(k), F.lit(v))])
+def as_job_events(e: DataFrame) -> DataFrame:
+    """Event files as ``job_events``; END rows keep their name."""
+    m = F.create_map(*[x for k, v in {**EVENT_MAP, END: END}.items() for x in (F.lit(k), F.lit(v))])
     return e.select(F.col("user_id").alias("job_id"), "event_id", "ts",
                     m[F.col("event_type")].alias("event"), F.col("props").alias("payload"))
 
 
-def _drain(writer, name: str):
-    q = writer.trigger(availableNow=True).queryName(name).start()
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` files as a live ``job_events`` stream."""
+    return as_job_events(read_stream(spark, sf_dir, "events", EVENTS_SCHEMA))
+
+
+def feed_stream(spark: SparkSession, feed: str, files: int = 1) -> DataFrame:
+    """A folder of event files as a stream, so many files a micro-batch."""
+    return as_job_events(spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files).parquet(feed))
+
+
+def write_feed(events: DataFrame, feed: str, batches: int = 4, jitter_minutes: int = 60, close: bool = True) -> str:
+    """``events`` as files that arrive in ``batches`` parts: in the order of
+    time, but each event up to ``jitter_minutes`` late."""
+    late = F.pmod(F.xxhash64("event_id"), F.lit(max(1, jitter_minutes)))
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + late * 60_000_000
+    timed = events.select(*[f.name for f in EVENTS_SCHEMA], arrival.alias("_at"))
+    lo, hi = timed.agg(F.min("_at"), F.max("_at")).first()
+    if lo is None:
+        timed.drop("_at").write.mode("append").parquet(feed)
+        return feed
+    width = (hi - lo) // batches + 1
+    for k in range(batches):
+        timed.filter(F.floor((F.col("_at") - lo) / width) == k).drop("_at").write.mode("append").parquet(feed)
+    if close:
+        close_feed(events.sparkSession, feed, events.agg(F.max("ts")).first()[0])
+    return feed
+
+
+def close_feed(spark: SparkSession, feed: str, last: dt.datetime) -> None:
+    """Add the END row, later than all timers that events up to ``last`` set."""
+    end = (0, last + 2 * JOB_LIFETIME, END_JOB, END, None, None)
+    spark.createDataFrame([end], EVENTS_SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+
+
+def _place(spark: SparkSession, place: str | None, name: str) -> str:
+    return place or shared_path(spark, name)
+
+
+def _drain(writer, name: str, place: str):
+    q = writer.option("checkpointLocation", place + "/checkpoint").trigger(availableNow=True).queryName(name).start()
     q.awaitTermination()
     return q
 
 
+def epoch_sink(place: str):
+    """``foreachBatch`` writer: an epoch's rows are its folder, nothing else."""
+    def write(batch: DataFrame, epoch: int):
+        batch.write.mode("overwrite").parquet(f"{place}/table/epoch={epoch}")
+
+    return write
+
+
+def table(spark: SparkSession, place: str, schema: T.StructType) -> DataFrame:
+    """All epochs of a table, with their ``epoch``."""
+    return spark.read.schema(T.StructType([*schema, T.StructField("epoch", T.LongType())])).parquet(place + "/table")
+
+
+def latest(rows: DataFrame, *key: str) -> DataFrame:
+    """Each key's row of the greatest epoch."""
+    rest = [c for c in rows.columns if c not in (*key, "epoch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*key, "_r.*")
+
+
+def compact(spark: SparkSession, place: str, schema: T.StructType, *key: str) -> None:
+    """Fold all epochs into the newest one's folder. Run it between runs of the
+    query: the new folder is written aside and then takes the place of the old
+    ones, greatest epoch last, so a reader never misses a key."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    fs = path(place).getFileSystem(conf)
+    rows = table(spark, place, schema)
+    epochs = sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path(place + "/table")))
+    if len(epochs) < 2:
+        return
+    aside = f"{place}/compact-{epochs[-1]}"
+    latest(rows, *key).write.mode("overwrite").parquet(aside)
+    fs.delete(path(f"{place}/table/epoch={epochs[-1]}"), True)
+    fs.rename(path(aside), path(f"{place}/table/epoch={epochs[-1]}"))
+    for e in epochs[:-1]:
+        fs.delete(path(f"{place}/table/epoch={e}"), True)
+
+
 # STR-1 --------------------------------------------------------------------
+PROGRESS = T.StructType([
+    T.StructField("job_id", T.LongType()), T.StructField("events", T.LongType()), T.StructField("scraped", T.LongType()),
+    T.StructField("phase", T.StringType()),
+])
+
+
 def live_progress(events: DataFrame) -> DataFrame:
-    """Per job: events seen, pages scraped, last phase-setting event --
-    a streaming aggregation (state = one row per job)."""
+    """Per job: events seen, pages scraped, phase -- a streaming aggregation
+    (state = one row per job)."""
     ph = J._phase()
-    return events.groupBy("job_id").agg(
+    agg = events.filter(F.col("event") != END).groupBy("job_id").agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("event") == "page_scraped").alias("scraped"),
         F.max(F.when(ph.isNotNull(), F.struct("ts", "event_id", ph.alias("phase")))).alias("_l"))
+    p = F.coalesce(F.col("_l.phase"), F.lit("scraping"))
+    return agg.select("job_id", "events", "scraped", F.when(p.isin(*J.FINAL_PHASES), p).otherwise(F.lit("error")).alias("phase"))
 
 
-def run_live_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs STR-1 to completion; each micro-batch rewrites the current
-    per-job table (update mode rows merged by job in ``foreachBatch``)."""
-    out = shared_path(spark, "str_progress", "table")
-    ck = shared_path(spark, "str_progress", "ckpt")
-
-    def upsert(batch: DataFrame, epoch: int):
-        # complete-mode result of this epoch replaces the table
-        batch.write.mode("overwrite").parquet(out)
-
-    _drain(live_progress(event_stream(spark, sf_dir)).writeStream.outputMode("complete")
-           .option("checkpointLocation", ck).foreachBatch(upsert), "str_progress")
-    t = spark.read.parquet(out)
-    p = F.coalesce(F.col("_l.phase"), F.lit("scraping"))
-    return t.select("job_id", "events", "scraped",
-                    F.when(p.isin(*J.FINAL_PHASES), p).otherwise(F.lit("error")).alias("phase"))
+def run_live_progress(spark: SparkSession, events: DataFrame, place: str | None = None) -> DataFrame:
+    """Drains the stream in update mode: a micro-batch writes the jobs that it
+    changed; the current table is each job's latest row."""
+    place = _place(spark, place, "str_progress")
+    _drain(live_progress(events).writeStream.outputMode("update").foreachBatch(epoch_sink(place)), "str_progress", place)
+    return latest(table(spark, place, PROGRESS), "job_id")
 
 
 # STR-2 --------------------------------------------------------------------
-PHASE_STATE = T.StructType([
-    T.StructField("phase", T.StringType()), T.StructField("ts_us", T.LongType()),
-    T.StructField("event_id", T.LongType()), T.StructField("scraped", T.LongType()),
-])
-PHASE_OUT = T.StructType([
-    T.StructField("job_id", T.LongType()), T.StructField("phase", T.StringType()),
+PHASES = T.StructType([
+    T.StructField("job_id", T.LongType()), T.StructField("last_phase", T.StringType()), T.StructField("phase", T.StringType()),
     T.StructField("scraped", T.LongType()), T.StructField("ended", T.BooleanType()),
 ])
 
 
-def _phase_machine(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The client's reducer kept per job: phase-setting events move the
-    phase (latest by (ts, event_id) wins), page events count; when the
-    watermark passes the job's last event without complete/error, the
-    phase is error ("stream ended unexpectedly")."""
-    job_id = key[0]
-    if state.hasTimedOut:
-        phase, ts_us, eid, scraped = state.get
-        final = phase if phase in J.FINAL_PHASES else "error"
-        state.remove()
-        yield pd.DataFrame({"job_id": [job_id], "phase": [final], "scraped": [scraped],
-                            "ended": [True]})
-        return
-    if state.exists:
-        phase, ts_us, eid, scraped = state.get
-    else:
-        phase, ts_us, eid, scraped = "scraping", -1, -1, 0
-    last_seen = ts_us
-    for pdf in pdfs:
-        scraped += int((pdf["event"] == "page_scraped").sum())
-        us = pdf["ts"].astype("datetime64[us]").astype("int64")
-        last_seen = max(last_seen, int(us.max()))
-        ph = pdf["event"].map(J.PHASE_OF_EVENT)
-        cand = pdf.assign(_ph=ph, _us=us).dropna(subset=["_ph"]).sort_values(["_us", "event_id"])
-        if len(cand):
-            last = cand.iloc[-1]
-            if (int(last["_us"]), int(last["event_id"])) > (ts_us, eid):
-                phase, ts_us, eid = last["_ph"], int(last["_us"]), int(last["event_id"])
-    state.update((phase, ts_us, eid, scraped))
-    wm = state.getCurrentWatermarkMs()
-    state.setTimeoutTimestamp(max(last_seen // 1000, wm + 1))
-    yield pd.DataFrame({"job_id": [job_id], "phase": [phase], "scraped": [scraped], "ended": [False]})
-
-
-def phase_machine(events: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """STR-2: per-job phase state with an event-time timeout standing in
-    for "the stream ended" (``idle`` after the watermark passes the job)."""
-    return (events.withColumn("event_time", F.col("ts").cast("timestamp"))
-                  .withWatermark("event_time", idle)
-                  .groupBy("job_id")
-                  .applyInPandasWithState(_phase_machine, PHASE_OUT, PHASE_STATE, "append",
-                                          GroupStateTimeout.EventTimeTimeout))
-
-
-def run_phase_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shared_path(spark, "str_phase", "table")
-    ck = shared_path(spark, "str_phase", "ckpt")
-    _drain(phase_machine(event_stream(spark, sf_dir)).writeStream.outputMode("append")
-           .format("parquet").option("path", out).option("checkpointLocation", ck), "str_phase")
-    return spark.read.schema(PHASE_OUT).parquet(out)
+def _ms(t: dt.timedelta) -> int:
+    return int(t.total_seconds() * 1000)
+
+
+class PhaseMachine(StatefulProcessor):
+    """The client's reducer per job. State: the latest phase-setting event, the
+    pages counted, the time of the last event and of the timers. A job that
+    was quiet for ``idle`` is over: its phase is final, ``error`` if it never
+    came to one. Later events open it again; ``lifetime`` after its last
+    event it is forgotten."""
+
+    def __init__(self, idle: dt.timedelta, lifetime: dt.timedelta):
+        self.idle, self.lifetime = _ms(idle), _ms(lifetime)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.phase = handle.getValueState("phase", "phase string, ts_us long, event_id long")
+        self.seen = handle.getValueState("seen", "scraped long, last_ms long")
+
+    def _row(self, job_id, ended: bool) -> pd.DataFrame:
+        phase = self.phase.get()[0] if self.phase.exists() else None
+        shown = phase if phase in J.FINAL_PHASES else "error" if ended else phase or "scraping"
+        return pd.DataFrame({"job_id": [job_id], "last_phase": [phase], "phase": [shown], "scraped": [self.seen.get()[0]], "ended": [ended]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] == END_JOB:
+            return
+        latest = self.phase.get() if self.phase.exists() else None
+        scraped, before = self.seen.get() if self.seen.exists() else (0, None)
+        last = before
+        for pdf in rows:
+            us = pdf["event_time"].astype("datetime64[us]").astype("int64")
+            scraped += int((pdf["event"] == "page_scraped").sum())
+            last = max(int(us.max()) // 1000, last if last is not None else -1)
+            sets = pdf.assign(_p=pdf["event"].map(J.PHASE_OF_EVENT), _us=us).dropna(subset=["_p"])
+            for p, t, i in zip(sets["_p"], sets["_us"], sets["event_id"]):
+                if latest is None or (t, i) > tuple(latest[1:]):
+                    latest = (p, int(t), int(i))
+        if latest is not None:
+            self.phase.update(tuple(latest))
+        self.seen.update((scraped, last))
+        if last != before:
+            if before is not None:
+                for t in (self.idle, self.lifetime):
+                    self.handle.deleteTimer(before + t)
+            for t in (self.idle, self.lifetime):
+                self.handle.registerTimer(last + t)
+        yield self._row(key[0], False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if expiredTimerInfo.getExpiryTimeInMs() < self.seen.get()[1] + self.lifetime:
+            yield self._row(key[0], True)
+        else:
+            self.phase.clear()
+            self.seen.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def phase_machine(events: DataFrame, idle: dt.timedelta = IDLE, lifetime: dt.timedelta = JOB_LIFETIME) -> DataFrame:
+    """STR-2: rows of a job as its phase changes (``ended`` false) and when it is over."""
+    return (events.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", LATENESS)
+                  .select("job_id", "event_id", "event", "event_time").groupBy("job_id")
+                  .transformWithStateInPandas(PhaseMachine(idle, lifetime), PHASES, "Update", "EventTime"))
+
+
+def run_phase_machine(spark: SparkSession, events: DataFrame, place: str | None = None, **times) -> DataFrame:
+    """Final phase of each job that is over (latest ended row)."""
+    place = _place(spark, place, "str_phase")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        _drain(phase_machine(events, **times).writeStream.outputMode("update").foreachBatch(epoch_sink(place)), "str_phase", place)
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return latest(table(spark, place, PHASES).filter("ended"), "job_id").drop("ended")
 
 
 # STR-3 --------------------------------------------------------------------
-def run_incremental_convert(spark: SparkSession, sf_dir: str, scraped_on: str) -> DataFrame:
+def run_incremental_convert(spark: SparkSession, sf_dir: str, scraped_on: str, place: str | None = None) -> DataFrame:
     """Pages are parsed, selected and rendered as they arrive; stateless,
     written as parquet partitioned by site."""
     from ..operators.content import analyze_pages
@@ -161,96 +278,113 @@ def run_incremental_convert(spark: SparkSession, sf_dir: str, scraped_on: str) -
         .withColumn("project_id", F.concat(url_scheme(F.col("url")), F.lit("://"),
                                            url_authority(F.col("url"))))
     conv = convert_pages(a, scraped_on, keep=["project_id", "page_id", "url", "title"])
-    out = shared_path(spark, "str_convert", "table")
-    ck = shared_path(spark, "str_convert", "ckpt")
-    _drain(conv.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-               .partitionBy("project_id"), "str_convert")
-    return spark.read.parquet(out)
+    place = _place(spark, place, "str_convert")
+    _drain(conv.writeStream.format("parquet").option("path", place + "/table").partitionBy("project_id"), "str_convert", place)
+    return spark.read.parquet(place + "/table")
 
 
 # STR-4 --------------------------------------------------------------------
-def run_visited_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First arrival of each (site, normalized URL) wins; exact dedupe with
-    state keyed by URL."""
-    pages = read_stream(spark, sf_dir, "pages", PAGES_SCHEMA)
+VISITED = T.StructType([
+    T.StructField("project_id", T.StringType()), T.StructField("url", T.StringType()), T.StructField("page_id", T.LongType()),
+])
+
+
+def visit_stream(spark: SparkSession, feed: str, files: int = 1) -> DataFrame:
+    """A folder of visit files (``VISITS_SCHEMA``) as a stream."""
+    return spark.readStream.schema(VISITS_SCHEMA).option("maxFilesPerTrigger", files).parquet(feed)
+
+
+def write_visits(pages: DataFrame, feed: str, batches: int = 4) -> str:
+    """``pages`` as visits that arrive in parts, an hour between parts. A page
+    is visited twice: in its part and again two parts later."""
+    start = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp")
+    part = F.pmod(F.xxhash64("page_id"), F.lit(batches)).cast("int")
+    for k in range(batches):
+        own = pages.filter((part == k) | (F.pmod(part + 2, F.lit(batches)) == k))
+        own.select("page_id", "url", (start + F.make_interval(hours=F.lit(k))).alias("fetched_at")).coalesce(1).write.mode("append").parquet(feed)
+    return feed
+
+
+def run_visited_dedupe(spark: SparkSession, visits: DataFrame, place: str | None = None, within: str = "30 minutes") -> DataFrame:
+    """First arrival of each (site, normalized URL) wins. The stream's state
+    holds the URLs of the last ``within`` only; what is older is met in the
+    stored table by an anti join. An epoch reads the epochs before it, so its
+    replay gives the same rows."""
+    place = _place(spark, place, "str_dedupe")
     u = normalize_url(F.col("url"))
-    v = pages.select(F.concat(url_scheme(F.col("url")), F.lit("://"), url_authority(F.col("url")))
-                     .alias("project_id"), u.alias("url"), "page_id") \
-             .dropDuplicates(["project_id", "url"])
-    out = shared_path(spark, "str_dedupe", "table")
-    ck = shared_path(spark, "str_dedupe", "ckpt")
-    _drain(v.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck),
-           "str_dedupe")
-    return spark.read.parquet(out)
+    recent = (visits.withWatermark("fetched_at", within)
+              .select(F.concat(url_scheme(F.col("url")), F.lit("://"), url_authority(F.col("url"))).alias("project_id"), u.alias("url"), "page_id", "fetched_at")
+              .dropDuplicatesWithinWatermark(["project_id", "url"]))
+    sink = epoch_sink(place)
+
+    def write(batch: DataFrame, epoch: int):
+        batch = batch.drop("fetched_at")
+        if epoch > 0:
+            known = table(batch.sparkSession, place, VISITED).filter(F.col("epoch") < epoch)
+            batch = batch.join(known, ["project_id", "url"], "left_anti")
+        sink(batch, epoch)
+
+    run_visited_dedupe.last = _drain(recent.writeStream.foreachBatch(write), "str_dedupe", place)
+    return table(spark, place, VISITED).drop("epoch")
 
 
 # STR-5 --------------------------------------------------------------------
-def run_event_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events appended to the ``job_events`` table per micro-batch; order
-    lives in the (ts, event_id) columns, never in arrival."""
-    out = shared_path(spark, "str_event_log", "table")
-    ck = shared_path(spark, "str_event_log", "ckpt")
+EVENT_LOG = T.StructType([
+    T.StructField("job_id", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("event", T.StringType()), T.StructField("payload", T.StringType()),
+])
 
-    def append(batch: DataFrame, epoch: int):
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
 
-    _drain(event_stream(spark, sf_dir).writeStream.option("checkpointLocation", ck)
-           .foreachBatch(append), "str_event_log")
-    return spark.read.parquet(out)
+def run_event_drain(spark: SparkSession, events: DataFrame, place: str | None = None) -> DataFrame:
+    """Events written to the ``job_events`` table, an epoch a micro-batch; order
+    lives in the (ts, event_id) columns, never in arrival."""
+    place = _place(spark, place, "str_event_log")
+    _drain(events.filter(F.col("event") != END).writeStream.foreachBatch(epoch_sink(place)), "str_event_log", place)
+    return table(spark, place, EVENT_LOG)
 
 
 # JOB-5 live ------------------------------------------------------------------
-CUT_STATE = T.StructType([
-    T.StructField("cancel_us", T.LongType()), T.StructField("cancel_id", T.LongType()),
-])
-CUT_OUT = T.StructType([
-    T.StructField("job_id", T.LongType()), T.StructField("kept_events", T.LongType()),
-    T.StructField("kept_pages", T.LongType()), T.StructField("cancelled", T.BooleanType()),
+CUT = T.StructType([
+    T.StructField("job_id", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("event", T.StringType()),
+    T.StructField("cut", T.BooleanType()),
 ])
 
 
-def _cancel_cut(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per job: remember the first cancel (by (ts, event_id)); count the
-    events strictly before it. Emits one delta row per job and batch."""
-    job_id = key[0]
-    c_us, c_id = state.get if state.exists else (None, None)
-    frames = [p for p in pdfs]
-    pdf = pd.concat(frames) if frames else pd.DataFrame(columns=["event", "ts", "event_id"])
-    us = pdf["ts"].astype("datetime64[us]").astype("int64") if len(pdf) else pd.Series([], dtype="int64")
-    pdf = pdf.assign(_us=us)
-    errs = pdf[pdf["event"] == "error"]
-    if len(errs):
-        first = errs.sort_values(["_us", "event_id"]).iloc[0]
-        cand = (int(first["_us"]), int(first["event_id"]))
-        if c_us is None or cand < (c_us, c_id):
-            c_us, c_id = cand
-    if c_us is not None:
-        state.update((c_us, c_id))
-        before = (pdf["_us"] < c_us) | ((pdf["_us"] == c_us) & (pdf["event_id"] < c_id))
-        kept = pdf[before]
-    else:
-        kept = pdf
-    yield pd.DataFrame({"job_id": [job_id], "kept_events": [len(kept)],
-                        "kept_pages": [int((kept["event"] == "page_scraped").sum())],
-                        "cancelled": [c_us is not None]})
-
-
-def run_cancel_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOB-5 live: cancels are the job's error events; state per job holds
-    the first cancel. Result = per-job sums of the emitted deltas. (Events
-    that arrive in a batch before their job's cancel is known are counted
-    then; with a single drain they are cut exactly as in batch.)"""
-    ev = event_stream(spark, sf_dir)
-    out = shared_path(spark, "str_cancel", "table")
-    ck = shared_path(spark, "str_cancel", "ckpt")
-    q = (ev.groupBy("job_id")
-           .applyInPandasWithState(_cancel_cut, CUT_OUT, CUT_STATE, "append", GroupStateTimeout.NoTimeout))
-    _drain(q.writeStream.outputMode("append").format("parquet").option("path", out)
-            .option("checkpointLocation", ck), "str_cancel")
-    t = spark.read.schema(CUT_OUT).parquet(out)
-    agg = t.groupBy("job_id").agg(F.sum("kept_events").alias("kept_events"),
-                                  F.sum("kept_pages").alias("kept_pages"),
-                                  F.max("cancelled").alias("cancelled"))
+def cancel_join(events: DataFrame, cancels: DataFrame, lifetime: dt.timedelta = JOB_LIFETIME) -> DataFrame:
+    """Each event with ``cut``: whether a cancel of its job lies at or before
+    it, in the order of (ts, event_id). An outer join of two streams: an event
+    waits until the watermark has passed it, a cancel is kept for
+    ``lifetime``. An event behind several cancels comes out several times."""
+    e = events.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", LATENESS).alias("e")
+    c = (cancels.select(F.col("job_id").alias("c_job"), F.col("event_id").alias("c_id"), F.col("ts").cast("timestamp").alias("c_time"))
+         .withWatermark("c_time", LATENESS).alias("c"))
+    on = ((F.col("job_id") == F.col("c_job")) & (F.col("c_time") <= F.col("event_time"))
+          & (F.col("c_time") >= F.col("event_time") - F.make_dt_interval(secs=F.lit(lifetime.total_seconds())))
+          & ((F.col("c_time") < F.col("event_time")) | (F.col("c_id") <= F.col("event_id"))))
+    return e.join(c, on, "left_outer").select("job_id", "event_id", "event", F.col("c_id").isNotNull().alias("cut"))
+
+
+def run_cancel_cut(spark: SparkSession, events: DataFrame, place: str | None = None) -> DataFrame:
+    """JOB-5 live: cancels are the job's error events. Per job: events and pages
+    before the first cancel, and the outcome. A cancel that arrives before or
+    after the events that it cuts, within ``LATENESS``, cuts them alike."""
+    place = _place(spark, place, "str_cancel")
+    cancels = events.filter(F.col("event").isin("error", END))
+    _drain(cancel_join(events, cancels).writeStream.outputMode("append").foreachBatch(epoch_sink(place)), "str_cancel", place)
+    rows = table(spark, place, CUT).filter(F.col("job_id") != END_JOB)
+    each = rows.groupBy("job_id", "event_id").agg(F.max("cut").alias("cut"), F.max("event").alias("event"))
+    agg = each.groupBy("job_id").agg(F.count_if(~F.col("cut")).alias("kept_events"),
+                                     F.count_if(~F.col("cut") & (F.col("event") == "page_scraped")).alias("kept_pages"),
+                                     F.max("cut").alias("cancelled"))
     return agg.select("job_id", "kept_events", "kept_pages", "cancelled",
-                      F.when(F.col("kept_pages") > 0, F.lit("complete")).otherwise(F.lit("error"))
-                       .alias("outcome"))
+                      F.when(F.col("kept_pages") > 0, F.lit("complete")).otherwise(F.lit("error")).alias("outcome"))
+
+
+# the registered queries' feeds --------------------------------------------------
+def table_feed(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
+    """The ``events`` table as a closed feed of several micro-batches."""
+    return feed_stream(spark, write_feed(read(spark, sf_dir, "events"), shared_path(spark, "event-feed"), batches))
+
+
+def visits_feed(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
+    return visit_stream(spark, write_visits(read(spark, sf_dir, "pages"), shared_path(spark, "visit-feed"), batches))

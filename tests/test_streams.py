@@ -1,28 +1,115 @@
-"""Streams drained with availableNow equal the batch results."""
+"""Streams of several micro-batches equal the batch results; what a run left is
+taken up by the next; a replayed epoch adds nothing."""
+import datetime as dt
+
+import pytest
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 
 from docmill.operators import jobs as J
 from docmill.sources.tables import job_events
 from docmill.streaming import progress as P
 
+T0 = dt.datetime(2024, 5, 1, 12)
+TYPES = {"started": "signup", "page_scraped": "view", "converting": "click", "complete": "purchase", "error": "error"}
+
+
+def events(spark, rows):
+    """(job, id, minutes, event) rows as an event table."""
+    return spark.createDataFrame([(i, T0 + dt.timedelta(minutes=m), job, TYPES[e], 0.0, "{}") for job, i, m, e in rows], P.EVENTS_SCHEMA)
+
+
+def add(spark, feed, rows):
+    events(spark, rows).coalesce(1).write.mode("append").parquet(feed)
+
+
+def test_feed_has_several_batches_and_all_events(spark, tmp_path):
+    feed = P.write_feed(spark.read.parquet(SF_SMALL + "/events.parquet"), str(tmp_path / "feed"), 4)
+    place = str(tmp_path / "log")
+    log = P.run_event_drain(spark, P.feed_stream(spark, feed), place)
+    assert log.select("epoch").distinct().count() >= 4
+    batch = job_events(spark, SF_SMALL)
+    assert sorted(log.select("job_id", "event_id", "event").collect()) == sorted(batch.select("job_id", "event_id", "event").collect())
 
-def test_progress_stream_equals_batch(spark):
-    s = {r.job_id: (r.scraped, r.phase) for r in P.run_live_progress(spark, SF_SMALL).collect()}
+
+def test_progress_by_epochs_equals_batch(spark, tmp_path):
+    feed = P.write_feed(spark.read.parquet(SF_SMALL + "/events.parquet"), str(tmp_path / "feed"), 4)
+    place = str(tmp_path / "progress")
+    s = {r.job_id: (r.scraped, r.phase) for r in P.run_live_progress(spark, P.feed_stream(spark, feed), place).collect()}
     ev = job_events(spark, SF_SMALL)
     b_ph = {r.job_id: r.phase for r in J.latest_phase(ev).collect()}
     b_sc = {r.job_id: r.scraped for r in J.outcome(ev).collect()}
     assert s == {k: (b_sc[k], b_ph[k]) for k in b_ph}
+    rows = P.table(spark, place, P.PROGRESS)
+    assert rows.select("epoch").distinct().count() >= 4
+    P.compact(spark, place, P.PROGRESS, "job_id")
+    after = P.table(spark, place, P.PROGRESS)
+    assert after.count() == len(s) and {r.job_id: (r.scraped, r.phase) for r in after.collect()} == s
+
+
+def test_replayed_epoch_adds_no_row(spark, tmp_path):
+    place, sink = str(tmp_path), P.epoch_sink(str(tmp_path))
+    df = spark.createDataFrame([(1, 2, 3, "error")], P.PROGRESS)
+    sink(df, 0)
+    sink(df, 1)
+    sink(df, 1)
+    assert sorted(r.epoch for r in P.table(spark, place, P.PROGRESS).collect()) == [0, 1]
+
+
+def test_a_later_run_goes_on(spark, tmp_path):
+    feed, place = str(tmp_path / "feed"), str(tmp_path / "log")
+    add(spark, feed, [(1, 1, 0, "started"), (1, 2, 1, "page_scraped")])
+    assert P.run_event_drain(spark, P.feed_stream(spark, feed), place).count() == 2
+    add(spark, feed, [(1, 3, 2, "complete")])
+    assert P.run_event_drain(spark, P.feed_stream(spark, feed), place).count() == 3
+    assert P.run_event_drain(spark, P.feed_stream(spark, feed), place).count() == 3
+
+
+def test_phase_machine_ends_every_job(spark, tmp_path):
+    """Events out of order and in several batches; a job quiet for long ends and
+    opens again; the last word is the batch's."""
+    feed, place = str(tmp_path / "feed"), str(tmp_path / "phase")
+    rows = [(1, 1, 0, "started"), (1, 2, 30, "page_scraped"), (2, 3, 31, "started"), (3, 4, 32, "page_scraped")]
+    later = [(1, 6, 40, "complete"), (1, 5, 35, "converting"), (2, 7, 20, "complete"), (4, 8, 45, "started")]
+    much_later = [(1, 9, 9000, "page_scraped"), (4, 10, 9001, "error"), (2, 11, 9002, "page_scraped")]
+    kw = {"idle": dt.timedelta(hours=12), "lifetime": dt.timedelta(days=20)}
+    add(spark, feed, rows)
+    P.run_phase_machine(spark, P.feed_stream(spark, feed), place, **kw)
+    add(spark, feed, later)
+    add(spark, feed, [(5, 12, 3000, "error")])  # time goes on without job 1
+    over = P.run_phase_machine(spark, P.feed_stream(spark, feed), place, **kw)
+    assert {r.job_id: r.phase for r in over.collect()} == {1: "complete", 2: "error", 3: "error", 4: "error"}
+    add(spark, feed, much_later)
+    P.close_feed(spark, feed, T0 + dt.timedelta(minutes=9002))
+    got = {r.job_id: (r.last_phase, r.phase, r.scraped) for r in P.run_phase_machine(spark, P.feed_stream(spark, feed), place, **kw).collect()}
+    assert got == {1: ("complete", "complete", 2), 2: ("scraping", "error", 1), 3: (None, "error", 1), 4: ("error", "error", 0), 5: ("error", "error", 0)}
+    all_rows = P.table(spark, place, P.PHASES)
+    assert all_rows.select("epoch").distinct().count() >= 3
+    # job 1 was over once before it opened again
+    assert all_rows.filter("ended and job_id = 1").count() == 2
 
 
-def test_dedupe_and_drain(spark):
-    d = P.run_visited_dedupe(spark, SF_SMALL)
-    assert d.count() == d.select("project_id", "url").distinct().count()
-    e = P.run_event_drain(spark, SF_SMALL)
-    assert e.count() == spark.read.parquet(SF_SMALL + "/events.parquet").count()
+@pytest.mark.parametrize("cancel_first", [True, False])
+def test_cancel_cut_in_either_order(spark, tmp_path, cancel_first):
+    feed, place = str(tmp_path / "feed"), str(tmp_path / "cut")
+    cancel = [(1, 50, 30, "error"), (2, 51, 5, "error")]
+    rest = [(1, 1, 0, "started"), (1, 2, 10, "page_scraped"), (1, 3, 30, "page_scraped"), (1, 60, 30, "page_scraped"), (1, 4, 40, "page_scraped"),
+            (2, 5, 6, "page_scraped"), (3, 6, 7, "page_scraped")]
+    for part in ([cancel, rest] if cancel_first else [rest, cancel]):
+        add(spark, feed, part)
+    add(spark, feed, [(1, 70, 80, "error"), (1, 71, 81, "page_scraped")])
+    P.close_feed(spark, feed, T0 + dt.timedelta(minutes=81))
+    got = sorted(tuple(r) for r in P.run_cancel_cut(spark, P.feed_stream(spark, feed), place).collect())
+    assert got == [(1, 3, 2, True, "complete"), (2, 0, 0, True, "error"), (3, 1, 1, False, "complete")]
+    assert P.table(spark, place, P.CUT).select("epoch").distinct().count() >= 2
 
 
-def test_phase_machine_agrees_with_batch_for_ended_jobs(spark):
-    s = P.run_phase_machine(spark, SF_SMALL).filter("ended")
-    b = {r.job_id: r.phase for r in J.latest_phase(job_events(spark, SF_SMALL)).collect()}
-    rows = s.collect()
-    assert rows and all(b[r.job_id] == r.phase for r in rows)
+def test_dedupe_keeps_recent_urls_only(spark, tmp_path):
+    """Every URL once, though it comes again hours later; the state holds the
+    last half hour."""
+    pages = spark.range(120).select(F.col("id").alias("page_id"), F.concat(F.lit("https://a.org/p"), F.pmod("id", F.lit(80))).alias("url"))
+    feed = P.write_visits(pages, str(tmp_path / "feed"), 6)
+    got = P.run_visited_dedupe(spark, P.visit_stream(spark, feed), str(tmp_path / "visited"))
+    assert got.count() == got.select("project_id", "url").distinct().count() == 80
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in P.run_visited_dedupe.last.recentProgress if p["stateOperators"]]
+    assert len(states) >= 6 and states[-1] <= 45  # 40 visits a part at the most, of 240 in all
