@@ -418,8 +418,8 @@ def q_lib_export_single(spark, sf):
 _NN = "CASE WHEN length(CAST(i AS VARCHAR)) < 2 THEN lpad(CAST(i AS VARCHAR), 2, '0') ELSE CAST(i AS VARCHAR) END"
 
 
-@register("lib_export_multi_names", f"""
-SELECT project_id, position, page_id,
+_ENTRY_SQL = f"""
+SELECT project_id, position, page_id, content,
        {O.slugify('project_id')} || '/' || {_NN} || '-' || slug ||
        CASE WHEN k > 1 THEN '-' || CAST(k AS VARCHAR) ELSE '' END || '.md' AS entry
 FROM (
@@ -428,12 +428,34 @@ FROM (
     SELECT *, {O.slugify('title')} AS slug FROM (
       SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY position, page_id) AS i
       FROM {_STORED.format(lib=_CONV)})
-    WHERE content IS NOT NULL AND length(content) > 0))""")
+    WHERE content IS NOT NULL AND length(content) > 0))"""
+
+
+@register("lib_export_multi_names", f"SELECT project_id, position, page_id, entry FROM ({_ENTRY_SQL})")
 def q_lib_export_multi(spark, sf):
     lib = _conv_lib(spark, sf)
     return L.export_multi_names(lib, S.projects_of(lib)).select("project_id", "position", "page_id", "entry")
 
 
+@register("lib_export_entries", f"SELECT entry, md5(content) AS content_md5 FROM ({_ENTRY_SQL})")
+def q_lib_export_entries(spark, sf):
+    """Every entry is written as a file and read back."""
+    from ..operators import entry_files as EF
+    from ..session import shared_path
+    lib, path = _conv_lib(spark, sf), shared_path(spark, "entries")
+    EF.write_entries(L.export_multi_names(lib, S.projects_of(lib)), path)
+    return EF.read_entries(spark, path).select("entry", F.md5("content").alias("content_md5"))
+
+
+@register("lib_payload_names", f"""
+SELECT project_id, CASE WHEN length(d) > 0 THEN d ELSE 'docs' END || '_' || project_id || '.json' AS file_name
+FROM (SELECT project_id, replace({O.url_part('url', 3)}, ':', '_') AS d FROM
+      (SELECT {SQL_ROOT} AS project_id, min(url) AS url FROM pages GROUP BY 1))""")
+def q_lib_payload_names(spark, sf):
+    sites = _pages(spark, sf).groupBy(_site_root(F.col("url")).alias("project_id")).agg(F.min("url").alias("url"))
+    return L.payload_file_name(sites)
+
+
 @register("lib_export_payload", f"""
 SELECT project_id, position,
        CAST(json_object('type', 'text', 'text', 'File: ' || page_id || '.md' || chr(10) || 'Source: ' || url
