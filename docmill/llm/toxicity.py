@@ -10,14 +10,17 @@ that share with the landmark a subsequence of at least ``SCREEN`` of its
 length (a bit-parallel longest-common-subsequence test); others count as 0, in
 training as in scoring.
 
+Words of fewer letters than ``ORDER`` have marks put before them and are like
+equal words only.
+
 Training: sentences inherit the label of their document, so most sentences of
-a toxic document are harmless. Which of its units are the reason is learned in
+a toxic document are harmless. A unit is counted once for a document, in
+whichever of its sentences it stands; no value of a sentence is computed. Which of its units are the reason is learned in
 rounds: the units that explain the toxic documents (a greedy cover) start as
 positive, all others as negative; after each fit the units that the SVM finds
-positive, and that are rare in clean sentences, become positive. A sentence's
-value is that of its worst unit, a document's the mean of its two worst units
-(the worst alone where it has one) mixed with its worst, and a logistic
-fit on training documents turns that into a score.
+positive, and that are rare in clean documents, become positive. A document's
+value is the mean of its two worst units (the worst alone where it has one) mixed
+with its worst, and a logistic fit on training documents turns that into a score.
 
 After a fit, the harmless units of the training documents that come nearest
 to the toxic ones are added and the fit is repeated (``MINING`` times).
@@ -81,9 +84,10 @@ def windows(word: str) -> list[str]:
     forms = [w] if w.isalpha() else [w, "".join(filter(str.isalpha, w))]
     got = []
     for w in forms:
-        if len(w) < ORDER:
+        if not w:
             continue
-        w = START + w
+        # a word shorter than a subsequence begins with several marks: it equals itself only
+        w = START * max(1, ORDER - len(w)) + w
         got += [w] if len(w) <= LENGTH else [w[i:i + LENGTH] for i in range(0, len(w) - LENGTH // 2, LENGTH // 2)]
     return got
 

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from docmill.llm import quality_model, toxicity
+from docmill.llm import quality_model, quality_rules, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,6 +51,14 @@ def test_toxicity_held_out(insults):
     assert not any(rows[i]["predicted"] for i in (1002, 1003, None, 1004))
 
 
+def test_toxicity_short_words(spark):
+    """Insults shorter than the kernel's subsequences."""
+    for bad in ("ass", "zz", "q"):
+        docs = spark.createDataFrame([(i, f"you {bad}" if i % 2 else "a kind day for you") for i in range(200)], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+        assert all(r["predicted"] == r["doc_id"] % 2 for r in toxicity.digests(docs, labels).collect())
+
+
 def test_toxicity_without_labels(spark, insults, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.digests(insults[0], none).collect()} == {0.5}
@@ -70,6 +78,77 @@ def test_quality_odd_rows(spark, docs, no_docs):
     assert quality_model.digests(no_docs, labels).collect() == []
 
 
+def spark_hash(value, seed=42):
+    """What Spark's xxhash64 makes of a string or a long, signed."""
+    import struct
+
+    import xxhash
+
+    h = xxhash.xxh64(value.encode() if isinstance(value, str) else struct.pack("<q", value), seed=seed & (2**64 - 1)).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def buckets(text):
+    """Buckets of the ends of words and of the pairs they make."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+    ends = [spark_hash(x[-3:]) for x in w]
+    pairs = [spark_hash(b, spark_hash(a)) for a, b in zip(ends, ends[1:])] + ([spark_hash(ends[-1])] if ends else [])
+    return [x % quality_rules.BUCKETS for x in ends + pairs]
+
+
+def ratio_table(texts, good):
+    raw, target = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
+    for i, t in texts:
+        b = buckets(t)
+        np.add.at(raw, b, 1)
+        if i in good:
+            np.add.at(target, b, 1)
+    s = quality_rules.SMOOTH
+    return np.where(raw > 0, np.log((target + s) / (raw * target.sum() / raw.sum() + s)), 0)
+
+
+def log_ratio(text, value):
+    b = buckets(text)
+    return value[b].mean() if b else -np.inf
+
+
+def test_quality_ratio_recomputed(spark, docs, texts):
+    """Counts and logarithms anew, by a plain loop."""
+    good = {i for i, _ in texts if i % 3 == 0}
+    labels = spark.createDataFrame([(i, int(i in good)) for i, _ in texts], "doc_id long, quality int")
+    value = ratio_table(texts, good)
+    got = {r["doc_id"]: r["log_ratio"] for r in quality_rules.judge(docs, quality_rules.trusted_ids(labels)).select("doc_id", "log_ratio").collect()}
+    for i, t in texts:
+        want = log_ratio(t, value)
+        assert got[i] is None if want == -np.inf else got[i] == pytest.approx(want, abs=1e-6)
+
+
+def five_grams(text):
+    w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+
+def test_pipeline_shared_and_missing_ids(spark):
+    """Stages judge rows: a copy goes though it has no id, a unique text stays
+    though its id is shared."""
+    import corpus_pipeline as C
+
+    words = lambda c, n=60: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, words("a")), (1, words("b")), (2, words("a")), (None, words("c")), (None, words("c") + " more"), (3, words("c")), (4, words("d")), (4, words("d"))]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _own string")
+    kept = dict(C.STAGES)["n-gram Jaccard join"](spark, docs, "")
+    assert kept.columns == docs.columns and {r["_own"] for r in kept.collect()} == {"x"}
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"][0]) for r in kept.collect())
+    assert got == [(False, 0, "c"), (True, 1, "a"), (True, 1, "b"), (True, 4, "d")]
+    found = spark.createDataFrame([(1, words("b", 12)), (2, words("c", 12))], "item_id long, text string")
+    spark_read, C.read = C.read, lambda *_: found
+    try:
+        clean = dict(C.STAGES)["benchmark decontamination"](spark, docs, "")
+        assert sorted((r["doc_id"], r["text"][0]) for r in clean.collect()) == [(1, "a"), (2, "a"), (4, "d"), (4, "d")]
+    finally:
+        C.read = spark_read
+
+
 def test_pipeline_stages(spark):
     """Each stage against brute force on what the stage before kept."""
     import corpus_pipeline as C
@@ -85,7 +164,8 @@ def test_pipeline_stages(spark):
     failed = {i for i, t in texts(docs) if base_rules(t)[-1]}
     kept = {i for i, _ in texts(one)}
     good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}
-    assert not kept & failed and good - failed <= kept
+    value = ratio_table(texts(docs), good)
+    assert kept == {i for i, t in texts(docs) if i not in failed and log_ratio(t, value) >= quality_rules.MIN_RATIO}
     two = lines(spark, one, sf).cache()
     want = line_rules(texts(one))
     assert {i: sha(t) for i, t in texts(two)} == {i: w[2] for i, w in want.items() if w[2] != sha("")}
@@ -93,9 +173,10 @@ def test_pipeline_stages(spark):
     lower = [(i, re.sub("[A-Z]", lambda m: m[0].lower(), t)) for i, t in texts(two)]
     assert {i for i, _ in texts(three)} == {i for i, (_, c) in linked(lower, 5, 80).items() if i == c}
     four = bench(spark, three, sf).cache()
-    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    clean = {i for i, t in texts(three) if not any(x in t for x in items)}
-    assert {i for i, _ in texts(four)} <= clean
+    items = [five_grams(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    own = {i: five_grams(t) for i, t in texts(three)}
+    clean = {i for i, g in own.items() if not any(q and 100 * len(q & g) >= 80 * len(q) for q in items)}
+    assert {i for i, _ in texts(four)} == clean
     five = tokens(spark, four, sf).collect()
     assert len(five) == four.count() and all(r["exact"] for r in five)
 
