@@ -4,6 +4,8 @@ Every stage calls one operator of ``docmill.llm``; its result is written as
 Parquet to the shared folder and read again as the next stage's ``docs``. All but the
 last return the columns of ``documents``. Null and empty texts fail the
 quality rules, so an empty table passes through all stages as an empty table.
+Rows are judged one by one: those that share a doc_id or have none are documents of
+their own (of linked ones without an id, the one with the smallest digest stays).
 """
 
 from __future__ import annotations
@@ -29,18 +31,35 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame):
+    """``docs`` with a doc_id of its own for each row, in the order of the old
+    ones (null first), and a function that puts the old ones back. A table
+    whose ids are all there and differ is left as it is."""
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        return docs, lambda out: out
+    old = "own_id"
+    while old in [c.lower() for c in docs.columns]:
+        old += "_"
+    by = [F.asc_nulls_first("doc_id"), F.md5("text")]
+    rows = docs.withColumn(old, F.col("doc_id")).repartitionByRange(*by).sortWithinPartitions(*by)
+    numbered = materialize(rows.withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
+    return numbered, lambda out: out.withColumn("doc_id", F.col(old)).drop(old)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id."""
-    linked = materialize(ngram_join.link_documents(docs, ngram_join.NEAR_N, ngram_join.NEAR_PERCENT).filter("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
+    rows, back = _numbered(docs)
+    linked = materialize(ngram_join.link_documents(rows, ngram_join.NEAR_N, ngram_join.NEAR_PERCENT).filter("component_id <> doc_id").select("doc_id"), "near-duplicates")
     gone = F.broadcast(linked) if linked.count() <= ngram_join.MAX_BROADCAST else linked
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return back(rows.join(gone, "doc_id", "left_anti")).select(*docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no test item is found."""
-    found = decontamination.contaminated(docs, read(spark, sf_dir, "benchmark"))
+    rows, back = _numbered(docs)
+    found = decontamination.contaminated(rows, read(spark, sf_dir, "benchmark"))
     gone = materialize(found.select(F.col("doc").alias("doc_id")).distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return back(rows.join(gone, "doc_id", "left_anti")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
