@@ -49,13 +49,14 @@ def archive_index(archive: DataFrame) -> DataFrame:
              .drop("_win"))
 
 
-def analyzed_archive(archive: DataFrame, scope: str = "stripped") -> DataFrame:
+def analyzed_archive(archive: DataFrame, scope: str = "stripped", content_selectors=None, strip_selectors=None) -> DataFrame:
     """Per archived page: title, content root, stored HTML nodes and the
     hrefs of its links (``scope='stripped'`` as the reference: links inside
     removed furniture are not followed; ``'all'`` keeps them)."""
     idx = archive_index(archive)
     ok = idx.filter("kept")
-    a = analyze_pages(with_nodes(ok.select("url_key", "page_id", "html")))
+    a = analyze_pages(with_nodes(ok.select("url_key", "page_id", "html")),
+                      content_selectors=content_selectors, strip_selectors=strip_selectors)
     return a.withColumn("hrefs", anchors(F.col("kept" if scope == "stripped" else "nodes"))) \
             .withColumn("has_content", F.col("root").isNotNull()) \
             .withColumn("unparsed", F.col("nodes").isNull())
@@ -72,6 +73,34 @@ def page_links(analyzed: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- BFS
+#: A node with more links than this is a hub: its links are dealt into parts.
+HUB_DEGREE = 50_000
+
+
+def deal_links(edges: DataFrame, hub_degree: int = HUB_DEGREE) -> tuple[DataFrame, DataFrame | None]:
+    """(edges with ``part``, hubs (src, parts) or None). Links of a node with at
+    most ``hub_degree`` are part 0; a hub's are dealt by ranges of their
+    position into parts of about that many, so no key holds more. There is
+    a hub at most for each ``hub_degree`` links."""
+    deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.min("position").alias("_lo"), F.max("position").alias("_hi"))
+    hubs = bounded_broadcast(deg.filter(F.col("_n") > hub_degree)
+                             .withColumn("parts", F.ceil(F.col("_n") / hub_degree).cast("int")).drop("_n"))
+    if hubs.isEmpty():
+        return edges.withColumn("part", F.lit(0)), None
+    at = F.floor((F.col("position") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * F.col("parts")).cast("int")
+    dealt = edges.join(hubs, "src", "left").withColumn("part", F.coalesce(F.least(at, F.col("parts") - 1), F.lit(0)))
+    return dealt.select("src", "position", "dst", "part"), hubs.select("src", "parts")
+
+
+def to_parts(front: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """The frontier (..., src) with a row for each part of a node's links."""
+    if hubs is None:
+        return front.withColumn("part", F.lit(0))
+    cols = front.columns
+    return front.join(hubs, "src", "left").select(
+        *cols, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+
+
 def _ckpt(df: DataFrame) -> DataFrame:
     """Reliable checkpoint to the shared folder, computing the plan once.
 
@@ -99,7 +128,7 @@ def _materialize(df: DataFrame) -> DataFrame:
 def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
         requests: DataFrame | None = None, link_ok=None, expandable: DataFrame | None = None,
         content: DataFrame | None = None,
-        with_seq: bool = False) -> DataFrame:
+        with_seq: bool = False, hub_degree: int = HUB_DEGREE) -> DataFrame:
     """Level-synchronous BFS.
 
     seeds:      (project_id, url, seq) -- depth 0 in ``seq`` order
@@ -121,9 +150,10 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
     """
     lim = requests.select("project_id", "max_depth", "max_pages") if requests is not None else None
     # the link table is read once per level: materialize it once, hash-
-    # partitioned on the join key, so each level shuffles only its frontier
-    edges = _ckpt(edges.select("src", F.col("position").cast("long").alias("position"), "dst")
-                  .repartition("src"))
+    # partitioned on the join key, so each level shuffles only its frontier;
+    # a hub's links lie in several partitions, and its frontier row goes to each
+    edges, hubs = deal_links(edges.select("src", F.col("position").cast("long").alias("position"), "dst"), hub_degree)
+    edges = _ckpt(edges.repartition("src", "part"))
     level = _materialize(
         seeds.groupBy("project_id", "url").agg(F.min("seq").cast("long").alias("_s"))
              .select("project_id", "url", F.lit(0).alias("depth"),
@@ -142,8 +172,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
             front = front.join(done, "project_id", "left_anti")
         if expandable is not None:
             front = front.join(expandable.select("url"), "url", "left_semi")
-        cand = front.select("project_id", F.col("url").alias("src"), F.col("key").alias("pkey")) \
-                    .join(edges, "src")
+        front = to_parts(front.select("project_id", F.col("url").alias("src"), F.col("key").alias("pkey")), hubs)
+        cand = front.join(edges, ["src", "part"])
         if requests is not None and link_ok is not None:
             cand = cand.join(requests, "project_id").filter(link_ok)
         first = (cand.groupBy("project_id", "dst")
@@ -253,15 +283,23 @@ def in_degree(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- crawl job
 def crawl_job(spark: SparkSession, requests: DataFrame, archive: DataFrame,
               sitemap_urls: DataFrame | None = None, scope: str = "stripped",
-              fold_base: bool = False, strict_segments: bool = False) -> dict:
-    """CRW-10: requests -> seeds -> BFS over the archive -> capped pages.
-
-    requests: (project_id, url, name, max_pages, max_depth). ``sitemap_urls``
-    (project_id, url, seq) are discovered page URLs (CRW-2/3 output).
-    Returns dict of DataFrames: visits, pages (capped, with title and
-    content nodes), summary (one row per request; zero pages = failed).
+              fold_base: bool = False, strict_segments: bool = False,
+              sitemaps: DataFrame | None = None, content_selectors=None, strip_selectors=None) -> dict:
+    """CRW-10: requests -> discovery -> BFS over the archive -> capped pages.
+
+    requests: (project_id, url, name, max_pages, max_depth), optionally
+    ``use_sitemap`` (a null counts as true) and ``max_files``. ``sitemaps``
+    (url, status, body) are the sitemap files there are: requests that use
+    them get the page URLs that :func:`sitemaps.discover` finds as further
+    seeds. ``sitemap_urls`` (project_id, url, seq) gives such URLs directly.
+    Returns dict of DataFrames: visits, keys (capped pages without their
+    content: project_id, url, depth, key, parent_url, position, page_id), pages
+    (keys with title, content nodes and root), summary (one row per request;
+    zero pages = failed). Only keys are ranked and capped; content is joined
+    once, to what is kept (:func:`with_content`).
     ``fold_base`` / ``strict_segments`` repair the two path-prefix quirks
-    of the doc-link rule (kept by default).
+    of the doc-link rule (kept by default); the selector lists replace the
+    fixed ones.
     """
     rules = {"fold_base": fold_base, "strict_segments": strict_segments}
     req = requests.select(
@@ -271,42 +309,67 @@ def crawl_job(spark: SparkSession, requests: DataFrame, archive: DataFrame,
     # narrow key table (no HTML) read by every level: written once
     idx = _materialize(archive_index(archive).select("url_key", "page_id", "kept", "reason"))
     # parse once: the page table every later step reads is materialized
-    an = _materialize(analyzed_archive(archive, scope).select(
+    an = _materialize(analyzed_archive(archive, scope, content_selectors, strip_selectors).select(
         "url_key", "page_id", "title", "root", "content", "hrefs", "has_content", "unparsed"))
     links = page_links(an)
     disc = None
+    if sitemaps is not None:
+        from ..sources.sitemaps import discover
+        asks = requests.filter(F.coalesce(F.col("use_sitemap"), F.lit(True))) if "use_sitemap" in requests.columns else requests
+        disc = discover(asks, sitemaps).select("project_id", "url", "seq")
     if sitemap_urls is not None:
-        disc = first_seen(sitemap_urls).join(req.select("project_id", "base_url"), "project_id") \
+        given = sitemap_urls.select("project_id", "url", "seq")
+        disc = given if disc is None else disc.unionByName(given)
+    if disc is not None:
+        disc = first_seen(disc).join(req.select("project_id", "base_url"), "project_id") \
             .filter(is_doc_link(F.col("url"), F.col("base_url"), **rules)).select("project_id", "url", "seq")
-    sd = seeds(req.select("project_id", "url"), disc)
-    visits = bfs(sd, links, requests=req.select("project_id", "base_url", "max_depth", "max_pages"),
+    having = _materialize(an.filter("has_content").select(F.col("url_key").alias("url")))
+    visits = bfs(seeds(req.select("project_id", "url"), disc), links,
+                 requests=req.select("project_id", "base_url", "max_depth", "max_pages"),
                  link_ok=is_doc_link(F.col("dst"), F.col("base_url"), **rules),
-                 expandable=idx.filter("kept").select(F.col("url_key").alias("url")),
-                 content=_materialize(an.filter("has_content").select(F.col("url_key").alias("url"))))
-    crawled = (visits.join(an.filter("has_content").select(
-                    F.col("url_key").alias("url"), "title", "content", "root"), "url")
-               .join(bounded_broadcast(req.select("project_id", "max_pages")), "project_id"))
-    # CRW-6/7: skew-safe crawl position, then the per-request cap
-    crawled = running_count(crawled, ["project_id"], ["depth", "key"], out="position") \
+                 expandable=idx.filter("kept").select(F.col("url_key").alias("url")), content=having)
+    limits = bounded_broadcast(req.select("project_id", "max_pages"))
+    # a request for no page visits none
+    visits = visits.join(limits, "project_id").filter(F.col("max_pages").isNull() | (F.col("max_pages") > 0))
+    # CRW-6/7: skew-safe crawl position of the keys, then the per-request cap
+    keys = running_count(visits.join(having, "url", "left_semi"), ["project_id"], ["depth", "key"], out="position") \
         .filter(F.col("max_pages").isNull() | (F.col("position") <= F.col("max_pages"))) \
         .withColumn("page_id", page_id(F.col("url")))
+    keys = _materialize(keys)
     # the crawl stops at the page that fills the cap: what stands behind it in
     # the queue was never visited
-    last = crawled.filter(F.col("position") == F.col("max_pages")).select(
-        "project_id", F.struct("depth", "key", "url").alias("_last"))
-    crawled = crawled.drop("max_pages")
-    visits = visits.join(last, "project_id", "left").filter(
+    last = bounded_broadcast(keys.filter(F.col("position") == F.col("max_pages")).select(
+        "project_id", F.struct("depth", "key", "url").alias("_last")))
+    keys = keys.drop("max_pages")
+    visits = visits.drop("max_pages").join(last, "project_id", "left").filter(
         F.col("_last").isNull() | (F.struct("depth", "key", "url") <= F.col("_last"))).drop("_last")
-    counts = crawled.groupBy("project_id").agg(F.count(F.lit(1)).alias("page_count"))
+    counts = keys.groupBy("project_id").agg(F.count(F.lit(1)).alias("page_count"))
     summary = (req.join(counts, "project_id", "left")
                   .select("project_id", "name", "url",
                           F.coalesce("page_count", F.lit(0)).alias("page_count"),
                           F.when(F.coalesce("page_count", F.lit(0)) > 0, F.lit("ok"))
                            .otherwise(F.lit("failed")).alias("status")))
-    return {"visits": visits, "pages": crawled, "summary": summary, "index": idx,
+    return {"visits": visits, "keys": keys, "pages": with_content(keys, an), "summary": summary, "index": idx,
             "analyzed": an, "links": links}
 
 
+def with_content(keys: DataFrame, analyzed: DataFrame) -> DataFrame:
+    """``keys`` (..., url) with the title, content nodes and root of their
+    pages. Keys within the broadcast bound go to the pages, which stay where
+    they are; beyond it both meet in one shuffle."""
+    return analyzed.filter("has_content").select(F.col("url_key").alias("url"), "title", "content", "root") \
+        .join(bounded_broadcast(keys), "url")
+
+
+def last_writes(job: dict) -> DataFrame:
+    """Pages of a crawl job with their content, of those that share a page id
+    the last; which one that is, is settled on the keys."""
+    last = (job["keys"].groupBy("project_id", "page_id")
+            .agg(F.max_by(F.struct("position", "url"), F.col("position")).alias("w"))
+            .select("project_id", "page_id", "w.*"))
+    return with_content(last, job["analyzed"])
+
+
 def save_crawl(job: dict, path: str, scraped_at, scraped_on: str | None = None) -> dict:
     """End of CRW-10: convert the capped pages, keep the last write per page
     id, and write ``<path>/library`` (partitioned by project) and
@@ -315,12 +378,7 @@ def save_crawl(job: dict, path: str, scraped_at, scraped_on: str | None = None)
     from .library import write_library
     from .markdown import convert_pages
     day = scraped_on or scraped_at.strftime("%Y-%m-%d")
-    pages = job["pages"]
-    last = (pages.groupBy("project_id", "page_id")
-                 .agg(F.max_by(F.struct("position", "title", "url", "content"), F.col("position"))
-                      .alias("w"))
-                 .select("project_id", "page_id", "w.*"))
-    conv = convert_pages(last, day, keep=["project_id", "page_id", "position", "title", "url"])
+    conv = convert_pages(last_writes(job), day, keep=["project_id", "page_id", "position", "title", "url"])
     lib = conv.select("project_id", "position", "page_id", "title", "url",
                       F.col("markdown").alias("content"))
     lib_path = f"{path.rstrip('/')}/library"

@@ -199,15 +199,41 @@ def q_crw_capped_outcomes(spark, sf):
     return CR.outcomes(job["visits"], job["index"], job["analyzed"]).select("project_id", "url", "outcome")
 
 
-@register("crw_job_summary")
+def _sitemap_crawl(spark, sf):
+    """Sites publish sitemaps for their archived pages; every request follows
+    links, and those whose site name has an even length ask for the sitemap."""
+    from ..sources.sitemaps import sitemaps_from_archive
+    arch = S.page_archive(spark, sf)
+    site = _site(F.col("url"))
+    req = arch.select(site.alias("project_id")).distinct().select(
+        "project_id", F.col("project_id").alias("url"), F.lit(None).cast("string").alias("name"),
+        F.lit(PAGE_CAP).alias("max_pages"), F.lit(2).alias("max_depth"), (F.length("project_id") % 2 == 0).alias("use_sitemap"))
+    return CR.crawl_job(spark, req, arch, scope="all", sitemaps=sitemaps_from_archive(arch))
+
+
+# All archived pages of a site are in its sitemap, so they are seeds; of those the
+# first PAGE_CAP by place in the sitemap are the crawl's pages.
+_JOB_PAGES = f"""
+  SELECT project_id, position, substring(md5(url), 1, 10) AS page_id, url, 0 AS depth, title FROM (
+    SELECT project_id, url, row_number() OVER (PARTITION BY project_id ORDER BY seq) AS position, title FROM (
+      SELECT {SITE_SQL} AS project_id, {O.normalize('url')} AS url, min(page_id) AS seq,
+             arg_min({O.strip(O.entities("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)"))}, page_id) AS title
+      FROM pages WHERE NOT {O.is_asset('url')} GROUP BY 1, 2)
+    WHERE length(project_id) % 2 = 0) WHERE position <= {PAGE_CAP}"""
+
+
+@register("crw_job_summary", f"""
+SELECT s.project_id, replace({O.url_part('s.project_id', 3)}, 'www.', '') AS name, s.project_id AS url,
+       coalesce(n, 0) AS page_count, CASE WHEN n > 0 THEN 'ok' ELSE 'failed' END AS status
+FROM (SELECT DISTINCT {SITE_SQL} AS project_id FROM pages) s
+LEFT JOIN (SELECT project_id, count(*) AS n FROM ({_JOB_PAGES}) GROUP BY 1) USING (project_id)""")
 def q_crw_job_summary(spark, sf):
-    return _site_crawl(spark, sf, "stripped", 3)["summary"]
+    return _sitemap_crawl(spark, sf)["summary"]
 
 
-@register("crw_job_pages")
+@register("crw_job_pages", f"SELECT project_id, position, page_id, url, depth, title FROM ({_JOB_PAGES})")
 def q_crw_job_pages(spark, sf):
-    return _site_crawl(spark, sf, "stripped", 3)["pages"].select(
-        "project_id", "position", "page_id", "url", "depth", "title")
+    return _sitemap_crawl(spark, sf)["pages"].select("project_id", "position", "page_id", "url", "depth", "title")
 
 
 # ------------------------------------------------------------ render / convert
@@ -243,10 +269,7 @@ def q_crw_job_library(spark, sf):
     rendered)."""
     from ..operators.markdown import convert_pages
     job = _site_crawl(spark, sf, "stripped", 3)
-    last = (job["pages"].groupBy("project_id", "page_id")
-            .agg(F.max_by(F.struct("position", "title", "url", "content"), F.col("position")).alias("w"))
-            .select("project_id", "page_id", "w.*"))
-    lib = convert_pages(last, SCRAPED_ON, keep=["project_id", "page_id", "position", "title", "url"])
+    lib = convert_pages(CR.last_writes(job), SCRAPED_ON, keep=["project_id", "page_id", "position", "title", "url"])
     return lib.select("project_id", "page_id", "position", "title",
                       F.length("markdown").alias("chars"))
 

@@ -99,3 +99,25 @@ def test_absolutize(spark):
 
 def test_comment_splits_text(spark):
     assert _row(spark, "<h1>Foo <!-- v --> Bar</h1><main>x</main>").title == "FooBar"
+
+
+def test_running_max_by_blocks(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [[rnd.randint(-1, 1000) for _ in range(n)] for n in (0, 1, 5, C.SWEEP, C.SWEEP + 1, 3 * C.SWEEP, 1000)]
+    df = spark.createDataFrame([(r,) for r in rows], "v array<bigint>").select("v", C.running_max(F.col("v")).alias("m"))
+    for r in df.collect():
+        best, want = -(1 << 62), []
+        for x in r.v:
+            best = max(best, x)
+            want.append(best)
+        assert r.m == want
+
+
+def test_strip_on_a_page_of_many_cuts(spark):
+    """30,000 nodes, more than half of them cut: the sweep is no product of both."""
+    body = "".join(f"<p>t{i}</p><nav><b>n</b></nav>" for i in range(6_000))
+    df = with_nodes(spark.createDataFrame([(f"<body>{body}</body>",)], "html string"))
+    n, kept = df.select(F.size("nodes"), F.size(C.strip_nodes(F.col("nodes")))).first()
+    assert (n, kept) == (30_001, 12_001)
