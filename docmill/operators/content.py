@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import PY_WS, py_strip
+from ..functions.text import PY_WS, code_language, py_strip
 from ..functions.urls import let, resolve_url
 from .html_nodes import TEXT
 
@@ -220,6 +220,26 @@ def absolutize(nodes, page_url) -> Column:
     return F.transform(nodes, lambda n: F.when(n.tag.isin("img", "a", "source"), fix(n)).otherwise(n))
 
 
+def _inner_classes(nodes, n):
+    """Classes of the first ``code`` element directly inside ``n``."""
+    return F.get(F.filter(nodes, lambda m: (m.parent == n.pre) & (m.tag == "code")), 0)["classes"]
+
+
+def with_languages(nodes, look_at_code: bool = False) -> Column:
+    """Nodes with a field ``lang``: a ``pre`` element's code language (HTM-7),
+    by its own classes or, with ``look_at_code``, by its code element's too."""
+    def of(n):
+        return code_language(n.classes, _inner_classes(nodes, n) if look_at_code else None)
+
+    return F.transform(nodes, lambda n: n.withField("lang", F.when(n.tag == "pre", of(n))))
+
+
+def code_blocks(nodes, look_at_code: bool = False) -> Column:
+    """Code blocks in document order: array of struct(language, text)."""
+    pres = F.filter(with_languages(nodes, look_at_code), lambda n: n.tag == "pre")
+    return F.transform(pres, lambda n: F.struct(n.lang.alias("language"), inner_text(nodes, n).alias("text")))
+
+
 def analyze_pages(pages, nodes_col: str = "nodes", content_selectors=None, strip_selectors=None):
     """Adds title, kept nodes, root and content nodes to a page table; other
     selector lists may take the place of the fixed ones.

@@ -10,7 +10,8 @@ Rendering contract (our golden tests state it): ATX headings; fenced code
 blocks with the language from the ``pre`` element's classes; no escaping of
 ``_`` and ``*``; ``*`` bullets (then ``+``, ``-`` when nested), ``1.``
 numbers; ``**bold**``, ``*em*``, `` `code` ``, ``[t](u)``, ``<u>`` when the
-text is the URL, ``![alt](src)``; ``>`` quotes; ``---`` rules; pipe tables;
+text is the URL, ``![alt](src)``; ``>`` quotes; ``---`` rules; pipe tables (a
+table without header cells has an empty header row);
 ``<br>`` as two spaces and a newline.
 """
 
@@ -18,14 +19,14 @@ from __future__ import annotations
 
 import re
 import sys
-from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import CODE_LANGUAGE_PREFIXES, clean_markdown, frontmatter
+from ..functions.text import clean_markdown, frontmatter
+from .content import absolutize, with_languages
 from .html_nodes import TEXT
 
 # --- fixed values: element groups of the renderer -------------------------
@@ -44,20 +45,6 @@ _BLOCKISH = BLOCK_TAGS | set(HEADINGS) | {"p", "pre", "ul", "ol", "li", "blockqu
                                           "hr", "thead", "tbody", "tfoot", "tr"}
 
 
-def detect_language(classes, inner_classes=None, look_at_code: bool = False):
-    """HTM-7 in Python (for the renderer): first class with a known prefix."""
-    pools = [classes or []]
-    if look_at_code:
-        pools.append(inner_classes or [])
-    for pool in pools:
-        for c in pool:
-            cl = c.lower()
-            for pre in CODE_LANGUAGE_PREFIXES:
-                if cl.startswith(pre):
-                    return cl[len(pre):]
-    return None
-
-
 class _Tree:
     """Children lists from parent indices. A fragment with several
     top-level nodes gets a virtual root (tag ``#fragment``)."""
@@ -93,9 +80,8 @@ def _chomp(text):
 
 
 class _Renderer:
-    def __init__(self, tree: _Tree, look_at_code: bool = False, language_fn=None):
+    def __init__(self, tree: _Tree, language_fn=None):
         self.t = tree
-        self.look_at_code = look_at_code
         self.language_fn = language_fn
 
     def kids_text(self, n, ctx):
@@ -172,7 +158,7 @@ class _Renderer:
             if self.language_fn is not None:
                 lang = self.language_fn(n.get("classes") or [], inner_cls or []) or ""
             else:
-                lang = detect_language(n.get("classes"), inner_cls, self.look_at_code) or ""
+                lang = n.get("lang") or ""
             return f"\n\n```{lang}\n{code}\n```\n\n"
         if tag == "a":
             lead, trail, txt = _chomp(self.kids_text(n, ctx))
@@ -244,12 +230,14 @@ class _Renderer:
         return f"{bullet} {body}\n"
 
     def table(self, n, ctx):
-        rows = []
+        rows, in_head = [], []
 
         def walk(x):
             for c in self.t.children(x):
                 if c["tag"] == "tr":
                     rows.append(c)
+                    if x["tag"] == "thead":
+                        in_head.append(c)
                 elif c["tag"] in ("thead", "tbody", "tfoot"):
                     walk(c)
         walk(n)
@@ -263,58 +251,30 @@ class _Renderer:
                          for c in cells])
         width = max(len(g) for g in grid)
         grid = [g + [""] * (width - len(g)) for g in grid]
+        first = self.t.children(rows[0])
+        if not any(c["tag"] == "th" for c in first) and rows[0] not in in_head:
+            grid.insert(0, [""] * width)  # rows of data alone: an empty header
         lines = ["| " + " | ".join(grid[0]) + " |", "| " + " | ".join(["---"] * width) + " |"]
         lines += ["| " + " | ".join(g) + " |" for g in grid[1:]]
         return "\n\n" + "\n".join(lines) + "\n\n"
 
 
-def _absolute(page_url, ref):
-    """``ref`` against the page's URL; a reference that isn't a URL (a host
-    with an open bracket, say) stays as it is, as one link mustn't end a job."""
-    try:
-        return urljoin(page_url, ref)
-    except ValueError:
-        return ref
-
-
-def absolutize_nodes(nodes, page_url):
-    """HTM-6 inside the render task (same rules as ``content.absolutize``)."""
-    out = []
-    for n in nodes:
-        tag = n.get("tag")
-        if tag in ("img", "a", "source") and n.get("attrs"):
-            a = dict(n["attrs"])
-            if tag == "img" and "src" in a and not a["src"].startswith(("data:", "mailto:")):
-                a["src"] = _absolute(page_url, a["src"])
-            elif tag == "a" and "href" in a and not a["href"].startswith(
-                    ("data:", "mailto:", "javascript:", "#")):
-                a["href"] = _absolute(page_url, a["href"])
-            elif tag == "source" and "srcset" in a:
-                a["srcset"] = _absolute(page_url, a["srcset"])
-            n = {**n, "attrs": list(a.items())}
-        out.append(n)
-    return out
-
-
-def render_nodes(nodes, look_at_code: bool = False, page_url: str | None = None,
-                 language_fn=None) -> str | None:
+def render_nodes(nodes, language_fn=None) -> str | None:
     """Markdown of a node list whose first node is the content root.
 
-    With ``page_url``, link and image URLs are made absolute first.
-    ``language_fn(pre_classes, code_classes) -> str | None`` replaces the
-    built-in code-language rule (the reference's language callback)."""
+    A ``pre`` node's language is its field ``lang`` (:func:`content.with_languages`);
+    ``language_fn(pre_classes, code_classes) -> str | None`` takes its place
+    (the reference's language callback)."""
     if nodes is None:
         return None
     if not nodes:
         return ""
-    if page_url:
-        nodes = absolutize_nodes(nodes, page_url)
     # unclosed elements nest without bound: leave room for the deepest node
     deepest = max(n["depth"] or 0 for n in nodes)
     if sys.getrecursionlimit() < 8 * deepest + 1000:
         sys.setrecursionlimit(8 * deepest + 1000)
     tree = _Tree(nodes)
-    r = _Renderer(tree, look_at_code, language_fn)
+    r = _Renderer(tree, language_fn)
     root = tree.root
     if root["tag"] == TEXT:
         return _WS.sub(" ", root.get("text") or "")
@@ -328,20 +288,22 @@ def render_table(df: DataFrame, keep, content_col: str = "content", url_col: str
                  language_fn=None) -> DataFrame:
     """HTM-8 as a partition-wise Arrow job: ``keep`` columns pass through,
     ``out`` is the raw Markdown of ``content_col`` (links made absolute
-    against ``url_col`` when given). Only the needed columns are shipped to
-    Python, one Arrow batch at a time."""
+    against ``url_col`` when given). Languages and absolute links are Catalyst
+    expressions; only the needed columns are shipped to Python, one Arrow batch
+    at a time."""
     keep = [k for k in keep if k not in (content_col, out)]
-    cols = keep + [content_col] + ([url_col] if url_col and url_col not in keep else [])
-    src = df.select(*cols)
+    nodes = with_languages(F.col(content_col), look_at_code)
+    if url_col:
+        given = F.coalesce(F.col(url_col), F.lit("")) != ""
+        nodes = F.when(given, with_languages(absolutize(F.col(content_col), F.col(url_col)), look_at_code)).otherwise(nodes)
+    src = df.select(*keep, nodes.alias(content_col))
     schema = T.StructType([src.schema[k] for k in keep] + [T.StructField(out, T.StringType())])
     names = keep
 
     def run(batches):
         for b in batches:
             d = b.to_pydict()
-            nodes = d[content_col]
-            urls = d[url_col] if url_col else [None] * len(nodes)
-            md = [render_nodes(x, look_at_code, u, language_fn) for x, u in zip(nodes, urls)]
+            md = [render_nodes(x, language_fn) for x in d[content_col]]
             arrays = [b.column(b.schema.get_field_index(k)) for k in names]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(md, type=pa.string())],
                                              names=names + [out])

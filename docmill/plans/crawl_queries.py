@@ -8,7 +8,8 @@ from ..functions import urls as U
 from ..operators import crawl as CR
 from ..sources import tables as S
 from . import oracle_sql as O
-from .queries import register
+from ..sources.sitemaps import URLS_PER_FILE
+from .queries import _CONV, _DOCS, register
 
 # ------------------------------------------------------------ TPC-H graph
 _EDGES_SQL = """
@@ -339,6 +340,79 @@ def q_crw_sitemap_urls(spark, sf):
     return discover(req, docs).select("project_id", "url", "seq")
 
 
+# ------------------------------------------------------------ file sources
+# Spark writes the files from the tables; the readers under test read them.
+PART = r"part-\d+-[0-9a-f]+"
+
+
+def _files(spark, entries, name):
+    """Folder pattern below which the entries (entry, content) are files."""
+    from ..operators import entry_files as EF
+    from ..session import shared_path
+    path = shared_path(spark, name)
+    EF.write_entries(entries, path)
+    return path + "/part-*"
+
+
+_SM_SQL = f"""
+  SELECT {SITE_SQL} AS site, url, row_number() OVER (PARTITION BY {SITE_SQL} ORDER BY page_id, url) - 1 AS n FROM pages"""
+
+
+@register("src_sitemap_files", f"""
+WITH p AS ({_SM_SQL}), f AS (SELECT DISTINCT site, n // {URLS_PER_FILE} + 1 AS chunk FROM p)
+SELECT 'files://' || replace(site, '://', '/') || '/sitemap-' || CAST(n // {URLS_PER_FILE} + 1 AS VARCHAR) || '.xml' AS url,
+       'url' AS kind, CAST(n % {URLS_PER_FILE} + 1 AS INTEGER) AS pos, url AS loc FROM p
+UNION ALL SELECT 'files://' || replace(site, '://', '/') || '/sitemap.xml', 'sitemap', CAST(chunk AS INTEGER),
+       site || '/sitemap-' || CAST(chunk AS VARCHAR) || '.xml' FROM f""")
+def q_src_sitemap_files(spark, sf):
+    """SRC-2: sitemap files of all sites, scanned and parsed."""
+    from ..sources.sitemaps import decode_bodies, parse_sitemaps, read_sitemap_files, sitemaps_from_archive
+    docs = sitemaps_from_archive(S.page_archive(spark, sf))
+    at = _files(spark, docs.select(F.replace("url", F.lit("://"), F.lit("/")).alias("entry"), F.col("body").alias("content")), "sitemap-files")
+    return parse_sitemaps(decode_bodies(read_sitemap_files(spark, at, "files://", PART))).select("url", "kind", "pos", "loc")
+
+
+@register("src_manifest_files", f"""
+SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY position) AS INTEGER) AS position, page_id, title, url FROM {_CONV}""")
+def q_src_manifest_files(spark, sf):
+    """SRC-3: a manifest file for each project, scanned."""
+    from ..operators import library as L
+    from ..sources.library_files import read_manifests
+    lib = S.library_from_conversations(spark, sf)
+    docs = L.manifest_json(lib, S.projects_of(lib))
+    at = _files(spark, docs.select(F.concat("project_id", F.lit("/manifest.json")).alias("entry"), F.col("manifest").alias("content")), "manifests")
+    return read_manifests(spark, at)[1]
+
+
+@register("src_markdown_files", f"""
+SELECT project_id, page_id, md5(content) AS content_md5 FROM {_DOCS} WHERE length(content) > 0""")
+def q_src_markdown_files(spark, sf):
+    """SRC-4: a Markdown file for each page, scanned."""
+    from ..sources.library_files import read_markdown
+    lib = S.library_from_documents(spark, sf).filter(F.length("content") > 0)
+    at = _files(spark, lib.select(F.concat("project_id", F.lit("/"), "page_id", F.lit(".md")).alias("entry"), "content"), "markdown-files")
+    return read_markdown(spark, at).select("project_id", "page_id", F.md5("content").alias("content_md5"))
+
+
+# a page for each document: its text in a code block, whose classes name the language or don't
+@register("htm_code_blocks", """
+SELECT doc_id AS page_id, CAST(0 AS INTEGER) AS block, CASE doc_id % 4 WHEN 3 THEN NULL ELSE lower(lang) END AS language, md5(text) AS text_md5
+FROM documents WHERE text IS NOT NULL""")
+def q_htm_code_blocks(spark, sf):
+    """HTM-7: language and text of every code block."""
+    from ..operators.content import code_blocks
+    from ..operators.html_nodes import with_nodes
+    from ..sources.sitemaps import xml_escape
+    kind = F.col("doc_id") % 4
+    cls = (F.when(kind == 0, F.concat(F.lit("language-"), "lang")).when(kind == 1, F.concat(F.lit("hl Lang-"), F.upper("lang")))
+           .when(kind == 2, F.concat(F.lit("highlight-"), "lang", F.lit(" lang-x"))).otherwise(F.lit("plain")))
+    pages = S.read(spark, sf, "documents").filter(F.col("text").isNotNull()).select(
+        F.col("doc_id").alias("page_id"),
+        F.concat(F.lit("<main><p>one</p><pre class='"), cls, F.lit("'><code>"), xml_escape(F.col("text")), F.lit("</code></pre></main>")).alias("html"))
+    rows = with_nodes(S.spread(pages)).select("page_id", F.posexplode(code_blocks(F.col("nodes"))).alias("block", "b"))
+    return rows.select("page_id", "block", F.col("b.language").alias("language"), F.md5("b.text").alias("text_md5"))
+
+
 @register("job_skip_histogram", f"""
 WITH seeds AS (
   SELECT DISTINCT {SITE_SQL} AS project_id, {SITE_SQL} AS url FROM pages

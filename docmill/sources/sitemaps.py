@@ -11,6 +11,7 @@ documents ``from_xml`` proved well-formed.
 from __future__ import annotations
 
 import gzip
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,13 +63,15 @@ def decode_bodies(docs: DataFrame) -> DataFrame:
     return docs.select("url", "status", text.alias("text"))
 
 
-def read_sitemap_files(spark: SparkSession, path: str, url_prefix: str) -> DataFrame:
+def read_sitemap_files(spark: SparkSession, path: str, url_prefix: str, root: str | None = None) -> DataFrame:
     """SRC-2 from files: every file below ``path`` becomes a sitemap doc
     whose URL is ``url_prefix`` + its path relative to ``path`` (status 200).
+    Where ``path`` is a pattern, ``root`` is a regular expression of the folder
+    names that its last part stands for.
     ``binaryFile`` keeps the bytes; gzip is undone by :func:`decode_bodies`."""
     base = path.rstrip("/")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + base.split("/")[-1] + "/", "")
+    rel = F.regexp_replace(F.col("path"), r"^.*?/" + (root or re.escape(base.split("/")[-1])) + "/", "")
     return df.select(F.concat(F.lit(url_prefix.rstrip("/") + "/"), rel).alias("url"),
                      F.lit(200).alias("status"), F.col("content").alias("body"))
 

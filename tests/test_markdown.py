@@ -1,6 +1,8 @@
 """Rendering contract (golden) and the whole conversion."""
 from docmill.operators.html_nodes import parse_to_nodes
-from docmill.operators.markdown import convert_pages, render_nodes
+from pyspark.sql import functions as F
+
+from docmill.operators.markdown import convert_pages, render_nodes, render_table
 from docmill.operators import content as C
 from docmill.operators.html_nodes import with_nodes
 
@@ -19,13 +21,22 @@ def test_headings_paragraphs():
     assert lines(out) == ["# Title", "Para one.", "## Sub", "### Deeper"]
 
 
-def test_code_block_language_from_pre():
-    out = md('<pre class="language-python"><code>x = 1\n</code></pre>')
-    assert "```python\nx = 1\n\n```" in out
-    out2 = md('<pre><code class="lang-js">f()</code></pre>')
-    assert "```\nf()\n```" in out2                        # class on the inner code is missed
-    out3 = md('<pre><code class="lang-js">f()</code></pre>', look_at_code=True)
-    assert "```js\nf()\n```" in out3
+def test_code_block_language(spark):
+    """Of a block's own classes; of its code element's only when asked."""
+    html = ["<main><pre class='box Highlight-Rust lang-c'>a</pre></main>", "<main><pre><code class='language-sql'>b</code></pre></main>",
+            "<main><pre class='plain'>c</pre><pre class='lang-'>d</pre></main>"]
+    df = with_nodes(spark.createDataFrame(list(enumerate(html)), "page_id int, html string"))
+    for look, second in ((False, ""), (True, "sql")):
+        out = [r.md for r in render_table(df, ["page_id"], "nodes", None, "md", look_at_code=look).orderBy("page_id").collect()]
+        assert "```rust\na\n```" in out[0] and f"```{second}\nb\n```" in out[1] and "```\nc\n```" in out[2]
+        blocks = [(b.language, b.text) for r in df.select(C.code_blocks(F.col("nodes"), look).alias("b")).collect() for b in r.b]
+        assert blocks == [("rust", "a"), ("sql" if look else None, "b"), (None, "c"), ("", "d")]
+
+
+def test_table_without_header_cells():
+    data = "<tr><td>1</td><td>2</td></tr><tr><td>3</td></tr>"
+    assert "|  |  |\n| --- | --- |\n| 1 | 2 |\n| 3 |  |" in md(f"<table>{data}</table>")
+    assert "| 1 | 2 |\n| --- | --- |\n| 3 |  |" in md("<table><thead><tr><td>1</td><td>2</td></tr></thead><tbody><tr><td>3</td></tr></tbody></table>")
 
 
 def test_lists_nested():
