@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from .scan import bounded_broadcast, running_count, running_max
+from .scan import bounded_broadcast, running_count, running_max, running_sum
 
 # --- fixed values: client phases and the events that set them -------------
 PHASE_OF_EVENT = {
@@ -46,10 +46,19 @@ def payload_int(field: str):
     return F.get_json_object(F.col("payload"), f"$.{field}").cast("long")
 
 
-def running_scraped(ev: DataFrame) -> DataFrame:
-    """JOB-1: per page_scraped event, its n-th success within the job."""
-    pages = ev.filter(F.col("event") == "page_scraped").select("job_id", "event_id", "ts")
-    return running_count(pages, ["job_id"], _ORDER, out="scraped")
+def running_counts(ev: DataFrame, found_field: str = "k") -> DataFrame:
+    """JOB-1: per page_scraped event its n-th success within the job
+    (``scraped``) and the URLs then waiting (``queued``): the first one, plus
+    those found so far (``found_field`` of sitemap and page events), less those
+    taken (scraped or skipped)."""
+    taken = F.col("event").isin("page_scraped", "page_skipped")
+    found = F.when(taken | (F.col("event") == "sitemap_discovered"), payload_int(found_field))
+    steps = ev.select("job_id", "event_id", "ts", "event",
+                      (F.coalesce(found, F.lit(0)) - taken.cast("long")).alias("_step"))
+    return running_sum(steps, ["job_id"], _ORDER, {
+        "scraped": (F.col("event") == "page_scraped").cast("long"), "queued": F.col("_step"),
+    }).filter(F.col("event") == "page_scraped").select(
+        "job_id", "event_id", "ts", "scraped", (F.col("queued") + 1).alias("queued"))
 
 
 def latest_phase(ev: DataFrame) -> DataFrame:

@@ -190,6 +190,25 @@ def running_max(df: DataFrame, keys, order, values: dict, exclusive: bool = True
     return out.drop("_chunk", *[p + n for n in values for p in ("_v_", "_l_", "_c_")])
 
 
+def running_sum(df: DataFrame, keys, order, values: dict, partitions: int | None = None, per_part: int = 32) -> DataFrame:
+    """Adds, per output name, the running sum of a value Column (signed, nulls
+    count 0) per key in ``order``, this row included: a window per (key, chunk)
+    and the sums of the key's earlier chunks carried in (a small table)."""
+    keys, order = list(keys), list(order)
+    bounds = range_bounds(df, keys + order, _parts(df, partitions), per_part)
+    tagged = df.withColumn("_chunk", chunk_of(df, keys + order, bounds))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = tagged.withColumns({name: F.sum(F.coalesce(v, F.lit(0)).cast("long")).over(w) for name, v in values.items()})
+    if not bounds:
+        return local.drop("_chunk")
+    local = local.withColumn("_last", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order)))
+    ends = local.groupBy(*keys, "_chunk").agg(*[F.max_by(n, "_last").alias("_t_" + n) for n in values])
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, "_chunk", *[F.coalesce(F.sum("_t_" + n).over(before), F.lit(0)).alias("_c_" + n) for n in values])
+    out = local.join(carry, keys + ["_chunk"])
+    return out.withColumns({n: F.col(n) + F.col("_c_" + n) for n in values}).drop("_chunk", "_last", *["_c_" + n for n in values])
+
+
 # Largest table broadcast, in bytes as written (Parquet); memory is a few times that.
 BROADCAST_MAX_BYTES = 16 << 20
 

@@ -360,16 +360,16 @@ _SM_SQL = f"""
 
 @register("src_sitemap_files", f"""
 WITH p AS ({_SM_SQL}), f AS (SELECT DISTINCT site, n // {URLS_PER_FILE} + 1 AS chunk FROM p)
-SELECT 'files://' || replace(site, '://', '/') || '/sitemap-' || CAST(n // {URLS_PER_FILE} + 1 AS VARCHAR) || '.xml' AS url,
+SELECT 'files://sites/' || replace(site, '://', '/') || '/sitemap-' || CAST(n // {URLS_PER_FILE} + 1 AS VARCHAR) || '.xml' AS url,
        'url' AS kind, CAST(n % {URLS_PER_FILE} + 1 AS INTEGER) AS pos, url AS loc FROM p
-UNION ALL SELECT 'files://' || replace(site, '://', '/') || '/sitemap.xml', 'sitemap', CAST(chunk AS INTEGER),
+UNION ALL SELECT 'files://sites/' || replace(site, '://', '/') || '/sitemap.xml', 'sitemap', CAST(chunk AS INTEGER),
        site || '/sitemap-' || CAST(chunk AS VARCHAR) || '.xml' FROM f""")
 def q_src_sitemap_files(spark, sf):
     """SRC-2: sitemap files of all sites, scanned and parsed."""
     from ..sources.sitemaps import decode_bodies, parse_sitemaps, read_sitemap_files, sitemaps_from_archive
     docs = sitemaps_from_archive(S.page_archive(spark, sf))
     at = _files(spark, docs.select(F.replace("url", F.lit("://"), F.lit("/")).alias("entry"), F.col("body").alias("content")), "sitemap-files")
-    return parse_sitemaps(decode_bodies(read_sitemap_files(spark, at, "files://", PART))).select("url", "kind", "pos", "loc")
+    return parse_sitemaps(decode_bodies(read_sitemap_files(spark, at, "files://sites", PART))).select("url", "kind", "pos", "loc")
 
 
 @register("src_manifest_files", f"""

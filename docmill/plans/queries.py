@@ -627,10 +627,13 @@ def _ev(spark, sf):
 
 
 @register("job_running_counts", f"""
-SELECT job_id, event_id, ts, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS scraped
-FROM {_EV} WHERE event = 'page_scraped'""")
+SELECT job_id, event_id, ts, scraped, queued FROM (
+  SELECT *, count(*) FILTER (WHERE event = 'page_scraped') OVER w AS scraped,
+         CAST(1 + sum(CASE WHEN event = 'page_scraped' THEN CAST(json_extract_string(payload, '$.k') AS BIGINT) - 1 ELSE 0 END) OVER w AS BIGINT) AS queued
+  FROM {_EV} WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WHERE event = 'page_scraped'""")
 def q_job_running(spark, sf):
-    return J.running_scraped(_ev(spark, sf))
+    return J.running_counts(_ev(spark, sf))
 
 
 _PH = ("CASE event WHEN 'started' THEN 'scraping' WHEN 'converting' THEN 'converting' "

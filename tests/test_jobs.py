@@ -33,8 +33,11 @@ def test_phase_and_outcome(spark):
 
 def test_running_and_latest_and_progress(spark):
     ev = _ev(spark)
-    rc = sorted((r.job_id, r.event_id, r.scraped) for r in J.running_scraped(ev).collect())
-    assert rc == [(1, 2, 1), (1, 3, 2), (3, 8, 1), (3, 10, 2)]
+    rc = sorted((r.job_id, r.event_id, r.scraped, r.queued) for r in J.running_counts(ev).collect())
+    assert rc == [(1, 2, 1, 9), (1, 3, 2, 15), (3, 8, 1, 1), (3, 10, 2, 2)]
+    more = spark.createDataFrame([(5, 1, t(1), "sitemap_discovered", '{"k": 4}'), (5, 2, t(2), "page_skipped", '{"k": 3}'),
+                                  (5, 3, t(3), "page_scraped", "no json"), (5, 4, t(4), "started", '{"k": 99}'), (5, 5, t(5), "page_scraped", '{"k": 0}')], EV)
+    assert sorted((r.event_id, r.scraped, r.queued) for r in J.running_counts(more).collect()) == [(3, 1, 6), (5, 2, 5)]
     l4 = [r.event_id for r in J.latest_pages(ev, 1).collect()]
     assert sorted(l4) == [3, 10]
     pr = {r.job_id: (r.scraped, r.progress_pct, r.queued_shown) for r in J.progress(ev, 2).collect()}

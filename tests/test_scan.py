@@ -61,3 +61,18 @@ def test_chunk_array_search_matches_case_tree(spark):
     finally:
         SC.CASE_TREE_MAX = old_max
     assert big.join(tree, ["k", "t"]).filter("c != c2").count() == 0
+
+
+def test_running_sum_hot_key(spark):
+    """Signed sums carried across chunks, with one key of all rows and nulls."""
+    from docmill.operators.scan import running_sum
+    rnd = random.Random(6)
+    for hot in (0.5, 1.0):
+        rows = [("hot" if rnd.random() < hot else "cold", rnd.randrange(500), i, rnd.choice([None, -3, 0, 2, 9])) for i in range(2000)]
+        df = spark.createDataFrame(rows, "k string, t long, id long, v long")
+        got = {r.id: (r.s, r.n) for r in running_sum(df, ["k"], ["t", "id"], {"s": F.col("v"), "n": F.lit(1)}, partitions=16, per_part=4).collect()}
+        want, at = {}, {}
+        for k, t, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+            s, n = at.get(k, (0, 0))
+            at[k] = want[i] = (s + (v or 0), n + 1)
+        assert got == want
