@@ -11,9 +11,9 @@ FULL = """<!DOCTYPE html><html><head><title>Pump manual | Works</title></head><b
 <main id="m"><h1>Pump manual</h1><ol><li>Open the <a href="/docs/valve">valve</a>.</li>
 <li>Read <a href="/docs/gauge?x=1">the gauge</a>.</li></ol><table><tr><td>bar</td><td>2</td></tr></table></main>
 <footer>Printed &amp; bound</footer></body></html>"""
-TITLE_ONLY = "<html><head><title>My Page | Site</title></head><body></body></html>"
+TITLE_ONLY = "<title lang='en'>\n Valves &amp; pumps – Works – Home</title><p>no heading</p>"
 NOTHING = "<html><body><p>Just text</p></body></html>"
-EXTERNAL = '<html><body><main><a href="https://other.com/x">x</a></main></body></html>'
+EXTERNAL = '<article>See <a href="//mirror.net/docs/p">a mirror</a>, <a href="http://example.com.evil.io/docs/q">this</a>.</article>'
 UNCLOSED = "<html><body><article><h1>T</h1><p><b>bold<p>second<br>line</article></body></html>"
 HEADER_H1 = "<html><body><header><h1>Brand</h1></header><main><p>Body</p></main></body></html>"
 NO_BODY = '<p>loose <a href="/docs/z">z</a></p>'
@@ -44,7 +44,7 @@ def test_full_page(spark):
 
 
 def test_title_fallbacks(spark):
-    assert _row(spark, TITLE_ONLY).title == "My Page"
+    assert _row(spark, TITLE_ONLY).title == "Valves & pumps"
     assert _row(spark, NOTHING).title == "Untitled"
     assert _row(spark, "<title>Intro-duction</title>").title == "Intro"   # any hyphen cuts
     assert _row(spark, "<h1>  </h1><title>X</title>").title == ""         # empty h1 wins

@@ -21,11 +21,11 @@ def test_page_pipeline_has_no_hash_shuffle(spark):
         assert "ArrowEvalPython" in plan, name               # one Arrow parse per page
 
 
-def test_search_broadcasts_small_side_and_prunes(spark):
+def test_search_is_one_pruned_scan(spark):
     import __spark_entry__ as E
     df = E.queries()["lib_search"](spark, SF_SMALL)
     plan = _plan(df)
-    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert "Join" not in plan and plan.count("FileScan parquet") == 1   # no id repeats: texts are read once
     text = _formatted(spark, df)
     assert "Contains(lower(text" in text                        # predicate sits on the scan
     for schema in re.findall(r"ReadSchema: (struct<[^\n]*>)", text):
@@ -41,3 +41,12 @@ def test_job_aggregates_are_partial(spark):
     import __spark_entry__ as E
     plan = _plan(E.queries()["job_latest_phase"](spark, SF_SMALL))
     assert "partial_max" in plan
+
+
+def test_crawl_library_moves_no_content(spark):
+    """Content nodes are in no shuffle of the whole crawl job's result."""
+    import __spark_entry__ as E
+    plan = _formatted(spark, E.queries()["crw_job_library"](spark, SF_SMALL))
+    for block in plan.split("\n\n"):
+        if "Exchange" in block and "BroadcastExchange" not in block and block.startswith("("):
+            assert "content" not in block and "html" not in block, block
