@@ -26,7 +26,8 @@ lists hold a part of each set only, a shingle counts as such when its hash is
 below what every set of a size to link with lists, for this count, also beyond
 its rarest ones (``listed_to``). Every pair
 is checked first by position and by a parity bitmap (its Hamming distance is
-never more than the sets' difference), then exactly on the sets.
+never more than the sets' difference; where lists are compared in full, a fold of
+it to 256 bits is part of the join), then exactly on the sets.
 
 The boundary is the size at which subsets and list entries cost the least in
 sum, from the sets' size histogram and the lists' lengths.
@@ -120,6 +121,18 @@ def bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
+def signature(bits: np.ndarray) -> np.ndarray:
+    """The bitmap folded onto 256 bits, as four longs."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, 32)).view(np.int64)
+
+
+def _close_signatures(x: str, y: str, most):
+    """Whether two signatures differ in at most ``most`` bits: sets of a
+    symmetric difference within it never differ in more."""
+    apart = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(4)]
+    return apart[0] + apart[1] + apart[2] + apart[3] <= most
+
+
 def hamming(a: np.ndarray, b: np.ndarray) -> int:
     """Distance after folding the larger bitmap onto the size of the smaller."""
     size = min(len(a), len(b))
@@ -217,7 +230,7 @@ def representatives(docs: DataFrame, own: DataFrame, classes: DataFrame, n: int
 
 
 def profiles(docs: DataFrame, frequent: list[tuple[int, int]], n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, size, rare, more, sure, bitmap): the first shingles of each set
+    """(doc_id, size, rare, more, sure, bitmap, sig): the first shingles of each set
     in the order of frequency, as many as the set may miss plus one; the other
     infrequent ones up to ``listed_to``; and how many of the first ones any set
     that may link to this one has in either of its two."""
@@ -227,7 +240,7 @@ def profiles(docs: DataFrame, frequent: list[tuple[int, int]], n: int = N, perce
     shared = docs.sparkSession.sparkContext.broadcast((hashes[order], np.array([c for _, c in frequent], np.int64)[order]))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("size", T.IntegerType()),
                            T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("more", T.ArrayType(T.LongType())),
-                           T.StructField("sure", T.IntegerType()), T.StructField("bitmap", T.BinaryType())])
+                           T.StructField("sure", T.IntegerType()), T.StructField("bitmap", T.BinaryType()), T.StructField("sig", T.ArrayType(T.LongType()))])
 
     def run(it):
         out = _arrow(schema)
@@ -248,7 +261,8 @@ def profiles(docs: DataFrame, frequent: list[tuple[int, int]], n: int = N, perce
                 if len(rare) < p:
                     f = s[known]
                     rare = np.r_[rare, f[np.lexsort((f, times[at[known]]))[:p - len(rare)]]]
-                yield i, len(s), rare.view(np.int64), more.view(np.int64), sure, bitmap(s).tobytes()
+                bits = bitmap(s)
+                yield i, len(s), rare.view(np.int64), more.view(np.int64), sure, bits.tobytes(), signature(bits)
 
         for b in it:
             yield from batches(rows(b), out)
@@ -403,8 +417,10 @@ def heavy_links(docs: DataFrame, profile: DataFrame, lists: DataFrame, boundary:
     most = Window.partitionBy("shingle").orderBy(F.col("n").desc(), "label")
     main = at.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(most)).filter("r = 1")
     fewer = at.join(main.select("shingle", F.col("label").alias("main")), "shingle").filter("label <> main")
-    x = fewer.select("shingle", "main", *(F.col(c).alias(c + "_x") for c in ("id", "size", "place", "alone", "label")))
-    y = at.select("shingle", *(F.col(c).alias(c + "_y") for c in ("id", "size", "place", "alone", "label")))
+    sig = profile.select(F.col("doc_id").alias("id"), "sig")
+    open_lists = at.join(fewer.select("shingle").distinct(), "shingle", "left_semi")
+    x = fewer.join(sig, "id").select("shingle", "main", *(F.col(c).alias(c + "_x") for c in ("id", "size", "place", "alone", "label", "sig")))
+    y = open_lists.join(sig, "id").select("shingle", *(F.col(c).alias(c + "_y") for c in ("id", "size", "place", "alone", "label", "sig")))
     small, large = F.least("size_x", "size_y"), F.greatest("size_x", "size_y")
     need = F.ceil(percent * (small + large) / (100 + percent))
     # at the first shingle that two sets share, what stands before it in either
@@ -412,7 +428,7 @@ def heavy_links(docs: DataFrame, profile: DataFrame, lists: DataFrame, boundary:
     reach = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
     pairs = x.join(y, "shingle").filter(
         (F.col("label_x") != F.col("label_y")) & (100 * small >= percent * large) & (large > boundary) & (reach >= need)
-        & _may_link("size_x", "alone_x", "size_y", "alone_y", percent)
+        & _may_link("size_x", "alone_x", "size_y", "alone_y", percent) & _close_signatures("sig_x", "sig_y", small + large - 2 * need)
         & ((F.col("id_x") < F.col("id_y")) | (F.col("label_y") == F.col("main"))))
     pairs = pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
     found = _verified(pairs, profile, docs, n, percent)
