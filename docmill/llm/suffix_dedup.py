@@ -55,7 +55,8 @@ G = 24
 BATCHES = 4
 #: Windows whose distances to the anchor are equal when divided by this are compared together first.
 GROUP = 25
-PIECE = 1 << 20
+#: Bytes hashed together: the arrays of a group stay in the processor's cache.
+PIECE = 1 << 18
 #: Members of a group of windows that one task compares in memory.
 MAX_MEMBERS = 20_000
 MAX_BROADCAST = 1_000_000
