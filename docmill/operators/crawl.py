@@ -128,7 +128,7 @@ def _materialize(df: DataFrame) -> DataFrame:
 def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
         requests: DataFrame | None = None, link_ok=None, expandable: DataFrame | None = None,
         content: DataFrame | None = None,
-        with_seq: bool = False, hub_degree: int = HUB_DEGREE) -> DataFrame:
+        with_seq: bool = False, hub_degree: int = HUB_DEGREE, cap_visits: bool = False) -> DataFrame:
     """Level-synchronous BFS.
 
     seeds:      (project_id, url, seq) -- depth 0 in ``seq`` order
@@ -140,6 +140,7 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
     expandable: optional (url) -- only these nodes are expanded (fetched
                 HTML); others are visited but not expanded
     content:    optional (url) of content-bearing pages, for the page cap
+    cap_visits: the cap counts every visited node, whatever it holds
     Returns (project_id, url, depth, key, parent_url), plus ``seq`` with
     ``with_seq``.
 
@@ -167,8 +168,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
         if lim is not None:
             front = front.join(lim, "project_id").filter(
                 F.col("max_depth").isNull() | (F.col("depth") < F.col("max_depth")))
-        if content is not None and lim is not None:
-            done = _capped(levels, content, lim)
+        if (content is not None or cap_visits) and lim is not None:
+            done = _capped(levels, None if cap_visits else content, lim)
             front = front.join(done, "project_id", "left_anti")
         if expandable is not None:
             front = front.join(expandable.select("url"), "url", "left_semi")
@@ -196,12 +197,13 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
     return running_count(out, ["project_id", "depth"], ["key", "url"], out="seq")
 
 
-def _capped(levels, content: DataFrame, lim: DataFrame) -> DataFrame:
-    """Projects that already have ``max_pages`` content-bearing pages."""
+def _capped(levels, content: DataFrame | None, lim: DataFrame) -> DataFrame:
+    """Projects that already have ``max_pages`` content-bearing pages (nodes of
+    any kind without ``content``)."""
     seen = levels[0]
     for lv in levels[1:]:
         seen = seen.unionByName(lv)
-    n = (seen.join(content.select("url"), "url", "left_semi")
+    n = ((seen if content is None else seen.join(content.select("url"), "url", "left_semi"))
              .groupBy("project_id").agg(F.count(F.lit(1)).alias("_n")))
     return n.join(lim, "project_id").filter(F.col("_n") >= F.col("max_pages")).select("project_id")
 

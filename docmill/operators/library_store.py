@@ -3,8 +3,8 @@
 
 ``save`` writes three tables below one folder:
 
-* ``texts``: one row per (project, page id) -- the last write, reduced before
-  the shuffle -- bucketed by ``page_no``, a hash of the key;
+* ``texts``: one row per (project, page id) -- the last write; earlier ones are
+  left out before the shuffle -- bucketed by ``page_no``, a hash of the key;
 * ``manifest``: every entry, without text, bucketed alike;
 * ``grams`` and ``gram_counts`` (``index_grams``): for each three characters
   in lower case the pages that hold them, in folders by a hash of the gram and
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
+from .library import save_last_wins
 
 #: Folders of the gram index.
 SHARDS = 64
@@ -66,11 +67,13 @@ def save(lib: DataFrame, path: str | None = None, name: str | None = None) -> Li
     spark = lib.sparkSession
     store = LibraryStore(spark, path or shared_path(spark, "library"), name or f"library_{uuid.uuid4().hex}")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = lib.withColumn("page_no", page_no(F.col("project_id"), F.col("page_id")))
-    # as many buckets as shuffle partitions: the aggregate's output is written as it lies
-    last = keyed.groupBy("page_no", "project_id", "page_id").agg(F.max(F.struct("position", "content", "title", "url")).alias("w"))
-    texts = last.select("page_no", "project_id", "page_id", "w.*").repartition(n, "page_no")
-    entries = keyed.select("page_no", "project_id", "position", "page_id", "title", "url").repartition(n, "page_no")
+    number = page_no(F.col("project_id"), F.col("page_id")).alias("page_no")
+    # earlier writes stay behind before the texts move, once, to their buckets;
+    # writes of one position are settled there
+    texts = (save_last_wins(lib).select(number, "project_id", "page_id", "position", "content", "title", "url").repartition(n, "page_no")
+             .groupBy("page_no", "project_id", "page_id").agg(F.max(F.struct("position", "content", "title", "url")).alias("w"))
+             .select("page_no", "project_id", "page_id", "w.*"))
+    entries = lib.select(number, "project_id", "position", "page_id", "title", "url").repartition(n, "page_no")
     for part, rows in (("texts", texts), ("manifest", entries)):
         (rows.write.option("path", f"{store.path}/{part}").bucketBy(n, "page_no").sortBy("page_no")
          .format("parquet").mode("overwrite").saveAsTable(f"{store.name}_{part}"))

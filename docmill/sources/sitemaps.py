@@ -124,7 +124,9 @@ def discover(requests: DataFrame, sitemap_docs: DataFrame,
     children = parsed.filter(F.col("kind") == "sitemap").select(
         F.col("url").alias("src"), F.col("pos").alias("position"), F.col("loc").alias("dst"))
     seeds = req.select("project_id", root.alias("url"), F.lit(0).cast("long").alias("seq"))
-    files = bfs(seeds, children, expandable=ok_files)
+    # a site's walk ends at the level where its limit is reached
+    limits = req.select("project_id", F.lit(None).cast("int").alias("max_depth"), F.col("_most").alias("max_pages"))
+    files = bfs(seeds, children, requests=limits, expandable=ok_files, cap_visits=True)
     files = running_count(files, ["project_id"], ["depth", "key"], out="file_no") \
         .join(req.select("project_id", "_most"), "project_id") \
         .filter(F.col("_most").isNull() | (F.col("file_no") <= F.col("_most"))).drop("_most")
