@@ -29,6 +29,7 @@ from __future__ import annotations
 import base64
 import os
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,9 +85,9 @@ def _encode_rows(df: DataFrame, text: str, path: str, pattern: str, ids: str) ->
             begin, held, got = 0, 0, []
             for i in range(b.num_rows):
                 t = texts[i].as_py()
-                got.append(enc.encode_ordinary(t) if t else [])
+                got.append(np.array(enc.encode_ordinary(t) if t else (), np.int32))
                 held += len(got[-1])
-                if held >= 1 << 20 or i + 1 == b.num_rows:
+                if held >= 1 << 18 or i + 1 == b.num_rows:
                     yield pa.record_batch([c.slice(begin, i + 1 - begin) for c in others] + [pa.array(got, out.field(ids).type)],
                                           schema=pa.schema([*(pa.field(f.name, f.type) for f in b.schema if f.name != text), out.field(ids)]))
                     begin, held, got = i + 1, 0, []
@@ -209,7 +210,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: st
             for i in range(b.num_rows):
                 got.append(b"".join(map(table.__getitem__, lists[i].values.to_numpy().tolist() if lists[i].is_valid else ())))
                 held += len(got[-1])
-                if held >= 4 << 20 or i + 1 == b.num_rows:
+                if held >= 1 << 20 or i + 1 == b.num_rows:
                     part = b.slice(begin, i + 1 - begin)
                     yield pa.record_batch([*part.columns, pa.array(got, pa.binary())],
                                           schema=pa.schema([*b.schema, pa.field(out, pa.binary())]))
