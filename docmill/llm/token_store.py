@@ -67,7 +67,7 @@ class WordEncoder:
     and kept. ``check_splits`` says whether a tokenizer is of that kind.
     """
 
-    KEEP = 1_600_000
+    KEEP = 2_200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
