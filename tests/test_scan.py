@@ -76,3 +76,14 @@ def test_running_sum_hot_key(spark):
             s, n = at.get(k, (0, 0))
             at[k] = want[i] = (s + (v or 0), n + 1)
         assert got == want
+
+
+def test_running_count_large_keys_by_chunks_small_ones_by_a_window(spark):
+    """Keys above the bound (one of them null) and below it, ranked alike."""
+    rnd = random.Random(11)
+    rows = [(rnd.choice(["hot", "hot", None, None, f"k{rnd.randrange(9)}"]), rnd.randrange(3), rnd.randrange(500), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, g int, t long, id long")
+    for by in (None, ["k"]):
+        a = running_count(df, ["k", "g"], ["t", "id"], partitions=80, per_part=4, cluster=by, hot_rows=150)
+        b = df.withColumn("m", F.row_number().over(Window.partitionBy("k", "g").orderBy("t", "id")))
+        assert a.count() == 3000 and a.join(b, ["id"]).filter("n != m").count() == 0
