@@ -56,10 +56,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str, schema: T.StructType,
                 max_files: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    """The table's file, or the files of its folder, as a stream. The name is
+    given as a pattern: Spark takes a plain path for a folder."""
+    r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    return r.parquet(f"{sf_dir.rstrip('/')}/{table}.parque[t]")
 
 
 def as_job_events(e: DataFrame) -> DataFrame:
@@ -280,7 +282,7 @@ def run_incremental_convert(spark: SparkSession, sf_dir: str, scraped_on: str, p
     conv = convert_pages(a, scraped_on, keep=["project_id", "page_id", "url", "title"])
     place = _place(spark, place, "str_convert")
     _drain(conv.writeStream.format("parquet").option("path", place + "/table").partitionBy("project_id"), "str_convert", place)
-    return spark.read.parquet(place + "/table")
+    return spark.read.schema(conv.schema).parquet(place + "/table")
 
 
 # STR-4 --------------------------------------------------------------------

@@ -113,3 +113,17 @@ def test_dedupe_keeps_recent_urls_only(spark, tmp_path):
     assert got.count() == got.select("project_id", "url").distinct().count() == 80
     states = [p["stateOperators"][0]["numRowsTotal"] for p in P.run_visited_dedupe.last.recentProgress if p["stateOperators"]]
     assert len(states) >= 6 and states[-1] <= 45  # 40 visits a part at the most, of 240 in all
+
+
+def test_a_table_that_is_a_folder_of_files_is_streamed(spark, tmp_path):
+    """Large tables are folders; a stream of one reads its files, of an empty one nothing."""
+    pages = [(i, f"http://h{i % 2}.org/p{i}", f"<main><h1>T{i}</h1><p>x</p></main>") for i in range(4)]
+    df = spark.createDataFrame(pages, P.PAGES_SCHEMA)
+    df.repartition(2).write.parquet(str(tmp_path / "pages.parquet"))
+    got = P.run_incremental_convert(spark, str(tmp_path), "2024-01-15", str(tmp_path / "run"))
+    assert sorted((r.page_id, r.title) for r in got.collect()) == [(i, f"T{i}") for i in range(4)]
+    df.limit(0).write.parquet(str(tmp_path / "none" / "pages.parquet"))
+    assert P.run_incremental_convert(spark, str(tmp_path / "none"), "2024-01-15", str(tmp_path / "run2")).count() == 0
+    spark.read.parquet(SF_SMALL + "/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    of_file = P.run_live_progress(spark, P.event_stream(spark, SF_SMALL), str(tmp_path / "a")).collect()
+    assert sorted(of_file) == sorted(P.run_live_progress(spark, P.event_stream(spark, str(tmp_path)), str(tmp_path / "b")).collect())
