@@ -121,3 +121,28 @@ def test_strip_on_a_page_of_many_cuts(spark):
     df = with_nodes(spark.createDataFrame([(f"<body>{body}</body>",)], "html string"))
     n, kept = df.select(F.size("nodes"), F.size(C.strip_nodes(F.col("nodes")))).first()
     assert (n, kept) == (30_001, 12_001)
+
+
+def test_nodes_of_a_batch_leave_in_parts():
+    """A worker never holds the nodes of a whole batch as Python objects."""
+    import pyarrow as pa
+
+    from docmill.operators import html_nodes as H
+    page = "<main>" + "<p class='x'>one <a href='/y'>two</a></p>" * 100 + "</main>"
+    pages = [page if i % 7 else None for i in range(300)] + ["", None]
+    parts = list(H.parse_html_nodes.func(iter([pa.array(pages), pa.array([], pa.string())])))
+    assert len(parts) > 3 and max(len(p) for p in parts) * len(page) < 2 * H.PIECE
+    nodes = [n for p in parts for n in p.to_pylist()]
+    assert [n is None for n in nodes] == [p is None for p in pages]
+    want = H.parse_to_nodes(page)
+    assert all([m["pre"], m["post"], m["tag"], m["attrs"]] == [w["pre"], w["post"], w["tag"], w["attrs"]] for m, w in zip(nodes[1], want))
+
+
+def test_nodes_stay_with_their_pages(spark):
+    from docmill.operators import html_nodes as H
+    H.register_sql_functions(spark)
+    df = spark.range(0, 2000, 1, 2).selectExpr("id AS page_id", "if(id % 5 = 0, null, concat('<p>', repeat('x', 400), id, '</p>')) AS html")
+    for out in (with_nodes(df), df.selectExpr("*", "parse_html_nodes(html) AS nodes")):
+        rows = out.select("page_id", F.col("nodes")[1]["text"].alias("t")).collect()
+        assert len(rows) == 2000
+        assert all(r.t == (None if r.page_id % 5 == 0 else "x" * 400 + str(r.page_id)) for r in rows)
