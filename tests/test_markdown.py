@@ -114,3 +114,24 @@ def test_parser_failure_is_null_nodes(monkeypatch):
 
     monkeypatch.setattr(H._NodeBuilder, "handle_data", broken)
     assert H.parse_to_nodes("<p>text</p>") is None
+
+
+def test_a_batch_is_rendered_page_by_page():
+    """Of a batch's nodes only one page's are Python objects at a time."""
+    import tracemalloc
+
+    from docmill.operators import html_nodes as H
+    from docmill.operators import markdown as MD
+    nodes = H.parse_to_nodes("<main>" + "<p>one <b>two</b></p>" * 50 + "</main>")
+    content = H.pa.array([nodes, None] * 150, type=H._PA_NODES)
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    whole = peak(content.to_pylist)[1]
+    md, held = peak(lambda: MD.render_batch(content))
+    assert md.to_pylist() == [MD.render_nodes(nodes), None] * 150 and held < whole / 10
