@@ -18,8 +18,8 @@ import posixpath
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 FORMAT = "entry_files"
@@ -126,8 +126,9 @@ def write_entries(entries: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(entry, content binary) of all committed entries; Spark's reader leaves
-    out files without bytes (the export has none: empty pages are skipped)."""
+    """(entry, content binary) of all committed entries but those without bytes
+    (the export has none: empty pages are skipped). The driver knows the parts
+    only, one a task of the writing job; tasks list their files and read them."""
     fs, root = open_fs(path)
     commits = [f.path for f in fs.get_file_info(_selector(root)) if f.base_name.startswith("commit-")]
     parts = []  # one name a task of the writing job
@@ -136,5 +137,34 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
             parts += f.read().decode().split()
     if not parts:
         return spark.createDataFrame([], "entry string, content binary")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{path.rstrip('/')}/{p}" for p in parts])
-    return files.select(F.regexp_extract("path", r"/part-\d+-[0-9a-f]{32}/(.*)$", 1).alias("entry"), "content")
+
+    def run(it):
+        from pyarrow import fs as pafs
+
+        fs, root = open_fs(path)
+        for b in it:
+            for part in b.column(0).to_pylist():
+                names, texts, held = [], [], 0
+                for f in fs.get_file_info(pafs.FileSelector(f"{root}/{part}", recursive=True)):
+                    if f.type != pafs.FileType.File or not f.size:
+                        continue
+                    with fs.open_input_stream(f.path) as stream:
+                        texts.append(stream.read())
+                    names.append(f.path.split(f"/{part}/", 1)[1])
+                    held += f.size
+                    if held >= PIECE or len(names) >= 10_000:
+                        yield _entries(names, texts)
+                        names, texts, held = [], [], 0
+                if names:
+                    yield _entries(names, texts)
+
+    names = spark.createDataFrame([(p,) for p in parts], "part string").repartition(len(parts))
+    return names.mapInArrow(run, "entry string, content binary")
+
+
+#: Bytes of entries read before they are passed on.
+PIECE = 8 << 20
+
+
+def _entries(names: list[str], texts: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(names, pa.string()), pa.array(texts, pa.binary())], names=["entry", "content"])

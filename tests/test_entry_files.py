@@ -48,3 +48,12 @@ def test_failed_job_leaves_nothing(spark, tmp_path):
     twice = spark.createDataFrame([("a/1.md", "x"), ("a/1.md", "y")], "entry string, content string").coalesce(1)
     with pytest.raises(Exception, match="repeats"):
         EF.write_entries(twice, path)
+
+
+def test_tasks_list_the_entries(spark, tmp_path):
+    """The driver's file index holds no entry; names that Spark's reader takes for hidden ones are read as well."""
+    path = str(tmp_path / "export")
+    data = [(f"p{i % 3}/{'_' if i % 2 else ''}{i:02d}.md", f"text {i}") for i in range(30)]
+    EF.write_entries(spark.createDataFrame(data, "entry string, content string").repartition(3), path)
+    assert EF.read_entries(spark, path).inputFiles() == []
+    assert rows(spark, path) == sorted(data)
