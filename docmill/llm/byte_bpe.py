@@ -44,20 +44,33 @@ OVERLAP = 1_024
 MARGIN = 4
 
 _ENC: dict = {}
+_BYTES: dict = {}
+
+
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 def _encoding(path: str, pattern: str):
-    """The tiktoken encoding and its decoding table, once per Python worker."""
+    """The tiktoken encoding and the bytes of each id, once per Python worker."""
     if (path, pattern) not in _ENC:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENC[path, pattern] = (
-            tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={}),
-            {v: k for k, v in ranks.items()},
-        )
-    return _ENC[path, pattern]
+        _ENC[path, pattern] = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
+    return _ENC[path, pattern], _token_bytes(path)
+
+
+def _token_bytes(path: str) -> pa.BinaryArray:
+    """The bytes of each id (null: no such id), once per Python worker; a
+    worker that only decodes holds this array alone."""
+    if path not in _BYTES:
+        ranks = _ranks(path)
+        table: list = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            table[i] = token
+        _BYTES[path] = pa.array(table, pa.binary())
+    return _BYTES[path]
 
 
 def vocabulary() -> tuple[str, str]:
@@ -203,18 +216,24 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: st
     schema = T.StructType([*tokens.schema, T.StructField(out, T.BinaryType())])
 
     def run(it):
-        table = _encoding(path, pattern)[1]
+        import pyarrow.compute as pc
+
+        table = _token_bytes(path)
         for b in it:
             lists = b.column(b.schema.names.index(ids))
-            begin, held, got = 0, 0, []
-            for i in range(b.num_rows):
-                got.append(b"".join(map(table.__getitem__, lists[i].values.to_numpy().tolist() if lists[i].is_valid else ())))
-                held += len(got[-1])
-                if held >= 1 << 20 or i + 1 == b.num_rows:
-                    part = b.slice(begin, i + 1 - begin)
-                    yield pa.record_batch([*part.columns, pa.array(got, pa.binary())],
-                                          schema=pa.schema([*b.schema, pa.field(out, pa.binary())]))
-                    begin, held, got = i + 1, 0, []
+            # ids before each row; rows go on in parts of about 256 K ids
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            begin = 0
+            while begin < b.num_rows:
+                until = max(begin + 1, int(np.searchsorted(ends, ends[begin] + (1 << 18), "right")) - 1)
+                found = table.take(lists.slice(begin, until - begin).flatten())
+                if found.null_count:
+                    raise KeyError("an id that the rank file lacks")
+                at = np.concatenate([[0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False), dtype=np.int64)])
+                at = at[ends[begin:until + 1] - ends[begin]].astype(np.int32)
+                own = pa.Array.from_buffers(pa.binary(), until - begin, [None, pa.py_buffer(at), found.buffers()[2] or pa.py_buffer(b"")])
+                yield pa.record_batch([*b.slice(begin, until - begin).columns, own], schema=pa.schema([*b.schema, pa.field(out, pa.binary())]))
+                begin = until
 
     return tokens.mapInArrow(run, schema)
 
