@@ -49,3 +49,28 @@ def test_export_sinks_round_trip(spark, tmpdir_path):
     parts = sorted(glob.glob(os.path.join(pay, "project_id=a1b2c3", "part-*")))
     arr = json.loads("".join(open(p, encoding="utf-8").read() for p in parts))
     assert [a["text"].split("\n")[0] for a in arr] == ["File: p1.md", "File: p2.md"]
+
+
+def test_markdown_files_are_listed_by_tasks(spark, tmpdir_path, monkeypatch):
+    """The driver gives Spark no list of files; every file is read, whatever its name."""
+    from pyspark.sql import DataFrameReader
+
+    from docmill.sources.library_files import read_markdown
+
+    want = {}
+    for p in ("a1", "b c", "_p"):
+        os.makedirs(os.path.join(tmpdir_path, p))
+        for n, text in (("x", "one\n"), ("x y", ""), ("é%", "two\r\nthree"), ("_h", "hidden"), ("_a=b", "k"), (".d", "hidden")):
+            with open(os.path.join(tmpdir_path, p, n + ".md"), "w", encoding="utf-8", newline="") as f:
+                f.write(text)
+            if text and text != "hidden":
+                want[p.replace(" ", "%20"), n.replace("%", "%25")] = text
+        with open(os.path.join(tmpdir_path, p, "other.txt"), "w") as f:
+            f.write("x")
+    with open(os.path.join(tmpdir_path, "top.md"), "w") as f:
+        f.write("x")
+    old = spark.read.text(f"{tmpdir_path}/*/*.md", wholetext=True).select("value").collect()
+    monkeypatch.setattr(DataFrameReader, "text", lambda *a, **k: 1 / 0)
+    rows = read_markdown(spark, tmpdir_path).collect()
+    assert {(r.project_id, r.page_id): r.content for r in rows} == want and len(rows) == len(want)
+    assert sorted(r.value for r in old) == sorted(want.values())
