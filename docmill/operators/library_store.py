@@ -7,14 +7,14 @@
   left out before the shuffle -- bucketed by ``page_no``, a hash of the key;
 * ``manifest``: every entry, without text, bucketed alike;
 * ``grams`` and ``gram_counts`` (``index_grams``): for each three characters
-  in lower case the pages that hold them, in folders by a hash of the gram and
-  ranges of (gram, page) inside, so a gram that most pages hold lies in many
-  files.
+  in lower case the pages that hold them, in folders by a hash of the gram. A
+  row has the pages of one gram among some hundred pages that a task looked at
+  together, so a gram that most pages hold has many rows of bounded size.
 
 A page lookup reads the key's buckets only. Manifest entries meet their texts
 bucket by bucket: neither side moves, and each text is read once. A search
-looks up each term's rarest gram (dynamic partition pruning reads its folders
-only), takes the candidates to the texts' buckets and confirms them by
+looks up each term's rarest grams (dynamic partition pruning reads their folders
+only), takes the pages that hold all of them to the texts' buckets and confirms them by
 ``contains``. Page texts never move, and no term is compared to every page.
 ``page_no`` only locates: equal hashes of different keys are told apart by the
 key or by the text.
@@ -26,7 +26,7 @@ import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_path
@@ -37,6 +37,10 @@ SHARDS = 64
 #: Characters of a gram; code points take 21 bits each, so a gram is one long.
 Q = 3
 CODE_BITS = 21
+#: Grams of a term that a candidate must hold.
+RAREST = 3
+#: (gram, page) pairs that a task of the index holds at a time.
+PAIRS = 1 << 19
 #: Behind a text's end: lets terms shorter than a gram be looked up as well.
 PAD = (1 << CODE_BITS) - 1
 #: Up to so many keys, a lookup names its buckets in the plan.
@@ -53,8 +57,8 @@ class LibraryStore:
         return self.spark.table(f"{self.name}_{part}")
 
     def grams(self, part: str) -> DataFrame:
-        value = "page_no" if part == "grams" else "pages"
-        return self.spark.read.schema(f"gram long, {value} long, shard int").parquet(f"{self.path}/{part}")
+        value = "page_nos array<long>" if part == "grams" else "pages long"
+        return self.spark.read.schema(f"gram long, {value}, shard int").parquet(f"{self.path}/{part}")
 
 
 def page_no(project_id: Column, page_id: Column) -> Column:
@@ -121,30 +125,63 @@ def missing_pages(store: LibraryStore) -> DataFrame:
 
 
 # LIB-4, LIB-5 ------------------------------------------------------------------
-def _gram_rows(rows: DataFrame, key: str, text: str, pad: bool, keep: list[str]) -> DataFrame:
-    """(*keep, gram) of the distinct grams of each row's text."""
-    import numpy as np  # noqa: F401  used by the tasks
+def _text_grams(text: str, pad: bool):
+    """The distinct grams of a text, in order."""
+    import numpy as np
+
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    c = np.concatenate([c, np.full(Q - 1 if pad else 0, PAD)])
+    if len(c) < Q:
+        return c[:0]
+    return np.unique((c[:-2] << 2 * CODE_BITS) | (c[1:-1] << CODE_BITS) | c[2:])
+
+
+def _gram_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, gram) of the distinct grams of each row's text."""
     from pyspark.sql import types as T
 
-    fields = [rows.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("gram", T.LongType())])
+    schema = T.StructType([rows.schema[key], T.StructField("gram", T.LongType())])
 
     def run(it):
-        import numpy as np
-
         for b in it:
-            for i, t in enumerate(b.column(len(keep))):
-                c = np.frombuffer(t.as_py().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-                c = np.concatenate([c, np.full(Q - 1 if pad else 0, PAD)])
-                if len(c) < Q:
-                    continue
-                g = np.unique((c[:-2] << 2 * CODE_BITS) | (c[1:-1] << CODE_BITS) | c[2:])
+            for i, t in enumerate(b.column(1)):
+                g = _text_grams(t.as_py(), False)
                 for s in range(0, len(g), 1 << 16):
                     part = pa.array(g[s:s + (1 << 16)])
-                    own = [pa.repeat(b.column(k)[i], len(part)) for k in range(len(keep))]
-                    yield pa.record_batch([*own, part], names=[*keep, "gram"])
+                    yield pa.record_batch([pa.repeat(b.column(0)[i], len(part)), part], names=[key, "gram"])
+
+    return rows.select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def _postings(texts: DataFrame) -> DataFrame:
+    """(gram, page_nos) of ``texts`` (page_no, lc): the pages that hold a gram
+    among those with PAIRS pairs of gram and page together."""
+
+    def run(it):
+        import numpy as np
+
+        def batch(grams, pages):
+            g = np.concatenate(grams)
+            p = np.repeat(np.array(pages, np.int64), [len(x) for x in grams])
+            order = np.argsort(g, kind="stable")
+            g, p = g[order], p[order]
+            at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(g)), pa.int32()), pa.array(p))
+            return pa.record_batch([pa.array(g[at]), lists], names=["gram", "page_nos"])
+
+        grams, pages, held = [], [], 0
+        for b in it:
+            for no, t in zip(b.column(0).to_pylist(), b.column(1)):
+                grams.append(_text_grams(t.as_py(), True))
+                pages.append(no)
+                held += len(grams[-1])
+                if held >= PAIRS:
+                    yield batch(grams, pages)
+                    grams, pages, held = [], [], 0
+        if held:
+            yield batch(grams, pages)
 
-    return rows.select(*keep, text).mapInArrow(run, schema)
+    return texts.select("page_no", "lc").mapInArrow(run, "gram long, page_nos array<long>")
 
 
 def _shard() -> Column:
@@ -154,10 +191,12 @@ def _shard() -> Column:
 def index_grams(store: LibraryStore) -> None:
     """Write the inverted index of the stored texts' grams."""
     texts = store.table("texts").filter(F.length("content") > 0).select("page_no", F.lower("content").alias("lc"))
-    rows = _gram_rows(texts, "page_no", "lc", True, ["page_no"]).withColumn("shard", _shard())
-    (rows.repartitionByRange("shard", "gram", "page_no").sortWithinPartitions("shard", "gram", "page_no")
+    # a folder's files are written by ``deal`` tasks, each with grams of its own
+    deal = max(1, int(store.spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
+    rows = _postings(texts).withColumn("shard", _shard())
+    (rows.repartition(SHARDS * deal, "shard", F.pmod(F.xxhash64("gram", F.lit(deal)), F.lit(deal))).sortWithinPartitions("shard", "gram")
      .write.mode("overwrite").partitionBy("shard").parquet(f"{store.path}/grams"))
-    (store.grams("grams").groupBy("shard", "gram").agg(F.count(F.lit(1)).alias("pages"))
+    (store.grams("grams").groupBy("shard", "gram").agg(F.sum(F.size("page_nos").cast("long")).alias("pages"))
      .repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{store.path}/gram_counts"))
 
 
@@ -171,19 +210,23 @@ def _code(term: Column, n: int) -> Column:
 
 def candidates(store: LibraryStore, terms: DataFrame) -> DataFrame:
     """(q, page_no) of lower-cased distinct terms ``q`` and the pages that hold
-    the rarest gram of each; terms of one or two characters have all grams that
-    begin with them."""
+    the RAREST rarest grams of each, or all where it has fewer; terms of one or
+    two characters have all grams that begin with them."""
     grams = store.grams("grams")
-    long = _gram_rows(terms.filter(F.length("q") >= Q), "q", "q", False, ["q"]).withColumn("shard", _shard())
+    long = _gram_rows(terms.filter(F.length("q") >= Q), "q", "q").withColumn("shard", _shard())
     counted = long.join(store.grams("gram_counts"), ["shard", "gram"], "left")
     # a gram that no page has is the rarest
-    rarest = counted.groupBy("q").agg(F.min_by(F.struct("shard", "gram"), F.struct(F.coalesce("pages", F.lit(0)), "gram")).alias("g"))
-    out = grams.join(rarest.select("q", "g.shard", "g.gram"), ["shard", "gram"]).select("q", "page_no")
+    own = Window.partitionBy("q")
+    rank = F.row_number().over(own.orderBy(F.coalesce("pages", F.lit(0)), "gram"))
+    rarest = (counted.withColumns({"rank": rank, "need": F.least(F.lit(RAREST), F.count(F.lit(1)).over(own))})
+              .filter(F.col("rank") <= RAREST).select("q", "need", "shard", "gram"))
+    met = grams.join(rarest, ["shard", "gram"]).select("q", "need", F.explode("page_nos").alias("page_no"))
+    out = met.groupBy("q", "need", "page_no").agg(F.count(F.lit(1)).alias("held")).filter("held >= need").select("q", "page_no")
     for n in (1, 2):
         bits = CODE_BITS * (Q - n)
         short = terms.filter(F.length("q") == n).select("q", F.shiftright(_code(F.col("q"), n), bits).alias("head"))
         met = grams.withColumn("head", F.shiftright("gram", bits)).join(short, "head")
-        out = out.unionByName(met.select("q", "page_no").distinct())
+        out = out.unionByName(met.select("q", F.explode("page_nos").alias("page_no")).distinct())
     return out
 
 

@@ -109,3 +109,36 @@ def test_empty_library(spark):
     LS.index_grams(s)
     assert LS.entries(s).count() == 0 and LS.get_page(s, "a", "b").count() == 0 and LS.search(s, "x").count() == 0 and LS.search(s, "").count() == 0
     LS.drop(s)
+
+
+def test_index_rows_hold_many_pages(spark, store):
+    """A gram has a row for the pages a task saw together, not one for each page;
+    the counts are those of the pages that hold it."""
+    texts = [(r["page_no"], r["content"].lower()) for r in store.table("texts").filter("length(content) > 0").collect()]
+    want = {}
+    for no, t in texts:
+        for g in {(t + "\0\0")[i:i + 3] for i in range(len(t))}:
+            want.setdefault(tuple(LS.PAD if c == "\0" else ord(c) for c in g), set()).add(no)
+    want = {sum(c << LS.CODE_BITS * (2 - i) for i, c in enumerate(g)): pages for g, pages in want.items()}
+    rows = store.grams("grams").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["gram"], []).extend(r["page_nos"])
+    assert {g: sorted(p) for g, p in got.items()} == {g: sorted(p) for g, p in want.items()}
+    assert len(rows) < sum(map(len, want.values()))
+    counts = {r["gram"]: r["pages"] for r in store.grams("gram_counts").collect()}
+    assert counts == {g: len(p) for g, p in want.items()}
+
+
+def test_candidates_hold_the_rarest_grams(spark):
+    """Pages that lack one of a term's rarest grams are not fetched."""
+    rows = [("p", i, f"id{i}", "T", "u", t) for i, t in enumerate(["abcxyz", "abc", "bcx", "cxy", "xyz", "abcx cxyz", "bcx cxy", "abcxyz again"])]
+    s = LS.save(spark.createDataFrame(rows, LIB))
+    LS.index_grams(s)
+    terms = spark.createDataFrame([("abcxyz",), ("zz",), ("ab",), ("nowhere",)], "q string")
+    number = {r["page_no"]: r["page_id"] for r in s.table("texts").collect()}
+    got = sorted((r["q"], number[r["page_no"]]) for r in LS.candidates(s, terms).collect())
+    assert got == [("ab", "id0"), ("ab", "id1"), ("ab", "id5"), ("ab", "id7"), ("abcxyz", "id0"), ("abcxyz", "id5"), ("abcxyz", "id7")]
+    found = LS.search_many(s, spark.createDataFrame([("ABCxyz",)], "term string")).collect()
+    assert sorted(r["page_id"] for r in found) == ["id0", "id7"]
+    LS.drop(s)
