@@ -27,7 +27,9 @@ to the toxic ones are added and the fit is repeated (``MINING`` times).
 
 Bounds: at most ``MAX_DOCS`` labelled documents of each label (those with the
 smallest hash of the id) are used, and at most ``MAX_UNITS`` of their units and a
-quarter as many in each mining round are collected. Distinct units are scored once per task and kept, up to ``KEEP``.
+quarter as many in each mining round are collected. A worker scores distinct
+words once and keeps them; beyond ``KEEP`` or ``KEEP_CHARS`` it forgets all and
+begins again with the words of the texts at hand.
 
 Edge cases: null and empty texts have no unit and get the score of a text
 without any toxic unit; without toxic or clean training rows every score is
@@ -37,6 +39,7 @@ without any toxic unit; without toxic or clean training rows every score is
 from __future__ import annotations
 
 import re
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +63,8 @@ MINING = 2
 COST = 0.05
 #: Least eigenvalue of the landmarks' kernel matrix that is undone.
 FLOOR = 0.3
-KEEP = 1_000_000
+#: Words, and characters of words, whose values a worker keeps.
+KEEP, KEEP_CHARS = 1_000_000, 32_000_000
 THRESHOLD = 0.7
 
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n+")
@@ -195,26 +199,30 @@ class Model:
         self.landmarks, self.weights, self.bias = landmarks, weights, bias
         self.slope, self.shift = 4.0, 0.0
         self.seen: dict[str, float] = {}
+        self.held = 0  # characters of the words in seen
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
+        return self.__dict__ | {"seen": {}, "held": 0}
 
     def values(self, units: list[str]) -> np.ndarray:
         return self.landmarks.features(codes(units)[0]) @ self.weights + self.bias
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.seen) > KEEP:
+    def learn(self, words: set[str]) -> None:
+        """All of ``words`` are in ``seen`` afterwards."""
+        if len(self.seen) > KEEP or self.held > KEEP_CHARS:
             self.seen.clear()
-        parts = [(w, p) for w in words if w not in self.seen for p in windows(w)]
-        self.seen.update((w, self.bias) for w in words if w not in self.seen)
-        if parts:
+            self.held = 0
+        new = [w for w in words if w not in self.seen]
+        self.held += sum(map(len, new))
+        self.seen.update((w, self.bias) for w in new)
+        for parts in batched(((w, p) for w in new for p in windows(w)), 50_000):
             for (w, _), v in zip(parts, self.values([p for _, p in parts])):
                 if v > self.seen[w]:
                     self.seen[w] = float(v)
 
     def raw(self, word_lists: list[list[str]]) -> np.ndarray:
         """Value of each text, given as its distinct words."""
-        self.learn(list({w for ws in word_lists for w in ws if w not in self.seen}))
+        self.learn({w for ws in word_lists for w in ws})
         get, out = self.seen.__getitem__, np.full(len(word_lists), self.bias)
         for i, ws in enumerate(word_lists):
             if ws:

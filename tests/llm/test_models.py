@@ -59,6 +59,20 @@ def test_toxicity_short_words(spark):
         assert all(r["predicted"] == r["doc_id"] % 2 for r in toxicity.digests(docs, labels).collect())
 
 
+@pytest.mark.parametrize("bound", ["KEEP", "KEEP_CHARS"])
+def test_toxicity_words_beyond_what_is_kept(monkeypatch, bound):
+    """A worker that forgets its words still knows those of the texts at hand."""
+    monkeypatch.setattr(toxicity, bound, 5, raising=False)
+    marks = toxicity.Landmarks([w for x in ("grumbold", "fizzwick") for w in toxicity.windows(x)])
+    texts = ["grumbold the a of and here there", "fizzwick the", "new the grumbolt", "", "the g-r-u-m-b-o-l-d " + "x" * 300]
+    lists = [toxicity.units_of(t) for t in texts]
+    each = [toxicity.Model(marks, np.ones(2), -0.5).raw([ws])[0] for ws in lists]
+    model = toxicity.Model(marks, np.ones(2), -0.5)
+    got = [model.raw([ws])[0] for ws in lists]
+    assert got == pytest.approx(each) and got[0] > 0 and len(model.seen) < 8
+    assert toxicity.Model(marks, np.ones(2), -0.5).raw(lists) == pytest.approx(each)
+
+
 def test_toxicity_without_labels(spark, insults, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.digests(insults[0], none).collect()} == {0.5}
