@@ -81,24 +81,38 @@ def feed_stream(spark: SparkSession, feed: str, files: int = 1) -> DataFrame:
     return as_job_events(spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files).parquet(feed))
 
 
-def write_feed(events: DataFrame, feed: str, batches: int = 4, jitter_minutes: int = 60, close: bool = True) -> str:
+def write_feed(events: DataFrame, feed: str, batches: int = 4, jitter_minutes: int = 60, close: bool = True, files: int = 1) -> str:
     """``events`` as files that arrive in ``batches`` parts: in the order of
-    time, but each event up to ``jitter_minutes`` late."""
+    time, but each event up to ``jitter_minutes`` late. A part has ``files``
+    files, of which none is in order: only a micro-batch of them all keeps
+    the watermark behind the events of the part."""
+    spark = events.sparkSession
     late = F.pmod(F.xxhash64("event_id"), F.lit(max(1, jitter_minutes)))
     arrival = F.unix_micros(F.col("ts").cast("timestamp")) + late * 60_000_000
     timed = events.select(*[f.name for f in EVENTS_SCHEMA], arrival.alias("_at"))
     lo, hi = timed.agg(F.min("_at"), F.max("_at")).first()
     if lo is None:
-        timed.drop("_at").write.mode("append").parquet(feed)
+        timed.drop("_at").coalesce(1).write.mode("append").parquet(feed)
         return feed
     width = (hi - lo) // batches + 1
     for k in range(batches):
-        timed.filter(F.floor((F.col("_at") - lo) / width) == k).drop("_at").write.mode("append").parquet(feed)
+        part = timed.filter(F.floor((F.col("_at") - lo) / width) == k).drop("_at")
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(feed)
+        # few rows make fewer files: empty ones take their place
+        for _ in range((k + 1) * files - count_files(spark, feed)):
+            spark.createDataFrame([], EVENTS_SCHEMA).coalesce(1).write.mode("append").parquet(feed)
     if close:
-        close_feed(events.sparkSession, feed, events.agg(F.max("ts")).first()[0])
+        close_feed(spark, feed, events.agg(F.max("ts")).first()[0])
     return feed
 
 
+def count_files(spark: SparkSession, folder: str) -> int:
+    """Data files of a folder that Spark wrote."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sum(not f.getPath().getName().startswith(("_", ".")) for f in found)
+
+
 def close_feed(spark: SparkSession, feed: str, last: dt.datetime) -> None:
     """Add the END row, later than all timers that events up to ``last`` set."""
     end = (0, last + 2 * JOB_LIFETIME, END_JOB, END, None, None)
@@ -187,61 +201,98 @@ PHASES = T.StructType([
 ])
 
 
+#: Before any time and any id, in the place of null.
+_NEVER = -(1 << 63)
+#: Parts into which jobs are dealt by hash; each has one state. Fixed for a place.
+BUCKETS = 1024
+
+
 def _ms(t: dt.timedelta) -> int:
     return int(t.total_seconds() * 1000)
 
 
 class PhaseMachine(StatefulProcessor):
-    """The client's reducer per job. State: the latest phase-setting event, the
-    pages counted, the time of the last event and of the timers. A job that
-    was quiet for ``idle`` is over: its phase is final, ``error`` if it never
-    came to one. Later events open it again; ``lifetime`` after its last
-    event it is forgotten."""
+    """The client's reducer per job. State of a job: the latest phase-setting
+    event, the pages counted, the time of the last event, whether the job is
+    over. A job that was quiet for ``idle`` is over: its phase is final,
+    ``error`` if it never came to one. Later events open it again; ``lifetime``
+    after its last event it is forgotten.
+
+    Each use of a state variable is a message to the JVM, so the jobs of a
+    bucket share one value, an array a field, and one timer. Events that come
+    later don't move the timer: when it comes, each job's last event tells
+    what is due, and the timer goes to the next."""
 
     def __init__(self, idle: dt.timedelta, lifetime: dt.timedelta):
         self.idle, self.lifetime = _ms(idle), _ms(lifetime)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.phase = handle.getValueState("phase", "phase string, ts_us long, event_id long")
-        self.seen = handle.getValueState("seen", "scraped long, last_ms long")
+        self.jobs = handle.getValueState("jobs", "job array<long>, phase array<string>, ts_us array<long>, event_id array<long>, "
+                                         "scraped array<long>, last_ms array<long>, ended array<boolean>, due_ms long")
 
-    def _row(self, job_id, ended: bool) -> pd.DataFrame:
-        phase = self.phase.get()[0] if self.phase.exists() else None
-        shown = phase if phase in J.FINAL_PHASES else "error" if ended else phase or "scraping"
-        return pd.DataFrame({"job_id": [job_id], "last_phase": [phase], "phase": [shown], "scraped": [self.seen.get()[0]], "ended": [ended]})
+    def _read(self) -> tuple[dict, int | None]:
+        """job -> [phase, ts_us, event_id, scraped, last_ms, ended], and when the timer is due."""
+        if not self.jobs.exists():
+            return {}, None
+        *columns, due = self.jobs.get()
+        return {job: rest for job, *rest in zip(*columns)}, due
+
+    def _write(self, jobs: dict, due: int | None) -> None:
+        self.jobs.update((*map(list, zip(*((job, *rest) for job, rest in jobs.items()))), due))
+
+    def _rows(self, jobs: list, ended: bool) -> pd.DataFrame:
+        phases, scraped = [j[0] for _, j in jobs], [j[3] for _, j in jobs]
+        shown = [p if p in J.FINAL_PHASES else "error" if ended else p or "scraping" for p in phases]
+        return pd.DataFrame({"job_id": pd.Series([i for i, _ in jobs], dtype="Int64"), "last_phase": pd.Series(phases, dtype="object"),
+                             "phase": shown, "scraped": scraped, "ended": ended})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] == END_JOB:
-            return
-        latest = self.phase.get() if self.phase.exists() else None
-        scraped, before = self.seen.get() if self.seen.exists() else (0, None)
-        last = before
+        jobs, due = self._read()
+        came, before = {}, due
         for pdf in rows:
-            us = pdf["event_time"].astype("datetime64[us]").astype("int64")
-            scraped += int((pdf["event"] == "page_scraped").sum())
-            last = max(int(us.max()) // 1000, last if last is not None else -1)
-            sets = pdf.assign(_p=pdf["event"].map(J.PHASE_OF_EVENT), _us=us).dropna(subset=["_p"])
-            for p, t, i in zip(sets["_p"], sets["_us"], sets["event_id"]):
-                if latest is None or (t, i) > tuple(latest[1:]):
-                    latest = (p, int(t), int(i))
-        if latest is not None:
-            self.phase.update(tuple(latest))
-        self.seen.update((scraped, last))
-        if last != before:
+            for i, missing, us, event_id, event in zip(*(pdf[c].tolist() for c in ("job_id", "no_job", "us", "event_id", "event"))):
+                i = None if missing else i
+                if i == END_JOB:
+                    continue
+                job = came.get(i)
+                if job is None:
+                    job = came[i] = jobs.setdefault(i, [None, _NEVER, _NEVER, 0, None, False])
+                last = max(us // 1000, -1)
+                if job[4] is None or last > job[4]:
+                    job[4], job[5] = last, False
+                if event == "page_scraped":
+                    job[3] += 1
+                sets = J.PHASE_OF_EVENT.get(event)
+                if sets is not None and (job[0] is None or (us, event_id) > (job[1], job[2])):
+                    job[:3] = sets, us, event_id
+        if not came:
+            return
+        quiet = [job[4] + self.idle for job in came.values() if not job[5]]
+        due = min(quiet if due is None else [due, *quiet])
+        if due != before:
             if before is not None:
-                for t in (self.idle, self.lifetime):
-                    self.handle.deleteTimer(before + t)
-            for t in (self.idle, self.lifetime):
-                self.handle.registerTimer(last + t)
-        yield self._row(key[0], False)
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+        self._write(jobs, due)
+        yield self._rows(list(came.items()), False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if expiredTimerInfo.getExpiryTimeInMs() < self.seen.get()[1] + self.lifetime:
-            yield self._row(key[0], True)
+        jobs, _ = self._read()
+        now, over = timerValues.getCurrentWatermarkInMs(), []
+        for i, job in jobs.items():
+            if not job[5] and job[4] + self.idle <= now:
+                job[5] = True
+                over.append((i, job))
+        jobs = {i: job for i, job in jobs.items() if not job[5] or job[4] + self.lifetime > now}
+        if jobs:
+            due = min(job[4] + (self.lifetime if job[5] else self.idle) for job in jobs.values())
+            self.handle.registerTimer(due)
+            self._write(jobs, due)
         else:
-            self.phase.clear()
-            self.seen.clear()
+            self.jobs.clear()
+        if over:
+            yield self._rows(over, True)
 
     def close(self) -> None:
         pass
@@ -249,9 +300,12 @@ class PhaseMachine(StatefulProcessor):
 
 def phase_machine(events: DataFrame, idle: dt.timedelta = IDLE, lifetime: dt.timedelta = JOB_LIFETIME) -> DataFrame:
     """STR-2: rows of a job as its phase changes (``ended`` false) and when it is over."""
+    never = F.lit(_NEVER)
     return (events.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", LATENESS)
-                  .select("job_id", "event_id", "event", "event_time").groupBy("job_id")
-                  .transformWithStateInPandas(PhaseMachine(idle, lifetime), PHASES, "Update", "EventTime"))
+                  .select(F.pmod(F.hash("job_id"), F.lit(BUCKETS)).alias("bucket"), F.coalesce("job_id", F.lit(0)).alias("job_id"),
+                          F.col("job_id").isNull().alias("no_job"), F.coalesce("event_id", never).alias("event_id"), "event",
+                          F.coalesce(F.unix_micros("event_time"), never).alias("us"), "event_time")
+                  .groupBy("bucket").transformWithStateInPandas(PhaseMachine(idle, lifetime), PHASES, "Update", "EventTime"))
 
 
 def run_phase_machine(spark: SparkSession, events: DataFrame, place: str | None = None, **times) -> DataFrame:
@@ -384,8 +438,12 @@ def run_cancel_cut(spark: SparkSession, events: DataFrame, place: str | None = N
 
 # the registered queries' feeds --------------------------------------------------
 def table_feed(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
-    """The ``events`` table as a closed feed of several micro-batches."""
-    return feed_stream(spark, write_feed(read(spark, sf_dir, "events"), shared_path(spark, "event-feed"), batches))
+    """The ``events`` table as a closed feed of several micro-batches, one for a
+    part of the feed whatever the table's size; a part has as many files as
+    the table has input splits."""
+    events = read(spark, sf_dir, "events")
+    files = max(1, events.rdd.getNumPartitions())
+    return feed_stream(spark, write_feed(events, shared_path(spark, "event-feed"), batches, files=files), files)
 
 
 def visits_feed(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:

@@ -89,6 +89,32 @@ def test_phase_machine_ends_every_job(spark, tmp_path):
     assert all_rows.filter("ended and job_id = 1").count() == 2
 
 
+def test_parts_of_several_files_are_one_batch_each(spark, tmp_path):
+    """A table of several input splits: all events of a part are one micro-batch, so none is late."""
+    rows = [(n % 3 if n % 10 else None, n, n * 37, ("started", "page_scraped", "converting", "complete", "error")[n % 7 % 5]) for n in range(240)]
+    df = events(spark, rows)
+    for k in range(3):
+        df.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    files = P.read(spark, str(tmp_path), "events").rdd.getNumPartitions()
+    assert files > 1
+    want = {r.job_id: (r.last_phase, r.phase) for r in J.latest_phase(job_events(spark, str(tmp_path))).collect()}
+    scraped = {r.job_id: r.scraped for r in J.outcome(job_events(spark, str(tmp_path))).collect()}
+    place = str(tmp_path / "phase")
+    got = P.run_phase_machine(spark, P.table_feed(spark, str(tmp_path)), place).collect()
+    assert {r.job_id: (r.last_phase, r.phase, r.scraped) for r in got} == {k: (*v, scraped[k]) for k, v in want.items()}
+    assert None in want and P.table(spark, place, P.PHASES).filter("not ended").select("epoch").distinct().count() == 4
+    kept = {r.job_id: r.kept_events for r in P.run_cancel_cut(spark, P.table_feed(spark, str(tmp_path)), str(tmp_path / "cut")).collect() if r.job_id is not None}
+    assert kept == {r.job_id: r.kept_events for r in J.cancel_cut(job_events(spark, str(tmp_path)), job_events(spark, str(tmp_path)).filter("event = 'error'")).collect() if r.job_id is not None}
+
+
+def test_a_part_with_fewer_rows_than_files(spark, tmp_path):
+    """Parts keep their number of files, whatever rows they have."""
+    feed = P.write_feed(events(spark, [(1, n, n * 500, "page_scraped") for n in range(5)]), str(tmp_path / "feed"), 4, files=6)
+    assert P.count_files(spark, feed) == 4 * 6 + 1
+    got = P.run_phase_machine(spark, P.feed_stream(spark, feed, 6), str(tmp_path / "phase")).collect()
+    assert [tuple(r) for r in got] == [(1, None, "error", 5)]
+
+
 @pytest.mark.parametrize("cancel_first", [True, False])
 def test_cancel_cut_in_either_order(spark, tmp_path, cancel_first):
     feed, place = str(tmp_path / "feed"), str(tmp_path / "cut")
